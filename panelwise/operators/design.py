@@ -125,62 +125,69 @@ def cells(df: DataFrame, models: Sequence[Model], cluster: str | None = None) ->
     )
 
 
-def per_model(values: dict[int, float], n_models: int, default: float = 0.0) -> Column:
-    """Literal look-up by model number. Values come from the driver, one per model."""
-    if n_models == 1:
-        return F.lit(float(values.get(0, default)))
-    out = F.lit(float(default))
-    for i, v in values.items():
-        if float(v) != float(default):
-            out = F.when(F.col("model") == i, F.lit(float(v))).otherwise(out)
-    return out
+KINDS = {("binomial", "logit"), ("binomial", "log"), ("gaussian", "identity")}
 
+# The pieces below are SQL expressions over the columns of a cell, so one pass of
+# a fit is a single SQL statement. Numbers from the driver travel as array
+# literals indexed by the model number: the generated code does not contain them
+# and all iterations of a fit share it.
 
-def linear_predictor(beta: dict[int, Sequence[float]], width: int, n_models: int) -> Column:
-    """Sum of coefficient times design column, coefficients as literals."""
-    terms = []
-    for j in range(width):
-        coef = {i: b[j] for i, b in beta.items() if j < len(b)}
-        terms.append(F.col(f"x{j}") * per_model(coef, n_models))
-    return reduce(lambda a, b: a + b, terms)
 
+def number_array(values: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
 
-KINDS = {("binomial", "logit"), ("binomial", "log"), ("gaussian", "identity")}
+
+def per_model(values: dict[int, float], n_models: int) -> str:
+    """Number looked up by model, for instance the current correlation."""
+    return f"{number_array([values.get(i, 0.0) for i in range(n_models)])}[model]"
+
+
+def active(n_models: int, chosen) -> str:
+    """Condition that keeps the cells of the chosen models."""
+    return f"{per_model({i: 1.0 for i in chosen}, n_models)} > 0"
 
 
-def by_kind(models: Sequence[Model], f) -> Column:
+def linear_predictor(beta: dict[int, Sequence[float]], width: int, n_models: int) -> str:
+    """Sum of coefficient times design column."""
+    flat = [beta[i][j] if i in beta else 0.0 for i in range(n_models) for j in range(width)]
+    table = number_array(flat)
+    return " + ".join(f"x{j} * {table}[model * {width} + {j}]" for j in range(width))
+
+
+def by_kind(models: Sequence[Model], f) -> str:
     """One expression per (family, link), chosen by model number where they differ."""
     kinds = sorted({(m.family, m.link) for m in models})
     if not set(kinds) <= KINDS:
         raise ValueError(f"supported family and link pairs: {sorted(KINDS)}, got {kinds}")
-    out = f(*kinds[0])
-    for kind in kinds[1:]:
-        ids = [i for i, m in enumerate(models) if (m.family, m.link) == kind]
-        out = F.when(F.col("model").isin(*ids), f(*kind)).otherwise(out)
-    return out
+    if len(kinds) == 1:
+        return f"({f(*kinds[0])})"
+    cases = []
+    for kind in kinds:
+        ids = ", ".join(str(i) for i, m in enumerate(models) if (m.family, m.link) == kind)
+        cases.append(f"WHEN model IN ({ids}) THEN {f(*kind)}")
+    return f"(CASE {' '.join(cases)} END)"
 
 
-def mean_of(models: Sequence[Model], eta: Column) -> Column:
-    return by_kind(
-        models,
-        lambda _, link: eta if link == "identity" else F.exp(eta) if link == "log" else 1 / (1 + F.exp(-eta)),
-    )
+def _by_link(models: Sequence[Model], identity: str, logit: str, log: str) -> str:
+    return by_kind(models, lambda _, link: {"identity": identity, "logit": logit, "log": log}[link])
+
+
+def mean_of(models: Sequence[Model], eta: str = "eta") -> str:
+    return _by_link(models, eta, f"1D / (1D + exp(-{eta}))", f"exp({eta})")
 
 
-def working_weight(models: Sequence[Model], mu: Column) -> tuple[Column, Column]:
+def working_weight(models: Sequence[Model], mu: str = "mu") -> tuple[str, str]:
     """Information weight of a row and the factor of its residual in the score."""
     return (
-        by_kind(models, lambda _, link: F.lit(1.0) if link == "identity"
-                else F.try_divide(mu, 1 - mu) if link == "log" else mu * (1 - mu)),
-        by_kind(models, lambda _, link: F.try_divide(F.lit(1.0), 1 - mu) if link == "log" else F.lit(1.0)),
+        _by_link(models, "1D", f"{mu} * (1D - {mu})", f"try_divide({mu}, 1D - {mu})"),
+        _by_link(models, "1D", "1D", f"try_divide(1D, 1D - {mu})"),
     )
 
 
-def pearson_scale(models: Sequence[Model], mu: Column) -> tuple[Column, Column]:
+def pearson_scale(models: Sequence[Model], mu: str = "mu") -> tuple[str, str]:
     """Factors that turn a design row and a residual into standardised ones."""
-    sd = F.sqrt(mu * (1 - mu))
+    sd = f"sqrt({mu} * (1D - {mu}))"
     return (
-        by_kind(models, lambda _, link: F.lit(1.0) if link == "identity"
-                else F.try_divide(mu, sd) if link == "log" else sd),
-        by_kind(models, lambda fam, _: F.lit(1.0) if fam == "gaussian" else F.try_divide(F.lit(1.0), sd)),
+        _by_link(models, "1D", sd, f"try_divide({mu}, {sd})"),
+        _by_link(models, "1D", f"try_divide(1D, {sd})", f"try_divide(1D, {sd})"),
     )

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
+    active,
     cells,
     drop_unused_levels,
     linear_predictor,
@@ -43,55 +44,48 @@ GEE_SCHEMA = (
 
 def cluster_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray], width: int) -> DataFrame:
     """Sums of standardised design rows and residuals per cluster."""
-    eta, mu = F.col("__eta"), F.col("__mu")
-    base = frame.where(F.col("model").isin(*beta))
-    base = base.withColumn("__eta", linear_predictor(beta, width, len(models)))
-    base = base.withColumn("__mu", mean_of(models, eta))
-    zf, ef = pearson_scale(models, mu)
-    base = base.withColumns({"__z": zf, "__e": ef})
-    n, z, e = F.col("n"), F.col("__z"), F.col("__e")
-    resid = e * (F.col("sy") - n * mu)
-    x = [F.col(f"x{i}") for i in range(width)]
-    aggs = [F.sum(n * z * z * x[a] * x[b]).alias(f"zz{a}_{b}") for a, b in pairs(width)]
-    aggs += [F.sum(n * z * x[a]).alias(f"z{a}") for a in range(width)]
-    aggs += [F.sum(z * x[a] * resid).alias(f"ze{a}") for a in range(width)]
-    aggs += [
-        F.sum(n).alias("m"),
-        F.sum(resid).alias("e"),
-        F.sum(e * e * (F.col("syy") - 2 * mu * F.col("sy") + n * mu * mu)).alias("ee"),
-        F.max(eta).alias("top"),
-    ]
-    return base.groupBy("model", "cluster").agg(*aggs)
+    z, e = pearson_scale(models)
+    aggs = [f"sum(n * z * z * x{a} * x{b}) AS zz{a}_{b}" for a, b in pairs(width)]
+    for a in range(width):
+        aggs += [f"sum(n * z * x{a}) AS z{a}", f"sum(z * r * x{a}) AS ze{a}"]
+    aggs += ["sum(n) AS m", "sum(r) AS e", "sum(s * s * (syy - 2 * mu * sy + n * mu * mu)) AS ee", "max(eta) AS top"]
+    return (
+        frame.where(active(len(models), beta))
+        .selectExpr("*", f"{linear_predictor(beta, width, len(models))} AS eta")
+        .selectExpr("*", f"{mean_of(models)} AS mu")
+        .selectExpr("*", f"{z} AS z", f"{e} AS s")
+        .selectExpr("*", "s * (sy - n * mu) AS r")
+        .groupBy("model", "cluster")
+        .agg(*[F.expr(a) for a in aggs])
+    )
 
 
 def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray],
                   alpha: dict[int, float], width: int) -> dict[int, dict]:
     """B, U, sum of U U' and the moments behind scale and correlation, per model."""
-    per = cluster_sums(frame, models, beta, width)
     a = per_model(alpha, len(models))
-    c = F.try_divide(a, 1 + (F.col("m") - 1) * a)
-    per = per.withColumn("__c", c)
-    per = per.withColumns({f"__u{j}": F.col(f"ze{j}") - F.col("__c") * F.col(f"z{j}") * F.col("e") for j in range(width)})
-    u = [F.col(f"__u{j}") for j in range(width)]
-    aggs = [F.sum(F.col(f"zz{i}_{j}") - F.col("__c") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"b{i}_{j}") for i, j in pairs(width)]
-    aggs += [F.sum(F.col(f"zz{i}_{j}")).alias(f"g{i}_{j}") for i, j in pairs(width)]
-    aggs += [F.sum(u[i] * u[j]).alias(f"m{i}_{j}") for i, j in pairs(width)]
-    aggs += [F.sum(u[j]).alias(f"u{j}") for j in range(width)]
+    aggs = []
+    for i, j in pairs(width):
+        aggs += [f"sum(zz{i}_{j} - c * z{i} * z{j}) AS b{i}_{j}", f"sum(zz{i}_{j}) AS g{i}_{j}", f"sum(u{i} * u{j}) AS m{i}_{j}"]
+    aggs += [f"sum(u{j}) AS u{j}" for j in range(width)]
     aggs += [
-        F.sum("ee").alias("ee"),
-        F.sum((F.col("e") * F.col("e") - F.col("ee")) / 2).alias("cross"),
-        F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"),
-        F.sum("m").alias("n"),
-        F.max("m").alias("largest"),
-        F.count(F.lit(1)).alias("clusters"),
-        F.max("top").alias("top"),
+        "sum(ee) AS ee", "sum((e * e - ee) / 2) AS cross", "sum(m * (m - 1) / 2) AS pairs", "sum(m) AS n",
+        "max(m) AS largest", "count(*) AS clusters", "max(top) AS top",
     ]
+    rows = (
+        cluster_sums(frame, models, beta, width)
+        .selectExpr("*", f"try_divide({a}, 1 + (m - 1) * {a}) AS c")
+        .selectExpr("*", *[f"ze{j} - c * z{j} * e AS u{j}" for j in range(width)])
+        .groupBy("model")
+        .agg(*[F.expr(x) for x in aggs])
+        .collect()  # one row per model
+    )
     out = {}
-    for row in per.groupBy("model").agg(*aggs).collect():  # one row per model
+    for row in rows:
         d = {k: row[k] for k in ("ee", "cross", "pairs", "n", "largest", "clusters", "top")}
         for name in "bgm":
             d[name.upper()] = symmetric({(i, j): row[f"{name}{i}_{j}"] for i, j in pairs(width)}, width)
-        d["U"] = np.array([row[f"u{j}"] for j in range(width)])
+        d["U"] = np.array([row[f"u{j}"] for j in range(width)], dtype=float)
         out[row["model"]] = d
     return out
 

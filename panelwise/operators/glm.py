@@ -12,12 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
+    active,
     by_kind,
     cells,
     drop_unused_levels,
@@ -36,44 +37,43 @@ COEF_SCHEMA = (
 )
 
 
-def _deviance(models: Sequence[Model], eta: Column, mu: Column) -> Column:
+def _deviance(models: Sequence[Model], eta: str = "eta", mu: str = "mu") -> str:
     """Minus twice the log-likelihood of a cell (binary response) or its squared error."""
-    n, sy, syy = F.col("n"), F.col("sy"), F.col("syy")
-    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    fail = F.when(n > sy, (n - sy) * F.log1p(-F.least(mu, F.lit(1 - 1e-16)))).otherwise(0.0)
+    softplus = f"(greatest({eta}, 0D) + log1p(exp(-abs({eta}))))"
+    fail = f"CASE WHEN n > sy THEN (n - sy) * log1p(-least({mu}, 1D - 1e-16D)) ELSE 0D END"
 
-    def kind(family: str, link: str) -> Column:
+    def kind(family: str, link: str) -> str:
         if family == "gaussian":
-            return syy - 2 * mu * sy + n * mu * mu
-        return -2 * (sy * eta - n * softplus) if link == "logit" else -2 * (sy * eta + fail)
+            return f"syy - 2 * {mu} * sy + n * {mu} * {mu}"
+        return f"-2 * (sy * {eta} - n * {softplus})" if link == "logit" else f"-2 * (sy * {eta} + {fail})"
 
     return by_kind(models, kind)
 
 
 def _sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray], width: int) -> dict[int, dict]:
     """Score, information and deviance of every model at its coefficients."""
-    eta, mu = F.col("__eta"), F.col("__mu")
-    base = frame.where(F.col("model").isin(*beta))
-    base = base.withColumn("__eta", linear_predictor(beta, width, len(models)))
-    base = base.withColumn("__mu", mean_of(models, eta))
-    w, score = working_weight(models, mu)
-    r = (F.col("sy") - F.col("n") * mu) * score
-    aggs = [F.sum(F.col(f"x{a}") * F.col(f"x{b}") * w * F.col("n")).alias(f"h{a}_{b}") for a, b in pairs(width)]
-    aggs += [F.sum(F.col(f"x{a}") * F.col(f"x{b}") * F.col("n")).alias(f"g{a}_{b}") for a, b in pairs(width)]
-    aggs += [F.sum(F.col(f"x{a}") * r).alias(f"u{a}") for a in range(width)]
-    aggs += [
-        F.sum(_deviance(models, eta, mu)).alias("dev"),
-        F.max("__eta").alias("top"),
-        F.sum("n").alias("n"),
-        F.sum("sy").alias("sy"),
-    ]
+    weight, score = working_weight(models)
+    aggs = [f"sum(x{a} * x{b} * w * n) AS h{a}_{b}" for a, b in pairs(width)]
+    aggs += [f"sum(x{a} * x{b} * n) AS g{a}_{b}" for a, b in pairs(width)]
+    aggs += [f"sum(x{a} * r) AS u{a}" for a in range(width)]
+    aggs += [f"sum({_deviance(models)}) AS dev", "max(eta) AS top", "sum(n) AS n", "sum(sy) AS sy"]
+    rows = (
+        frame.where(active(len(models), beta))
+        .selectExpr("*", f"{linear_predictor(beta, width, len(models))} AS eta")
+        .selectExpr("*", f"{mean_of(models)} AS mu")
+        .selectExpr("*", f"{weight} AS w", f"(sy - n * mu) * {score} AS r")
+        .groupBy("model")
+        .agg(*[F.expr(a) for a in aggs])
+        .collect()  # one row per model
+    )
     out = {}
-    for row in base.groupBy("model").agg(*aggs).collect():  # one row per model
+    for row in rows:
         out[row["model"]] = {
             "H": symmetric({(a, b): row[f"h{a}_{b}"] for a, b in pairs(width)}, width),
             "G": symmetric({(a, b): row[f"g{a}_{b}"] for a, b in pairs(width)}, width),
-            "U": np.array([row[f"u{a}"] for a in range(width)]),
-            "dev": row["dev"], "top": row["top"], "n": row["n"], "sy": row["sy"],
+            "U": np.array([row[f"u{a}"] for a in range(width)], dtype=float),
+            "dev": math.inf if row["dev"] is None else row["dev"],
+            "top": row["top"], "n": row["n"], "sy": row["sy"],
         }
     return out
 
@@ -242,30 +242,24 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
 
 def _many_sums(frame: DataFrame, m: Model, idx: list[int], betas: list[np.ndarray], width: int) -> list[dict]:
     """Sums of one model at several coefficient vectors in a single pass."""
-    aggs = []
-    frame = frame.withColumns({
-        f"__eta{t}": linear_predictor({0: _full(b, idx, width)}, width, 1) for t, b in enumerate(betas)
-    })
-    frame = frame.withColumns({
-        f"__mu{t}": mean_of([m], F.col(f"__eta{t}")) for t in range(len(betas))
-    })
-    for t in range(len(betas)):
-        mu = F.col(f"__mu{t}")
+    aggs, etas, mus = [], [], []
+    p, each = len(idx), range(len(betas))
+    for t in each:
+        eta, mu = f"eta{t}", f"mu{t}"
+        etas.append(f"{linear_predictor({0: _full(betas[t], idx, width)}, width, 1)} AS {eta}")
+        mus.append(f"{mean_of([m], eta)} AS {mu}")
         weight, score = working_weight([m], mu)
-        w, r = weight * F.col("n"), (F.col("sy") - F.col("n") * mu) * score
-        for a, b in pairs(len(idx)):
-            aggs.append(F.sum(F.col(f"x{idx[a]}") * F.col(f"x{idx[b]}") * w).alias(f"h{t}_{a}_{b}"))
-        aggs += [F.sum(F.col(f"x{idx[a]}") * r).alias(f"u{t}_{a}") for a in range(len(idx))]
-        aggs.append(F.sum(_deviance([m], F.col(f"__eta{t}"), mu)).alias(f"d{t}"))
-    row = frame.agg(*aggs).first()
-    p = len(idx)
+        aggs += [f"sum(x{idx[a]} * x{idx[b]} * {weight} * n) AS h{t}_{a}_{b}" for a, b in pairs(p)]
+        aggs += [f"sum(x{idx[a]} * (sy - n * {mu}) * {score}) AS u{t}_{a}" for a in range(p)]
+        aggs.append(f"sum({_deviance([m], eta, mu)}) AS d{t}")
+    row = frame.selectExpr("*", *etas).selectExpr("*", *mus).selectExpr(*aggs).first()
     return [
         {
             "H": symmetric({(a, b): row[f"h{t}_{a}_{b}"] for a, b in pairs(p)}, p),
             "U": np.array([row[f"u{t}_{a}"] for a in range(p)]),
             "dev": row[f"d{t}"],
         }
-        for t in range(len(betas))
+        for t in each
     ]
 
 
