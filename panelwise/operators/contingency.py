@@ -54,7 +54,8 @@ def chisq_test(cells: DataFrame, correct: bool = True) -> DataFrame:
     """Pearson statistic per test, with the continuity correction on 2 x 2 tables."""
     by = Window.partitionBy("test")
     n = F.col("n").cast("double")
-    c = cells.withColumns({
+    # Partitioning by test serves all three windows.
+    c = cells.repartition("test").withColumns({
         "r": F.sum(n).over(Window.partitionBy("test", "row")),
         "k": F.sum(n).over(Window.partitionBy("test", "col")),
         "t": F.sum(n).over(by),
@@ -133,21 +134,30 @@ def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
         return z / z.sum()
 
     def solve(f, target: float) -> float:
-        left, right = -2.0, 2.0
-        while f(left) > target:
-            left *= 2
-            if left < -1e4:
-                return -math.inf
-        while f(right) < target:
-            right *= 2
-            if right > 1e4:
-                return math.inf
-        for _ in range(200):
+        """Root of an increasing function: widen a bracket, then Ridders' method."""
+        left, right = -1.0, 1.0
+        lo_v, hi_v = f(left) - target, f(right) - target
+        while lo_v > 0:
+            left, right, hi_v = left * 2 - 1, left, lo_v
+            lo_v = f(left) - target
+        while hi_v < 0:
+            left, right, lo_v = right, right * 2 + 1, hi_v
+            hi_v = f(right) - target
+        for _ in range(100):
             mid = (left + right) / 2
-            if f(mid) < target:
-                left = mid
-            else:
-                right = mid
+            mid_v = f(mid) - target
+            root = math.sqrt(mid_v * mid_v - lo_v * hi_v)
+            if root == 0 or right - left < 1e-13 * max(1.0, abs(mid)):
+                return mid
+            new = mid + (mid - left) * (-mid_v) / root
+            new_v = f(new) - target
+            points = sorted([(left, lo_v), (mid, mid_v), (new, new_v), (right, hi_v)])
+            for (a0, v0), (a1, v1) in zip(points, points[1:]):
+                if v0 <= 0 <= v1:
+                    left, lo_v, right, hi_v = a0, v0, a1, v1
+                    break
+            if new_v == 0:
+                return new
         return (left + right) / 2
 
     alpha = (1 - CONF) / 2
@@ -159,27 +169,47 @@ def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
     return {"p_value": min(1.0, p), "odds_ratio": est, "ci_lower": low, "ci_upper": high}
 
 
-FISHER_2X2 = "test {key}, n bigint, p_value double, odds_ratio double, ci_lower double, ci_upper double, note string"
+FISHER_2X2 = "p_value double, odds_ratio double, ci_lower double, ci_upper double, note string"
+FISHER_RX2 = "p_value double, note string"
 
 
-def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.pivot_table(index="row", columns="col", values="n", aggfunc="sum", fill_value=0).sort_index()
+def _tables(cells: DataFrame) -> DataFrame:
+    """One row per test with its cells as an array (rows x columns entries at most).
 
+    The number of partitions is fixed: the rows are few bytes but each costs
+    real arithmetic, so they must not be merged into few tasks.
+    """
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entry = F.struct("row", "col", F.col("n").cast("bigint").alias("n"))
+    return cells.repartition(parts, "test").groupBy("test").agg(
+        F.sum("n").cast("bigint").alias("n"), F.collect_list(entry).alias("cells")
+    )
 
-def fisher_2x2(cells: DataFrame) -> DataFrame:
-    """Exact test for every 2 x 2 table in the frame (rows and columns sorted by label)."""
-    key = cells.schema["test"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf)
-        base = {"test": pdf["test"].iloc[0], "n": int(pdf["n"].sum())}
-        empty = {"p_value": None, "odds_ratio": None, "ci_lower": None, "ci_upper": None}
-        if m.shape != (2, 2):
-            return pd.DataFrame([{**base, **empty, "note": "not a 2x2 table"}])
-        (a, b), (c, d) = m.to_numpy().tolist()
-        return pd.DataFrame([{**base, **fisher_exact_2x2(int(a), int(b), int(c), int(d)), "note": None}])
+def _matrix(entries) -> np.ndarray:
+    """Counts with rows and columns sorted by label."""
+    rows = {x: i for i, x in enumerate(sorted({e["row"] for e in entries}))}
+    cols = {x: i for i, x in enumerate(sorted({e["col"] for e in entries}))}
+    m = np.zeros((len(rows), len(cols)), dtype="int64")
+    for e in entries:
+        m[rows[e["row"]], cols[e["col"]]] += e["n"]
+    return m
 
-    return cells.groupBy("test").applyInPandas(run, FISHER_2X2.format(key=key))
+
+def fisher_2x2(cells: DataFrame) -> DataFrame:
+    """Exact test for every 2 x 2 table in the frame."""
+
+    @F.pandas_udf(FISHER_2X2)
+    def run(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for m in map(_matrix, column):
+            if m.shape == (2, 2):
+                out.append({**fisher_exact_2x2(*(int(x) for x in m.ravel())), "note": None})
+            else:
+                out.append({"note": "not a 2x2 table"})
+        return pd.DataFrame(out, columns=["p_value", "odds_ratio", "ci_lower", "ci_upper", "note"])
+
+    return _tables(cells).select("test", "n", run("cells").alias("r")).select("test", "n", "r.*")
 
 
 def fisher_exact_rx2(counts: np.ndarray, max_tables: int) -> float | None:
@@ -230,14 +260,16 @@ def fisher_rx2(cells: DataFrame, max_tables: int = 5_000_000) -> DataFrame:
     A table whose partial-table count exceeds ``max_tables`` gets a NULL p-value
     and a note; use ``chisq_test`` for it.
     """
-    key = cells.schema["test"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf).to_numpy()
-        base = {"test": pdf["test"].iloc[0], "n": int(pdf["n"].sum())}
-        if m.shape[1] != 2:
-            return pd.DataFrame([{**base, "p_value": None, "note": "not two columns"}])
-        p = fisher_exact_rx2(m, max_tables)
-        return pd.DataFrame([{**base, "p_value": p, "note": None if p is not None else "too many tables"}])
 
-    return cells.groupBy("test").applyInPandas(run, f"test {key}, n bigint, p_value double, note string")
+    @F.pandas_udf(FISHER_RX2)
+    def run(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for m in map(_matrix, column):
+            if m.shape[1] != 2:
+                out.append({"p_value": None, "note": "not two columns"})
+                continue
+            p = fisher_exact_rx2(m, max_tables)
+            out.append({"p_value": p, "note": None if p is not None else "too many tables"})
+        return pd.DataFrame(out, columns=["p_value", "note"])
+
+    return _tables(cells).select("test", "n", run("cells").alias("r")).select("test", "n", "r.*")

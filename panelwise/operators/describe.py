@@ -206,23 +206,24 @@ def _quantile_name(p: float) -> str:
     return "q" + f"{p * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Iterable[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Iterable[str] = (),
+                    accuracy: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
     No task ever holds all values of a group. Approximate quantiles cut each
     group into a handful of bins; the bins are counted exactly; only the bins
     that contain a wanted order statistic are ordered, after equal values were
     merged into counts. The cut points steer the cost only: any cut points give
-    the same, exact answer.
+    the same, exact answer. A wanted bin holds about ``6 / accuracy`` of a group.
     """
     by = list(by)
-    width = 0.002
+    width = 3.0 / accuracy
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-width, width)})
     x = F.col("__x")
     data = df.select(*by, F.col(value).cast("double").alias("__x")).where(x.isNotNull() & ~F.isnan(x))
 
     bounds = data.groupBy(*by).agg(
-        F.percentile_approx("__x", [float(c) for c in cuts], 10_000).alias("__b")
+        F.percentile_approx("__x", [float(c) for c in cuts], accuracy).alias("__b")
     )
     if by:
         binned = attach(data, bounds, by)
@@ -261,7 +262,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Itera
     for p, h in zip(probs, wanted):
         frac = F.max(h - F.floor(h))
         lo, hi = at(F.floor(h)), at(F.ceil(h))
-        aggs.append((lo + frac * (hi - lo)).alias(_quantile_name(p)))
+        aggs.append(((1 - frac) * lo + frac * hi).alias(_quantile_name(p)))
     return cells.groupBy(*by).agg(*aggs)
 
 

@@ -10,9 +10,10 @@ its distinct design rows before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,31 +75,26 @@ class Model:
         return reduce(lambda a, b: a & b, conds)
 
 
-def drop_unused_levels(df: DataFrame, models: Sequence[Model], cluster: str | None = None) -> list[Model]:
-    """Remove factor levels that no complete row carries: one aggregation for all models."""
-    aggs, slots = [], []
-    for i, m in enumerate(models):
-        for j, t in enumerate(m.terms):
-            if isinstance(t, Factor):
-                for k, lv in enumerate(t.levels):
-                    hit = m.complete(cluster) & (F.col(t.column) == F.lit(lv))
-                    aggs.append(F.coalesce(F.bool_or(hit), F.lit(False)).alias(f"u{len(slots)}"))
-                    slots.append((i, j, k))
-    if not aggs:
-        return list(models)
-    row = df.agg(*aggs).first()
-    kept: dict[tuple[int, int], list] = {}
-    for pos, (i, j, k) in enumerate(slots):
-        kept.setdefault((i, j), [])
-        if row[pos]:
-            kept[i, j].append(models[i].terms[j].levels[k])
-    out = []
-    for i, m in enumerate(models):
-        terms = []
-        for j, t in enumerate(m.terms):
-            terms.append(replace(t, levels=tuple(kept[i, j]) or t.levels) if isinstance(t, Factor) else t)
-        out.append(replace(m, terms=tuple(terms)))
-    return out
+def used_columns(model: Model, gram: np.ndarray) -> list[int]:
+    """Design columns of the levels that occur, from the cross products of the design.
+
+    The diagonal of a dummy column is its row count, so unused levels need no
+    scan of their own. Without rows at the reference level the first used level
+    takes its place.
+    """
+    n, keep, pos = gram[0, 0], [0], 1
+    for t in model.terms:
+        if not isinstance(t, Factor):
+            keep.append(pos)
+            pos += 1
+            continue
+        dummies = range(pos, pos + len(t.levels) - 1)
+        used = [c for c in dummies if gram[c, c] > 0]
+        if used and sum(gram[c, c] for c in used) >= n:
+            used = used[1:]
+        keep += used
+        pos += len(t.levels) - 1
+    return keep
 
 
 def cells(df: DataFrame, models: Sequence[Model], cluster: str | None = None) -> DataFrame:

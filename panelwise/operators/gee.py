@@ -27,14 +27,13 @@ from panelwise.operators.design import (
     Model,
     active,
     cells,
-    drop_unused_levels,
     linear_predictor,
     mean_of,
     pearson_scale,
     per_model,
 )
-from panelwise.operators.glm import start_values
-from panelwise.operators.linalg import free_columns, pairs, symmetric
+from panelwise.operators.glm import first_look
+from panelwise.operators.linalg import pairs, symmetric
 
 GEE_SCHEMA = (
     "model string, term string, estimate double, std_error double, wald double, p_value double, "
@@ -66,7 +65,7 @@ def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.
     a = per_model(alpha, len(models))
     aggs = []
     for i, j in pairs(width):
-        aggs += [f"sum(zz{i}_{j} - c * z{i} * z{j}) AS b{i}_{j}", f"sum(zz{i}_{j}) AS g{i}_{j}", f"sum(u{i} * u{j}) AS m{i}_{j}"]
+        aggs += [f"sum(zz{i}_{j} - c * z{i} * z{j}) AS b{i}_{j}", f"sum(u{i} * u{j}) AS m{i}_{j}"]
     aggs += [f"sum(u{j}) AS u{j}" for j in range(width)]
     aggs += [
         "sum(ee) AS ee", "sum((e * e - ee) / 2) AS cross", "sum(m * (m - 1) / 2) AS pairs", "sum(m) AS n",
@@ -83,7 +82,7 @@ def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.
     out = {}
     for row in rows:
         d = {k: row[k] for k in ("ee", "cross", "pairs", "n", "largest", "clusters", "top")}
-        for name in "bgm":
+        for name in "bm":
             d[name.upper()] = symmetric({(i, j): row[f"{name}{i}_{j}"] for i, j in pairs(width)}, width)
         d["U"] = np.array([row[f"u{j}"] for j in range(width)], dtype=float)
         out[row["model"]] = d
@@ -108,7 +107,6 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
     system or no convergence is reported through ``converged``.
     """
     models = [models] if isinstance(models, Model) else list(models)
-    models = drop_unused_levels(df, models, cluster)
     width = max(len(m.names) for m in models)
     frame = cells(df, models, cluster)
     frame = frame.repartitionByRange("model", "cluster", *[f"x{i}" for i in range(1, width)])
@@ -123,7 +121,8 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
         bread = np.linalg.pinv(s["B"][np.ix_(idx, idx)])
         cov = bread @ s["M"][np.ix_(idx, idx)] @ bread
         valid = s["converged"] and (s["largest"] <= 1 or s["alpha"] > -1 / (s["largest"] - 1)) and s["alpha"] < 1
-        for j, term in enumerate(m.names):
+        for j in s["keep"]:
+            term = m.names[j]
             est = se = None
             if j in idx:
                 est, se = float(s["beta"][j]), float(math.sqrt(max(cov[idx.index(j), idx.index(j)], 0.0)))
@@ -135,12 +134,11 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
 
 
 def _iterate(frame, models, width, tol, max_iter, corr, df_correct) -> dict[int, dict]:
-    beta = start_values(frame, models, width)
-    alpha = {i: 0.0 for i in beta}
-    state = {i: {"iter": 0, "converged": False} for i in beta}
-    for i, s in equation_sums(frame, models, beta, alpha, width).items():
-        state[i].update(s, beta=beta[i], free=free_columns(s["G"]), used=0.0)
-    todo = set(beta)
+    state = first_look(frame, models, width)
+    start = {i: s["beta"] for i, s in state.items()}
+    for i, s in equation_sums(frame, models, start, dict.fromkeys(start, 0.0), width).items():
+        state[i].update(s, used=0.0)
+    todo = set(state)
     for step in range(1, max_iter + 1):
         if not todo:
             break

@@ -21,9 +21,9 @@ from panelwise.operators.design import (
     active,
     by_kind,
     cells,
-    drop_unused_levels,
     linear_predictor,
     mean_of,
+    used_columns,
     working_weight,
 )
 from panelwise.operators.linalg import free_columns, pairs, symmetric
@@ -54,9 +54,8 @@ def _sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray]
     """Score, information and deviance of every model at its coefficients."""
     weight, score = working_weight(models)
     aggs = [f"sum(x{a} * x{b} * w * n) AS h{a}_{b}" for a, b in pairs(width)]
-    aggs += [f"sum(x{a} * x{b} * n) AS g{a}_{b}" for a, b in pairs(width)]
     aggs += [f"sum(x{a} * r) AS u{a}" for a in range(width)]
-    aggs += [f"sum({_deviance(models)}) AS dev", "max(eta) AS top", "sum(n) AS n", "sum(sy) AS sy"]
+    aggs += [f"sum({_deviance(models)}) AS dev", "max(eta) AS top", "sum(n) AS n"]
     rows = (
         frame.where(active(len(models), beta))
         .selectExpr("*", f"{linear_predictor(beta, width, len(models))} AS eta")
@@ -70,30 +69,28 @@ def _sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray]
     for row in rows:
         out[row["model"]] = {
             "H": symmetric({(a, b): row[f"h{a}_{b}"] for a, b in pairs(width)}, width),
-            "G": symmetric({(a, b): row[f"g{a}_{b}"] for a, b in pairs(width)}, width),
             "U": np.array([row[f"u{a}"] for a in range(width)], dtype=float),
             "dev": math.inf if row["dev"] is None else row["dev"],
-            "top": row["top"], "n": row["n"], "sy": row["sy"],
+            "top": row["top"], "n": row["n"],
         }
     return out
 
 
-def start_values(frame: DataFrame, models: Sequence[Model], width: int) -> dict[int, np.ndarray]:
-    """Intercept from the mean response, other coefficients 0."""
-    beta = {}
-    for row in frame.groupBy("model").agg(F.sum("sy").alias("s"), F.sum("n").alias("n")).collect():
+def first_look(frame: DataFrame, models: Sequence[Model], width: int) -> dict[int, dict]:
+    """Start values and usable columns of every model, from one pass over the cells."""
+    aggs = [f"sum(x{a} * x{b} * n) AS g{a}_{b}" for a, b in pairs(width)]
+    out = {}
+    for row in frame.groupBy("model").agg(F.expr("sum(sy) AS s"), *[F.expr(a) for a in aggs]).collect():  # one row per model
         m = models[row["model"]]
-        mean = row["s"] / row["n"]
+        gram = symmetric({(a, b): row[f"g{a}_{b}"] for a, b in pairs(width)}, width)
+        mean = row["s"] / gram[0, 0]
         b = np.zeros(width)
-        if m.link == "logit":
+        if m.link != "identity":
             mean = min(max(mean, 1e-6), 1 - 1e-6)
-            b[0] = math.log(mean / (1 - mean))
-        elif m.link == "log":
-            b[0] = math.log(min(max(mean, 1e-6), 1 - 1e-6))
-        else:
-            b[0] = mean
-        beta[row["model"]] = b
-    return beta
+        b[0] = mean if m.link == "identity" else math.log(mean) if m.link == "log" else math.log(mean / (1 - mean))
+        keep = used_columns(m, gram)
+        out[row["model"]] = {"beta": b, "keep": keep, "free": free_columns(gram, keep), "iter": 0, "converged": False}
+    return out
 
 
 def _valid(m: Model, s: dict) -> bool:
@@ -103,12 +100,10 @@ def _valid(m: Model, s: dict) -> bool:
 def fit_cells(frame: DataFrame, models: Sequence[Model], width: int, tol: float = 1e-10,
               max_iter: int = 25) -> dict[int, dict]:
     """Fisher scoring for all models at once; a step that leaves the mean range is halved."""
-    beta = start_values(frame, models, width)
-    todo = set(beta)
-    state = {i: {"iter": 0, "converged": False} for i in beta}
-    sums = _sums(frame, models, beta, width)
-    for i in beta:
-        state[i].update(sums[i], beta=beta[i], free=free_columns(sums[i]["G"]))
+    state = first_look(frame, models, width)
+    todo = set(state)
+    for i, s in _sums(frame, models, {i: state[i]["beta"] for i in state}, width).items():
+        state[i].update(s)
     for step in range(1, max_iter + 1):
         if not todo:
             break
@@ -149,7 +144,6 @@ def _cached(df: DataFrame, models: Sequence[Model], cluster: str | None = None)
 def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10, max_iter: int = 25) -> DataFrame:
     """Coefficient frame of one or many models: estimate, standard error, test, p."""
     models = [models] if isinstance(models, Model) else list(models)
-    models = drop_unused_levels(df, models)
     width = max(len(m.names) for m in models)
     frame = _cached(df, models)
     try:
@@ -164,7 +158,8 @@ def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10,
         if m.family == "gaussian":
             phi = s["dev"] / max(s["n"] - len(idx), 1)
         cov[np.ix_(idx, idx)] = np.linalg.pinv(s["H"][np.ix_(idx, idx)]) * phi
-        for j, term in enumerate(m.names):
+        for j in s["keep"]:
+            term = m.names[j]
             est = float(s["beta"][j]) if j in idx else None
             se = float(math.sqrt(max(cov[j, j], 0.0))) if j in idx else None
             z = est / se if se else None
@@ -185,12 +180,11 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
     on both conditions at once (Venzon and Moolgavkar 1988). All bounds share
     one aggregation per step: each bound is a column set with its own literals.
     """
-    models = drop_unused_levels(df, [model])
-    m = models[0]
+    m = model
     p = len(m.names)
-    frame = _cached(df, models)
+    frame = _cached(df, [m])
     try:
-        fit = fit_cells(frame, models, p)[0]
+        fit = fit_cells(frame, [m], p)[0]
         idx = fit["free"]
         cov = np.linalg.pinv(fit["H"][np.ix_(idx, idx)])
         target = fit["dev"] + CHI2_95
@@ -226,7 +220,8 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
     finally:
         frame.unpersist()
     rows = []
-    for j, term in enumerate(m.names):
+    for j in fit["keep"]:
+        term = m.names[j]
         if j not in idx:
             rows.append((m.name, term, None, None, None, None))
             continue

@@ -16,10 +16,10 @@ def symmetric(flat: dict[tuple[int, int], float], p: int) -> np.ndarray:
     return m
 
 
-def free_columns(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
-    """Columns that are not combinations of earlier ones."""
+def free_columns(gram: np.ndarray, candidates: list[int], tol: float = 1e-9) -> list[int]:
+    """Candidate columns that are not combinations of earlier ones."""
     kept: list[int] = []
-    for j in range(gram.shape[0]):
+    for j in candidates:
         if gram[j, j] <= 0:
             continue
         if kept:

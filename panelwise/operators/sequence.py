@@ -165,16 +165,24 @@ def incident_rows(df: DataFrame, key: str, order, value: str, negative,
     return number_within(known, [key], order, value, max_rows=max_rows).where(F.col("prev") == negative)
 
 
+def _narrow(df: DataFrame, *columns) -> DataFrame:
+    """Only the named columns, so that ordering moves nothing else."""
+    if not all(isinstance(c, str) for c in columns):
+        return df
+    return df.select(*dict.fromkeys(columns))
+
+
 def incident_tests(df: DataFrame, key: str, order, value: str, positive, negative,
                    max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
-    rows = incident_rows(df, key, order, value, negative, max_rows)
+    rows = incident_rows(_narrow(df, key, value, *order), key, order, value, negative, max_rows)
     return rows.agg(*result_summary(value, positive, negative))
 
 
 def incident_with_companion(df: DataFrame, key: str, order, value: str, companion: str, positive, negative,
                             max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Second test among new positives."""
-    rows = incident_rows(df, key, order, value, negative, max_rows).where(F.col(value) == positive)
+    rows = _narrow(df, key, value, companion, *order)
+    rows = incident_rows(rows, key, order, value, negative, max_rows).where(F.col(value) == positive)
     return rows.agg(*result_summary(companion, positive, negative))
 
 
