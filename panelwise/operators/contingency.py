@@ -61,8 +61,8 @@ def chisq_test(cells: DataFrame, correct: bool = True) -> DataFrame:
         "t": F.sum(n).over(by),
     }).withColumn("e", F.col("r") * F.col("k") / F.col("t"))
     per = c.groupBy("test").agg(
-        F.count_distinct("row").alias("n_row"),
-        F.count_distinct("col").alias("n_col"),
+        F.size(F.collect_set("row")).alias("n_row"),
+        F.size(F.collect_set("col")).alias("n_col"),
         F.count(F.lit(1)).alias("n_cell"),
         F.max("t").alias("t"),
         F.sum(F.pow(n - F.col("e"), 2) / F.col("e")).alias("s"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,7 +174,8 @@ def presence_summary(df: DataFrame, by: str, flag: str = "presence", na_rm: bool
 
 def all_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Number of rows on which every listed column is missing."""
-    return df.agg(F.count_if(F.coalesce(*[F.col(c) for c in columns]).isNull()).alias("n_all_missing"))
+    empty = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+    return df.agg(F.count_if(empty).alias("n_all_missing"))
 
 
 def moments(df: DataFrame, by: Iterable[str], value: str) -> DataFrame:

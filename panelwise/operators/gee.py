@@ -22,6 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwise.functions.intervals import coef_interval
 from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
@@ -175,12 +176,17 @@ def _iterate(frame, models, width, tol, max_iter, corr, df_correct) -> dict[int,
     return state
 
 
-def with_interval(coefs: DataFrame, exponentiate: bool = True, est: str = "estimate", se: str = "std_error") -> DataFrame:
-    """Coefficient frame plus estimate and interval, on the ratio scale if asked."""
-    from panelwise.functions.intervals import coef_interval
+def with_interval(coefs: DataFrame, exponentiate: bool = True, linear: Sequence[str] = ()) -> DataFrame:
+    """Coefficient frame plus estimate and interval.
 
-    e, lo, hi = coef_interval(est, se, exponentiate)
-    return coefs.withColumns({"est": e, "lwr": lo, "upr": hi})
+    With ``exponentiate`` they are on the ratio scale, except for the models
+    named in ``linear``.
+    """
+    plain = coef_interval("estimate", "std_error")
+    ratio = coef_interval("estimate", "std_error", exponentiate=True)
+    use_ratio = F.lit(exponentiate) & ~F.col("model").isin(*linear) if linear else F.lit(exponentiate)
+    names = ("est", "lwr", "upr")
+    return coefs.withColumns({n: F.when(use_ratio, b).otherwise(a) for n, a, b in zip(names, plain, ratio)})
 
 
 def trend_models(outcomes: Sequence[tuple[str, str]], time: str, adjust: Sequence = (), prefix: str = "trend") -> list[Model]:

@@ -127,8 +127,17 @@ def behaviour_flags(rows: DataFrame, text_compare: bool = True) -> DataFrame:
     return second.withColumns({f"not_{f}": nulls.complement(f) for f in flags})
 
 
+def typed(sheet: DataFrame) -> DataFrame:
+    """Sheet with a numeric id, whatever the file delivered."""
+    if dict(sheet.dtypes)[v.ID] in ("int", "bigint"):
+        return sheet
+    text = F.regexp_replace(F.trim(F.col(v.ID).cast("string")), r"\.0+$", "")
+    return sheet.withColumn(v.ID, text.try_cast("bigint"))
+
+
 def prepare(sheet: DataFrame, options: Options = Options()) -> Study:
     """All four analysis tables of the current data cut."""
+    sheet = typed(sheet)
     for column, fixes in options.sheet_fixes:
         sheet = clean.correct_cell(sheet, column, v.ID, fixes)
     sheet = demographics(sheet)
@@ -157,7 +166,7 @@ def presence(sheet: DataFrame, options: Options = Options(), visits=v.RAW_VISITS
     """Long presence table: one row per participant and visit."""
     have = [t for t in visits if any("VisitDate" in c and f"_{t}_" in c for c in sheet.columns)]
     dates = reshape.presence_columns(sheet.columns, have, form={k: f for k, f in options.form.items() if k in have})
-    with_site = sheet.withColumn("site", recode.leading_digit_label(v.ID, v.SITES))
+    with_site = typed(sheet).withColumn("site", recode.leading_digit_label(v.ID, v.SITES))
     return reshape.presence_long(with_site, [v.ID, "site"], dates).withColumnRenamed(v.ID, "id")
 
 

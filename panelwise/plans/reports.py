@@ -12,10 +12,17 @@ from panelwise.operators import contingency, describe, gee, glm, sequence
 from panelwise.operators.contingency import Pair
 from panelwise.operators.describe import Item
 from panelwise.operators.design import Factor, Model
-from panelwise.operators.joins import keep_ids
+from panelwise.operators.joins import attach, ids_only_in, keep_ids
 from panelwise.operators.reshape import unpivot_measures
 from panelwise.plans import values as v
-from panelwise.plans.prep import Study, predictor_frame, swab_with_answers, trend_frame
+from panelwise.plans.prep import (
+    Study,
+    lookup_keys,
+    predictor_frame,
+    swab_with_answers,
+    swab_with_presence,
+    trend_frame,
+)
 
 TREND_OUTCOMES = [
     ("NbreClieDernSemaine", "gaussian"), ("not_always_condom_client", "binomial"),
@@ -115,13 +122,22 @@ def condom_by_value(study: Study) -> dict[str, DataFrame]:
         "main": describe.group_share_within(maybe, "value", "FreqUtilervatifPart"),
         "main_known": describe.group_share_within(maybe, "value", "FreqUtilervatifPart", known_only=True),
         "by_status": describe.table_two(rows, items, "value"),
+        "partners": describe.table_one(
+            rows, [Item(c, F.col(c)) for c in ("reports_main_partner", "reports_client", "reports_either")]
+        ),
     }
 
 
+def _level_visits(rows: DataFrame) -> DataFrame:
+    """Visits outside the analysis list become one missing group."""
+    return rows.withColumn("visit", recode.within_levels("visit", v.VISITS))
+
+
 def figure_condoms(study: Study, by_site: bool = False, complement: bool = True) -> DataFrame:
     """Share (not) always using condoms per measure and visit, with score intervals."""
     ids = ["id", "visit", *(["site"] if by_site else [])]
-    rows = unpivot_measures(study.behaviour, ids, list(v.MEASURE_LABELS))
+    rows = _level_visits(study.behaviour)
+    rows = unpivot_measures(rows, ids, list(v.MEASURE_LABELS))
     rows = rows.withColumn("measure", recode.lookup("measure", v.MEASURE_LABELS))
     flag = 1 - F.col("value") if complement else F.col("value")
     by = ["measure", *(["site"] if by_site else []), "visit"]
@@ -133,15 +149,14 @@ def figure_clients(study: Study, by_site: bool = False) -> DataFrame:
     """Mean, median and interval of the number of clients per visit."""
     by = [*(["site"] if by_site else []), "visit"]
     lo, hi = mean_interval("mean", "sd", "n")
-    out = describe.group_moments(study.behaviour, by, "NbreClieDernSemaine")
+    out = describe.group_moments(_level_visits(study.behaviour), by, "NbreClieDernSemaine")
     return out.withColumns({"lower": lo, "upper": hi, "visit_num": recode.lookup("visit", v.VISIT_MONTH)})
 
 
 def figure_detection(study: Study, grouped: bool = False) -> DataFrame:
     """Samples, positives, share and interval per visit or visit group."""
-    rows = study.swab.where(F.col("visit_ord").isNotNull())
-    if grouped:
-        rows = rows.withColumn("visit", recode.lookup("visit", v.VISIT_GROUP))
+    visit = recode.lookup("visit", v.VISIT_GROUP) if grouped else recode.within_levels("visit", v.VISITS)
+    rows = study.swab.withColumn("visit", visit)
     return describe.positives_over_visits(rows, "visit", "value", v.POSITIVE)
 
 
@@ -170,7 +185,7 @@ def sti_summary(study: Study) -> dict[str, DataFrame]:
     out = {
         "prevalence": describe.period_prevalence(study.sti, tests, base, v.STI_POSITIVE),
         "availability": describe.availability(
-            study.sti, "visit", tests, ("rpr", "tpha") if {"rpr", "tpha"} <= set(tests) else None,
+            _level_visits(study.sti), "visit", tests, ("rpr", "tpha") if {"rpr", "tpha"} <= set(tests) else None,
             study.baseline.agg(F.count(F.lit(1))).scalar(),
         ),
     }
@@ -188,10 +203,44 @@ def sti_summary(study: Study) -> dict[str, DataFrame]:
     return out
 
 
+def sti_by_swab(study: Study) -> dict[str, DataFrame]:
+    """Companion tests on the sampled rows: availability, results, prevalence, result by swab."""
+    tests = {k: c for k, c in v.STI_RESULTS.items() if c in study.sti.columns}
+    offered = {f"{k}_offered": c for k, c in v.STI_AVAILABLE.items() if c in study.sti.columns}
+    rows = attach(study.swab, study.sti.drop("visit_ord"), ["id", "visit", "site"])
+    return {
+        "levels": describe.table_one(rows, [Item(k, F.col(c)) for k, c in {**tests, **offered}.items()]),
+        "prevalence": describe.period_prevalence(rows, tests, F.col("visit") == "scr", v.STI_POSITIVE),
+        "by_swab": describe.companion_table(rows, tests, "value"),
+    }
+
+
+def missingness(study: Study, presence_rows: DataFrame) -> dict[str, DataFrame]:
+    """Attendance by visit, and presence of sampled rows by visit and site."""
+    merged = swab_with_presence(study.swab, presence_rows)
+    answers = [c for c in study.behaviour.columns if any(stem in c for stem in v.BEHAVIOUR_STEMS)]
+    return {
+        "attendance": describe.presence_summary(presence_rows, "visit"),
+        "sampled_by_visit": describe.presence_summary(merged, "visit"),
+        "sampled_by_site": describe.presence_summary(merged, "site"),
+        "no_answers": describe.all_missing(swab_with_answers(study), answers),
+    }
+
+
+def reconcile(swab: DataFrame, persons: DataFrame, sample_list: DataFrame) -> dict[str, DataFrame]:
+    """Audit against outside lists: sampled persons not listed, samples listed twice."""
+    keys = lookup_keys(sample_list)
+    return {
+        "persons_not_listed": ids_only_in(swab, persons, "id"),
+        "listed_twice": keys.groupBy("id", "visit").agg(F.count("*").alias("n")).where("n > 1"),
+    }
+
+
 def trends(study: Study, adjusted: bool = True) -> DataFrame:
     """Six outcomes, each with a linear month trend, from one keyed fit."""
     models = gee.trend_models(TREND_OUTCOMES, "visit_num", ADJUST if adjusted else ())
-    return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id"), exponentiate=False)
+    linear = [m.name for m in models if m.family == "gaussian"]
+    return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id"), linear=linear)
 
 
 def baseline_predictors(study: Study, sites=tuple(sorted(v.SITES.values()))) -> DataFrame:
@@ -203,8 +252,12 @@ def baseline_predictors(study: Study, sites=tuple(sorted(v.SITES.values()))) ->
     return gee.with_interval(gee.predictor_screen(predictor_frame(study), "yc_result", predictors, "id"))
 
 
-def behaviour_predictors(study: Study) -> DataFrame:
-    """Univariate clustered models of detection on self-report; one is linear."""
+def behaviour_predictors(study: Study, linear_as_ratio: bool = True) -> DataFrame:
+    """Univariate clustered models of detection on self-report.
+
+    The number of clients enters a linear model. Its coefficient is reported on
+    the exponential scale like the others unless ``linear_as_ratio`` is off.
+    """
     partnered = F.col("has_partner")
     logit = [
         "reports_client", "reports_main_partner", "reports_either", "not_always_condom_client",
@@ -214,14 +267,13 @@ def behaviour_predictors(study: Study) -> DataFrame:
     masked = {p: partnered for p in logit if p.endswith(("_main", "_both"))}
     models = gee.screen_models("yc_result", logit, masked)
     models += gee.screen_models("yc_result", ["NbreClieDernSemaine"], None, "gaussian", "identity")
-    return gee.with_interval(gee.fit_gee(study.behaviour, models, "id"))
+    linear = () if linear_as_ratio else ("NbreClieDernSemaine",)
+    return gee.with_interval(gee.fit_gee(study.behaviour, models, "id"), linear=linear)
 
 
 def one_row_screen(study: Study, seed: int = 0) -> dict[str, DataFrame]:
     """One random sample per person: rates, contingency tests, logistic fits."""
     answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
-    from panelwise.operators.joins import attach
-
     rows = attach(predictor_frame(study, random_one=True, seed=seed), answers, ["id", "visit", "site"])
     rows = rows.withColumns({
         "clients_fine": recode.cut(F.col("NbreClieDernSemaine"), v.CLIENT_FINE_BREAKS, v.CLIENT_FINE_LEVELS),

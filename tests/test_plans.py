@@ -202,3 +202,41 @@ def test_one_row_screen(study):
     assert {r.model for r in out["glm"].select("model").distinct().collect()} >= {"age", "site", "always_condom_main", "NbreClieDernSemaine"}
     prof = out["clients_profile"].where("term = 'NbreClieDernSemaine'").first()
     assert prof.lower < prof.estimate < prof.upper
+
+
+def test_companion_tests_and_missingness(study, hand):
+    out = reports.sti_by_swab(study)
+    n = study.swab.count()
+    assert {r.n for r in out["levels"].groupBy("variable").agg(F.sum("n").alias("n")).collect()} == {n}
+    cross = out["by_swab"].where("variable = 'rpr' AND level = 'positif'").agg(F.sum("n")).first()[0]
+    prev = out["prevalence"].where("test = 'rpr' AND period = 'overall'").first()
+    assert prev.num_pos == cross and prev.n_rows == n
+    small = prep.prepare(hand)
+    miss = reports.missingness(small, prep.presence(hand))
+    assert table(miss["attendance"].select("visit", "present", "total"), "visit")["m12"] == (1, 5)
+    assert miss["no_answers"].first()[0] == 2  # answers exist only for the screening rows of two people
+
+
+def test_reconciliation(study, frame):
+    ids = [r.id for r in study.swab.select("id").distinct().collect()]
+    persons = frame([(i,) for i in ids[1:]], "id bigint")
+    listed = frame([(1, "screen"), (1, "screen"), (1, "3")], "id bigint, visit string")
+    out = reports.reconcile(study.swab, persons, listed)
+    assert [r.id for r in out["persons_not_listed"].collect()] == [ids[0]]
+    assert table(out["listed_twice"], "id", "visit") == {(1, "scr"): 2}
+
+
+def test_interval_scale_follows_the_model(study):
+    tr = {r.model: r for r in reports.trends(study, adjusted=False).where("term = 'visit_num'").collect()}
+    lin, log = tr["trend:NbreClieDernSemaine"], tr["trend:yc_result"]
+    assert lin.est == lin.estimate and log.est == pytest.approx(2.718281828459045**log.estimate)
+
+
+def test_whole_study_from_a_csv_sheet(spark, frame, tmp_path):
+    from panelwise.plans import study as whole
+
+    make_sheet(frame, crowd(seed=9, n=120)).write.csv(str(tmp_path / "sheet"), header=True)
+    paths = whole.run(spark, str(tmp_path / "sheet"), str(tmp_path / "out"), "csv")
+    assert len(paths) > 50
+    trends = spark.read.parquet(next(p for p in paths if p.endswith("/trends")))
+    assert trends.where("term = 'visit_num'").count() == 6
