@@ -31,6 +31,20 @@ class Factor:
         return self.name or self.column
 
 
+def discover_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> list[Factor]:
+    """Factors whose levels are the sorted values found in the data.
+
+    A column with more than ``limit`` values is refused: it is not a category.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    found = df.select(F.inline(pairs)).where("v IS NOT NULL").distinct().limit(limit * len(columns) + 1).collect()
+    levels = {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
+    for c, values in levels.items():
+        if len(values) > limit:
+            raise ValueError(f"{c} has more than {limit} levels")
+    return [Factor(c, tuple(values)) for c, values in levels.items()]
+
+
 @dataclass(frozen=True)
 class Model:
     """One regression: response, terms (column names or factors) and a row filter."""

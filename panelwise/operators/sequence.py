@@ -76,7 +76,7 @@ def number_within(df: DataFrame, keys: Iterable[str], order: Iterable[str | Colu
     numbering and hands over the last value. The segment assignment is written
     with ``checkpoint()``, so a lost executor cannot change it.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     sort = "__sort"
     rows = df.withColumn(sort, order_key(order))
     w = Window.partitionBy(*keys).orderBy(sort)
@@ -90,12 +90,15 @@ def number_within(df: DataFrame, keys: Iterable[str], order: Iterable[str | Colu
     ensure_checkpoint_dir(df.sparkSession)
     heavy = heavy.checkpoint()
     light = _null_safe(rows, heavy, keys, "left_anti").withColumns(plain)
-    n_segments = int(total // max_rows) + 1
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_segments = max(partitions, int(total // max_rows) + 1)
     seg = (
         _null_safe(rows, heavy, keys, "left_semi")
         .repartitionByRange(n_segments, *keys, sort)
+        .drop(sort)
         .withColumn("__seg", F.spark_partition_id())
         .checkpoint()
+        .withColumn(sort, order_key(order))
     )
     inside = Window.partitionBy(*keys, "__seg").orderBy(sort)
     across = Window.partitionBy(*keys).orderBy("__seg")
@@ -281,9 +284,18 @@ def pivot_repeat(df: DataFrame, key: str, order: Sequence[str], value: str, repe
                  prefix: str = "swab_") -> DataFrame:
     """One row per participant with exactly ``repeats`` samples, one column each.
 
-    Samples of a participant are collected only after the count filter, so an
-    array never holds more than ``repeats`` entries.
+    Two samples are the earliest and the latest row of one aggregation. For more,
+    samples are collected only after the count filter, so an array never holds
+    more than ``repeats`` entries.
     """
+    if repeats == 2:
+        place = order_key(order)
+        per = df.groupBy(key).agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.min_by(F.struct(F.col(value).alias("v")), place).alias("a"),
+            F.max_by(F.struct(F.col(value).alias("v")), place).alias("b"),
+        )
+        return per.where("__n = 2").select(key, F.col("a.v").alias(f"{prefix}1"), F.col("b.v").alias(f"{prefix}2"))
     exact = add_count(df, [key], "__n").where(F.col("__n") == repeats)
     cells = F.sort_array(F.collect_list(F.struct(order_key(order).alias("k"), F.col(value).alias("v"))))
     per = exact.groupBy(key).agg(cells.alias("cells"))

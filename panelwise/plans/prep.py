@@ -172,8 +172,9 @@ def presence(sheet: DataFrame, options: Options = Options(), visits=v.RAW_VISITS
 
 def swab_with_answers(study: Study) -> DataFrame:
     """Sampled rows with the answers of the same visit."""
-    answers = study.behaviour.drop("date", "value", "visit_ord")
-    return attach(study.swab, answers, ["id", "visit", "site"])
+    answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
+    swab = study.swab.withColumn("yc_result", nulls.ind(F.col("value") == v.POSITIVE))
+    return attach(swab, answers, ["id", "visit", "site"])
 
 
 def swab_with_presence(swab: DataFrame, presence_rows: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from panelwise.functions import recode
 from panelwise.functions.intervals import bind_wilson, mean_interval, wald
-from panelwise.functions.nulls import ind
+from panelwise.functions.nulls import ind, safe_double
 from panelwise.operators import contingency, describe, gee, glm, sequence
 from panelwise.operators.contingency import Pair
 from panelwise.operators.describe import Item
-from panelwise.operators.design import Factor, Model
+from panelwise.operators.design import Factor, Model, discover_levels
 from panelwise.operators.joins import attach, ids_only_in, keep_ids
 from panelwise.operators.reshape import unpivot_measures
 from panelwise.plans import values as v
@@ -69,11 +69,18 @@ def table_one(cohort: DataFrame) -> dict[str, DataFrame]:
         Item("confidence_main", F.col("confidence_main")),
         Item("confidence_main_partnered", F.col("confidence_main"), has_main),
         Item("confidence_client", F.col("confidence_client")),
+        Item("married", F.col("married")),
+        Item("edu", F.col("edu")),
     ]
-    age = describe.exact_quantiles(cohort, "age", [0.25, 0.5, 0.75])
+    raw = {"french": v.FRENCH, "schooling_code": v.SCHOOLING, "schooling_text": v.SCHOOLING_OTHER}
+    items += [Item(k, F.col(c)) for k, c in raw.items() if c in cohort.columns]
+    cohort = cohort.withColumn("clients", safe_double(recode.blank_out(v.CLIENTS, v.UNKNOWN_ANSWERS)))
+    age, clients = (describe.exact_quantiles(cohort, c, [0.25, 0.5, 0.75]) for c in ("age", "clients"))
     return {
         "age": describe.numeric_summary(cohort, "age"),
         "age_quartiles": age.withColumn("iqr", F.col("q75") - F.col("q25")),
+        "clients": describe.numeric_summary(cohort, "clients"),
+        "clients_quartiles": clients,
         "levels": describe.table_one(cohort, items),
         "ethnic_by_text": describe.freq_2way(cohort, v.ETHNIC, v.ETHNIC_OTHER, include_na=True),
     }
@@ -133,10 +140,15 @@ def _level_visits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("visit", recode.within_levels("visit", v.VISITS))
 
 
-def figure_condoms(study: Study, by_site: bool = False, complement: bool = True) -> DataFrame:
-    """Share (not) always using condoms per measure and visit, with score intervals."""
+def figure_condoms(study: Study, by_site: bool = False, complement: bool = True, sampled: bool = False) -> DataFrame:
+    """Share (not) always using condoms per measure and visit, with score intervals.
+
+    ``sampled`` restricts to participants with a laboratory result.
+    """
     ids = ["id", "visit", *(["site"] if by_site else [])]
     rows = _level_visits(study.behaviour)
+    if sampled:
+        rows = keep_ids(rows, study.swab, "id")
     rows = unpivot_measures(rows, ids, list(v.MEASURE_LABELS))
     rows = rows.withColumn("measure", recode.lookup("measure", v.MEASURE_LABELS))
     flag = 1 - F.col("value") if complement else F.col("value")
@@ -243,13 +255,29 @@ def trends(study: Study, adjusted: bool = True) -> DataFrame:
     return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id"), linear=linear)
 
 
-def baseline_predictors(study: Study, sites=tuple(sorted(v.SITES.values()))) -> DataFrame:
+def log_trends(study: Study) -> dict[str, DataFrame]:
+    """Risk-ratio models of detection: by month without and with clustering, and by main partner."""
+    swab = study.swab.withColumns({
+        "yc_result": ind(F.col("value") == v.POSITIVE), "visit_num": recode.lookup("visit", v.VISIT_MONTH),
+    })
+    month = Model("visit_num", "yc_result", ("visit_num",), "binomial", "log")
+    partner = Model("reports_main_partner", "yc_result", ("reports_main_partner",), "binomial", "log")
+    return {
+        "glm": gee.with_interval(glm.fit_glm(swab, month)),
+        "gee": gee.with_interval(gee.fit_gee(swab, month, "id")),
+        "gee_partner": gee.with_interval(gee.fit_gee(swab_with_answers(study), partner, "id")),
+    }
+
+
+def baseline_predictors(study: Study) -> DataFrame:
     """Univariate clustered models of detection on baseline covariates."""
+    rows = predictor_frame(study)
     predictors = [
         Factor("age_cat", v.AGE_LEVELS), Factor("registered", v.REGISTERED_LEVELS),
-        Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS), Factor("edu", v.EDU_LEVELS), Factor("site", sites),
+        Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS), Factor("edu", v.EDU_LEVELS),
+        *discover_levels(rows, ["site"]),
     ]
-    return gee.with_interval(gee.predictor_screen(predictor_frame(study), "yc_result", predictors, "id"))
+    return gee.with_interval(gee.predictor_screen(rows, "yc_result", predictors, "id"))
 
 
 def behaviour_predictors(study: Study, linear_as_ratio: bool = True) -> DataFrame:
@@ -306,10 +334,12 @@ def one_row_screen(study: Study, seed: int = 0) -> dict[str, DataFrame]:
         Factor("age_quart", v.AGE_QUART_LEVELS), Factor("age_cat", v.AGE_LEVELS),
         Factor("registered", v.REGISTERED_LEVELS), Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS),
         Factor("married_cat", v.MARITAL_LEVELS), Factor("edu", v.EDU_LEVELS),
-        Factor("site", tuple(sorted(v.SITES.values()))),
+        *discover_levels(rows, ["site", "FreqUtilPreservatif", "FreqUtilervatifPart"]),
     ]
     models = [Model("age", "pos", ("age",))]
-    models += [Model(f.column, "pos", (f,)) for f in factors]
+    models += [
+        Model(f.column, "pos", (f,), where=partnered if f.column == "FreqUtilervatifPart" else None) for f in factors
+    ]
     models += [Model(c, "pos", (c,)) for c in ("always_condom_client", "NbreClieDernSemaine", "reports_main_partner")]
     models.append(Model("always_condom_main", "pos", ("always_condom_main",), where=partnered))
     return {

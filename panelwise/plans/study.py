@@ -42,6 +42,7 @@ def all_reports(study: prep.Study, presence_rows: DataFrame | None = None) -> di
     add("condoms", reports.condom_by_value(study))
     add("figure_condoms", reports.figure_condoms(study))
     add("figure_condoms_site", reports.figure_condoms(study, by_site=True, complement=False))
+    add("figure_condoms_sampled", reports.figure_condoms(study, complement=False, sampled=True))
     add("figure_clients", reports.figure_clients(study))
     add("figure_clients_site", reports.figure_clients(study, by_site=True))
     add("figure_detection", reports.figure_detection(study))
@@ -54,6 +55,7 @@ def all_reports(study: prep.Study, presence_rows: DataFrame | None = None) -> di
         add("missingness", reports.missingness(study, presence_rows))
     add("trends", reports.trends(study))
     add("trends_unadjusted", reports.trends(study, adjusted=False))
+    add("log_trends", reports.log_trends(study))
     add("baseline_predictors", reports.baseline_predictors(study))
     add("behaviour_predictors", reports.behaviour_predictors(study))
     add("one_row", reports.one_row_screen(study))

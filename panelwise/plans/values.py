@@ -19,7 +19,9 @@ ETHNIC_OTHER = "F00_scr_q03EthnieAutre"
 NATIONALITY = "F00_scr_q04Nationalite"
 NATIONALITY_OTHER = "F00_scr_q04NationaliteAutre"
 MARITAL = "F00_scr_q07StatutMatrimonial"
+FRENCH = "F00_scr_q08EtudeFrancaise"
 SCHOOLING = "F00_scr_q09Scolarite"
+SCHOOLING_OTHER = "F00_scr_q09ScolariteAutre"
 REGISTERED = "F00_scr_q10aTSEnregistree"
 ENROLMENT_DATE = "F00_j0_h00VisitDate"
 CLIENTS = "F14_j0_q03NbreClieDernSemaine"

@@ -153,6 +153,8 @@ def test_figures(study):
     num = study.behaviour.where("visit = 'm3' AND always_condom_client = 0").count()
     assert fig["Clients", "m3"][0] == num and fig["Clients", "m3"][2] == 3
     assert reports.figure_condoms(study, by_site=True, complement=False).count() == 2 * 4 * 3
+    some = {(r.measure, r.visit): r.n for r in reports.figure_condoms(study, sampled=True).collect()}
+    assert all(some[k] <= fig[k][1] for k in some) and some["Clients", "scr"] < fig["Clients", "scr"][1]
     clients = {r.visit: r for r in reports.figure_clients(study).collect()}
     assert clients["scr"].n == study.behaviour.where("visit = 'scr'").count() > clients["scr"].n_known
     det = {r.visit: r for r in reports.figure_detection(study, grouped=True).collect()}
@@ -183,6 +185,10 @@ def test_repeats_and_sti(study):
 
 
 def test_models_of_the_study(study):
+    log = reports.log_trends(study)
+    assert {t.term for t in log["gee"].collect()} == {"(Intercept)", "visit_num"} and log["gee_partner"].count() == 2
+    both = log["glm"].where("term = 'visit_num'").first()
+    assert both.est == pytest.approx(2.718281828459045**both.estimate) and both.converged
     tr = reports.trends(study)
     assert tr.where("term = 'visit_num'").count() == 6 and tr.where("NOT converged").count() == 0
     base = reports.baseline_predictors(study)
@@ -199,7 +205,8 @@ def test_one_row_screen(study):
     chi = {r.test: r for r in out["chisq"].collect()}
     assert chi["site"].n == people and chi["site"].df == 3 and 0 <= chi["site"].p_value <= 1
     assert all(r.note is None and 0 < r.p_value <= 1 for r in out["fisher"].collect())
-    assert {r.model for r in out["glm"].select("model").distinct().collect()} >= {"age", "site", "always_condom_main", "NbreClieDernSemaine"}
+    assert {r.model for r in out["glm"].select("model").distinct().collect()} >= {
+        "age", "site", "always_condom_main", "NbreClieDernSemaine", "FreqUtilPreservatif", "FreqUtilervatifPart"}
     prof = out["clients_profile"].where("term = 'NbreClieDernSemaine'").first()
     assert prof.lower < prof.estimate < prof.upper
 
