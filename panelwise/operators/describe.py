@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.nulls import _col, any_true, ind, mean_na, ratio, sum_na
-from panelwise.operators.joins import attach
+from panelwise.operators.joins import attach, checked_small
 
 
 
@@ -215,7 +215,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Itera
     No task ever holds all values of a group. Approximate quantiles cut each
     group into a handful of bins; the bins are counted exactly; only the bins
     that contain a wanted order statistic are ordered, after equal values were
-    merged into counts. The cut points steer the cost only: any cut points give
+    merged into counts. That is three narrow passes over the column, the first two
+    run when the operator is called. The cut points steer the cost only: any cut points give
     the same, exact answer. A wanted bin holds about ``6 / accuracy`` of a group.
     """
     by = list(by)
@@ -224,13 +225,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Itera
     x = F.col("__x")
     data = df.select(*by, F.col(value).cast("double").alias("__x")).where(x.isNotNull() & ~F.isnan(x))
 
-    bounds = data.groupBy(*by).agg(
-        F.percentile_approx("__x", [float(c) for c in cuts], accuracy).alias("__b")
-    )
+    approx = F.percentile_approx("__x", [float(c) for c in cuts], accuracy)
     if by:
+        bounds = checked_small(data.groupBy(*by).agg(approx.alias("__b")))
         binned = attach(data, bounds, by)
     else:
-        binned = data.withColumn("__b", bounds.scalar())
+        found = data.agg(approx.alias("b")).first()["b"] or [0.0] * len(cuts)
+        binned = data.withColumn("__b", F.lit([float(b) for b in found]))
     above = sum((F.when(x > F.col("__b")[i], 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
     binned = binned.select(*by, "__x", above.alias("__bin"))
 
@@ -246,11 +247,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Itera
     for h in wanted:
         for k in (F.floor(h), F.ceil(h)):
             inside = inside | ((k >= F.col("__before")) & (k < F.col("__before") + F.col("__c")))
-    needed = per_bin.where(inside).drop("__c")
+    needed = checked_small(per_bin.where(inside).drop("__c"))
 
-    # Order statistics inside the needed bins, on distinct values with counts.
-    values = binned.groupBy(*by, "__bin", "__x").agg(F.count("*").alias("__m"))
-    cells = _match(values, needed, [*by, "__bin"])
+    # Only rows of the needed bins are shuffled, equal values merged into counts.
+    keys = [*by, "__bin"]
+    cells = _match(binned, needed, keys).groupBy(*keys, "__before", "__n", "__x").agg(F.count("*").alias("__m"))
     run = Window.partitionBy(*by, "__bin").orderBy("__x")
     start = F.col("__before") + F.coalesce(
         F.sum("__m").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

@@ -1,8 +1,9 @@
 """Joins on participant and visit keys.
 
-No join carries a broadcast hint. Spark broadcasts a side only when its measured
-size is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles
-both sides; adaptive execution then splits partitions of hot keys.
+Joins of tables carry no broadcast hint. Spark broadcasts a side only when its
+measured size is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
+shuffles both sides; adaptive execution then splits partitions of hot keys.
+Only summaries whose rows were counted are broadcast on purpose.
 """
 
 from __future__ import annotations
@@ -31,6 +32,18 @@ def attach(left: DataFrame, right: DataFrame, on: Iterable[str], null_safe: bool
     return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
+def checked_small(df: DataFrame, cap: int = 50_000) -> DataFrame:
+    """Materialise a summary; mark it for broadcasting if it has at most ``cap`` rows.
+
+    The row count is known before the mark is set. A longer frame comes back
+    unchanged and is joined by shuffling.
+    """
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, ids_column: str | None = None) -> DataFrame:
     """Rows whose id occurs in the list."""
     keys = ids.select(F.col(ids_column or column).alias("__id"))

@@ -111,3 +111,18 @@ def test_corrections(frame):
     assert {r.id for r in clean.remap_key(df, "id", {3: 9}).collect()} == {1, 2, 9}
     assert clean.drop_value(df, "v", "U").count() == 2
     assert clean.keep_or_unknown(df, F.col("v") == "N").count() == 3
+
+
+def test_quantiles_of_many_groups_join_by_shuffle(frame, monkeypatch):
+    rnd = random.Random(5)
+    data = [(i % 300, rnd.random()) for i in range(3000)]
+    df = frame(data, "g int, x double")
+    small = table(describe.exact_quantiles(df, "x", [0.5], ["g"]), "g")
+    monkeypatch.setattr(describe, "checked_small", lambda d: joins.checked_small(d, cap=10))
+    assert table(describe.exact_quantiles(df, "x", [0.5], ["g"]), "g") == small
+    assert small[7] == pytest.approx(np.median([x for g, x in data if g == 7]))
+
+
+def test_quantiles_without_values(frame):
+    df = frame([(None,), (float("nan"),)], "x double")
+    assert [tuple(r) for r in describe.exact_quantiles(df, "x", [0.5]).collect()] == [(None,)]
