@@ -43,6 +43,8 @@ def text_results(study: Study) -> dict[str, DataFrame]:
             {"se": se, "wald_lower": lo, "wald_upper": hi}
         )
     tests = {k: (c, v.STI_POSITIVE) for k, c in v.STI_RESULTS.items() if k != "rpr" and c in study.sti.columns}
+    if not tests:
+        return out
     out["sti_ever"] = describe.any_totals(study.sti, "id", tests)
     base = study.sti.where(F.col("visit") == "scr")
     out["sti_baseline"] = base.agg(
