@@ -107,22 +107,22 @@ def lab_grid(columns: Iterable[str]) -> dict[str, dict[str, str]]:
     return dict(grid)
 
 
-def visits_from_wide(df: DataFrame, ids: Iterable[str | Column], grid: Mapping[str, Mapping[str, str]],
+def visits_from_wide(df: DataFrame, ids: Iterable[str | Column], grid: Mapping[str, Mapping[str, str | Column]],
                      visit: str = "visit") -> DataFrame:
-    """Visit table straight from the wide row: explode one struct per visit."""
+    """Visit table straight from the wide row: explode one struct per visit.
+
+    Cells are column names or expressions over the wide row.
+    """
     variables = sorted({v for cells in grid.values() for v in cells})
+
+    def cell(cells: Mapping[str, str | Column], name: str) -> Column:
+        return _col(cells[name]) if name in cells else F.lit(None)
+
     rows = [
-        F.struct(
-            F.lit(token).alias(visit),
-            *[
-                (F.col(cells[v]).cast("string") if v in cells else F.lit(None).cast("string")).alias(v)
-                for v in variables
-            ],
-        )
+        F.struct(F.lit(token).alias(visit), *[cell(cells, v).cast("string").alias(v) for v in variables])
         for token, cells in grid.items()
     ]
-    names = list(ids)
-    return df.select(*names, F.inline(F.array(*rows)))
+    return df.select(*ids, F.inline(F.array(*rows)))
 
 
 def presence_columns(columns: Iterable[str], tokens: Iterable[str], stem: str = "VisitDate",

@@ -1,8 +1,9 @@
 """From the wide sheet to analysis tables.
 
-``prepare`` scans the sheet once per output table and never shuffles to reshape:
-visit rows are exploded from the participant row. The only shuffles are the
-visit join and the enrolment filter.
+The sheet has one row per participant, so everything a visit row needs - answers,
+laboratory result, enrolment - is on that row. ``prepare`` explodes visit rows
+from it and shuffles nothing. Only participants whose samples were mislabelled
+need a real join, and the scan is filtered to those few first.
 """
 
 from __future__ import annotations
@@ -135,26 +136,54 @@ def typed(sheet: DataFrame) -> DataFrame:
     return sheet.withColumn(v.ID, text.try_cast("bigint"))
 
 
-def prepare(sheet: DataFrame, options: Options = Options()) -> Study:
-    """All four analysis tables of the current data cut."""
-    sheet = typed(sheet)
-    for column, fixes in options.sheet_fixes:
-        sheet = clean.correct_cell(sheet, column, v.ID, fixes)
-    sheet = demographics(sheet)
-    behaviour = visit_answers(sheet, v.BEHAVIOUR_STEMS)
-    clients = recode.replace_any(
-        recode.blank_out("NbreClieDernSemaine", v.UNKNOWN_ANSWERS), v.ZERO_TYPOS, "0"
-    )
-    if "NbreClieDernSemaine" in behaviour.columns:
-        behaviour = behaviour.withColumn(
-            "NbreClieDernSemaine", nulls.safe_int(clients) if options.numeric_clients else clients
-        )
+def lab_cells(sheet: DataFrame, options: Options) -> dict[str, dict[str, Column]]:
+    """Kept laboratory value and date per visit, as expressions over the wide row."""
+    none = F.lit(None).cast("string")
+    cells = {}
+    for visit, names in reshape.lab_grid(matching(sheet.columns, v.LAB_STEM)).items():
+        value = F.col(names["value"]).cast("string") if "value" in names else none
+        date = F.col(names["date"]).cast("string") if "date" in names else none
+        fixed = value
+        for k, right in options.lab_fixes.items():
+            fixed = F.when((F.col(v.ID) == k) & (value.isNotNull() | date.isNotNull()), F.lit(right)).otherwise(fixed)
+        keep = fixed != v.UNCERTAIN
+        cells[visit] = {"value": F.when(keep, fixed), "date": F.when(keep, date)}
+    return cells
+
+
+def _finish(rows: DataFrame, options: Options) -> DataFrame:
+    """Clean the number of clients and add the indicators."""
+    clients = recode.replace_any(recode.blank_out("NbreClieDernSemaine", v.UNKNOWN_ANSWERS), v.ZERO_TYPOS, "0")
+    if "NbreClieDernSemaine" in rows.columns:
+        rows = rows.withColumn("NbreClieDernSemaine", nulls.safe_int(clients) if options.numeric_clients else clients)
+    return behaviour_flags(rows, options.text_compare)
+
+
+def prepare_by_row(sheet: DataFrame, options: Options = Options()) -> Study:
+    """Analysis tables of participants whose samples carry the right id: no shuffle."""
+    if options.enrolled_only:
+        sheet = sheet.where(F.col(v.ENROLMENT_DATE).isNotNull())
+    lab = lab_cells(sheet, options)
+    grid = {
+        visit: {**cells, **lab.get(visit, {"value": F.lit(None), "date": F.lit(None)})}
+        for visit, cells in reshape.question_grid(matching(sheet.columns, v.BEHAVIOUR_STEMS), v.VISIT_ALIAS).items()
+    }
+    rows = reshape.visits_from_wide(sheet, [F.col(v.ID).alias("id"), "site"], grid)
+    rows = rows.withColumn("visit_ord", recode.ordinal("visit", v.VISITS))
+    swab = reshape.visits_from_wide(sheet, [F.col(v.ID).alias("id"), "site"], lab).where("value IS NOT NULL")
+    swab = swab.withColumn("visit_ord", recode.ordinal("visit", v.VISITS))
+    return Study(sheet, _finish(rows, options), visit_answers(sheet, v.STI_STEMS), swab)
+
+
+def prepare_by_join(sheet: DataFrame, options: Options = Options()) -> Study:
+    """Same tables by joining visit and laboratory rows, for relabelled samples.
+
+    The join comes before the enrolment filter: a relabelled sample may meet the
+    visit row of the person it was moved to.
+    """
     swab = swab_rows(sheet, options)
-    # The join comes before the enrolment filter: a relabelled sample may meet
-    # the visit row of the person it was moved to.
-    behaviour = attach(behaviour, swab.drop("visit_ord"), ["id", "visit", "site"])
-    behaviour = behaviour_flags(behaviour, options.text_compare)
-    sti = visit_answers(sheet, v.STI_STEMS)
+    behaviour = attach(visit_answers(sheet, v.BEHAVIOUR_STEMS), swab.drop("visit_ord"), ["id", "visit", "site"])
+    behaviour, sti = _finish(behaviour, options), visit_answers(sheet, v.STI_STEMS)
     if options.enrolled_only:
         ids = sheet.where(F.col(v.ENROLMENT_DATE).isNotNull()).select(F.col(v.ID).alias("id")).distinct()
         sheet = keep_ids(sheet, ids, v.ID, "id")
@@ -162,6 +191,27 @@ def prepare(sheet: DataFrame, options: Options = Options()) -> Study:
     return Study(sheet, behaviour, sti, swab)
 
 
+def prepare(sheet: DataFrame, options: Options = Options()) -> Study:
+    """All four analysis tables of the current data cut."""
+    sheet = typed(sheet)
+    for column, fixes in options.sheet_fixes:
+        sheet = clean.correct_cell(sheet, column, v.ID, fixes)
+    sheet = demographics(sheet)
+    if not options.relabel:
+        return prepare_by_row(sheet, options)
+    touched = nulls.in_set(v.ID, {*options.relabel, *options.relabel.values()})
+    plain, moved = prepare_by_row(sheet.where(~touched), options), prepare_by_join(sheet.where(touched), options)
+    return Study(*(
+        getattr(plain, t).unionByName(getattr(moved, t), allowMissingColumns=True)
+        for t in ("baseline", "behaviour", "sti", "swab")
+    ))
+
+
+def repeated_ids(sheet: DataFrame) -> DataFrame:
+    """Participants with more than one row; an empty frame means the sheet is usable."""
+    return sheet.groupBy(v.ID).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def presence(sheet: DataFrame, options: Options = Options(), visits=v.RAW_VISITS) -> DataFrame:
     """Long presence table: one row per participant and visit."""
     have = [t for t in visits if any("VisitDate" in c and f"_{t}_" in c for c in sheet.columns)]

@@ -78,6 +78,18 @@ def test_prepared_tables(hand):
     assert {r.visit for r in study.sti.select("visit").distinct().collect()} == {"scr", "m1", "m3"}
 
 
+def test_row_path_equals_join_path(frame):
+    sheet = prep.demographics(prep.typed(make_sheet(frame, crowd(seed=2, n=60) + HAND)))
+    options = prep.Options(lab_fixes={2101: "N", 3102: "P", 4105: "P"})
+    for opt in (options, prep.Options(enrolled_only=False)):
+        a, b = prep.prepare_by_row(sheet, opt), prep.prepare_by_join(sheet, opt)
+        for t in ("baseline", "behaviour", "sti", "swab"):
+            x, y = getattr(a, t), getattr(b, t)
+            assert set(x.columns) == set(y.columns) and bag(x) == bag(y.select(x.columns)), t
+    assert "Exchange" not in prep.prepare_by_row(sheet).behaviour._jdf.queryExecution().executedPlan().toString()
+    assert prep.repeated_ids(sheet).count() == 0 and prep.repeated_ids(sheet.union(sheet)).count() == 65
+
+
 def test_presence_and_merge(hand):
     pres = prep.presence(hand)
     out = table(pres.select("id", "visit", "presence"), "id", "visit")
