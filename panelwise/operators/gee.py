@@ -116,7 +116,8 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
         state = _iterate(frame, models, width, tol, max_iter, corr, df_correct)
     finally:
         frame.unpersist()
-    rows = []
+    # A model without a complete row is reported, not dropped.
+    rows = [(m.name, t, *[None] * 4, 0, 0, None, None, 0, False) for i, m in enumerate(models) if i not in state for t in m.names]
     for i, s in sorted(state.items()):
         m, idx = models[i], s["free"]
         bread = np.linalg.pinv(s["B"][np.ix_(idx, idx)])

@@ -35,6 +35,7 @@ COEF_SCHEMA = (
     "model string, term string, estimate double, std_error double, statistic double, p_value double, "
     "n bigint, deviance double, iterations int, converged boolean"
 )
+PROFILE_SCHEMA = "model string, term string, estimate double, lower double, upper double, converged boolean"
 
 
 def _deviance(models: Sequence[Model], eta: str = "eta", mu: str = "mu") -> str:
@@ -150,7 +151,8 @@ def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10,
         state = fit_cells(frame, models, width, tol, max_iter)
     finally:
         frame.unpersist()
-    rows = []
+    # A model without a complete row is reported, not dropped.
+    rows = [(m.name, t, *[None] * 4, 0, None, 0, False) for i, m in enumerate(models) if i not in state for t in m.names]
     for i, s in sorted(state.items()):
         m, idx = models[i], s["free"]
         cov = np.full((width, width), np.nan)
@@ -184,7 +186,9 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
     p = len(m.names)
     frame = _cached(df, [m])
     try:
-        fit = fit_cells(frame, [m], p)[0]
+        fit = fit_cells(frame, [m], p).get(0)
+        if fit is None:
+            return _result(df.sparkSession, [(m.name, t, None, None, None, False) for t in m.names], PROFILE_SCHEMA)
         idx = fit["free"]
         cov = np.linalg.pinv(fit["H"][np.ix_(idx, idx)])
         target = fit["dev"] + CHI2_95
@@ -229,10 +233,7 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
         lo, hi = bounds[pos, -1], bounds[pos, 1]
         ok = lo["done"] and hi["done"]
         rows.append((m.name, term, float(fit["beta"][j]), float(lo["b"][pos]), float(hi["b"][pos]), ok))
-    return _result(
-        df.sparkSession, rows,
-        "model string, term string, estimate double, lower double, upper double, converged boolean",
-    )
+    return _result(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
 def _many_sums(frame: DataFrame, m: Model, idx: list[int], betas: list[np.ndarray], width: int) -> list[dict]:

@@ -18,7 +18,7 @@ from panelwise.functions import nulls, recode
 from panelwise.operators import clean, reshape
 from panelwise.operators.joins import attach, keep_ids
 from panelwise.plans import values as v
-from panelwise.sources.tables import matching, select_by_pattern
+from panelwise.sources.tables import ensure_columns, matching, select_by_pattern
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,7 @@ class Study:
 
 def demographics(sheet: DataFrame) -> DataFrame:
     """Sheet plus site, age bins, registration, ethnic group, schooling, marital status."""
-    have = set(sheet.columns)
-
-    def col(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("string")
-
+    sheet, col = ensure_columns(sheet, v.SHEET_COLUMNS), F.col
     ethnic = recode.code_labels(col(v.ETHNIC), v.ETHNIC_LABELS)
     word, label = v.ETHNIC_OVERRIDE
     age = nulls.safe_double(col(v.AGE))
@@ -97,11 +93,7 @@ def swab_rows(sheet: DataFrame, options: Options = Options()) -> DataFrame:
 
 def behaviour_flags(rows: DataFrame, text_compare: bool = True) -> DataFrame:
     """Condom-use and partner indicators of a visit row with its swab result."""
-    have = set(rows.columns)
-
-    def q(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("string")
-
+    q = F.col
     partners = q("NbrePartMoisDernier")
     reports = (partners > F.lit("0")) if text_compare else (nulls.safe_double(partners) > 0)
     first = rows.withColumns({
@@ -154,8 +146,8 @@ def lab_cells(sheet: DataFrame, options: Options) -> dict[str, dict[str, Column]
 def _finish(rows: DataFrame, options: Options) -> DataFrame:
     """Clean the number of clients and add the indicators."""
     clients = recode.replace_any(recode.blank_out("NbreClieDernSemaine", v.UNKNOWN_ANSWERS), v.ZERO_TYPOS, "0")
-    if "NbreClieDernSemaine" in rows.columns:
-        rows = rows.withColumn("NbreClieDernSemaine", nulls.safe_int(clients) if options.numeric_clients else clients)
+    rows = ensure_columns(rows, v.USED_QUESTIONS)
+    rows = rows.withColumn("NbreClieDernSemaine", nulls.safe_int(clients) if options.numeric_clients else clients)
     return behaviour_flags(rows, options.text_compare)
 
 

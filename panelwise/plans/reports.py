@@ -75,7 +75,7 @@ def table_one(cohort: DataFrame) -> dict[str, DataFrame]:
         Item("edu", F.col("edu")),
     ]
     raw = {"french": v.FRENCH, "schooling_code": v.SCHOOLING, "schooling_text": v.SCHOOLING_OTHER}
-    items += [Item(k, F.col(c)) for k, c in raw.items() if c in cohort.columns]
+    items += [Item(k, F.col(c)) for k, c in raw.items()]
     cohort = cohort.withColumn("clients", safe_double(recode.blank_out(v.CLIENTS, v.UNKNOWN_ANSWERS)))
     age, clients = (describe.exact_quantiles(cohort, c, [0.25, 0.5, 0.75]) for c in ("age", "clients"))
     return {

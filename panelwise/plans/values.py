@@ -31,6 +31,10 @@ MAIN_PARTNER = "F14_j0_q11PartenaireSexPrinc"
 CONDOM_MAIN = "F14_j0_q15FreqUtilervatifPart"
 CONFIDENCE_MAIN = "F14_j0_q18ConfianceservParten"
 LAB_STEM = "ychrom"
+SHEET_COLUMNS = (
+    AGE, ETHNIC, ETHNIC_OTHER, NATIONALITY, NATIONALITY_OTHER, MARITAL, FRENCH, SCHOOLING, SCHOOLING_OTHER, REGISTERED,
+    CLIENTS, CONDOM_CLIENT, CONFIDENCE_CLIENT, MAIN_PARTNER, CONDOM_MAIN, CONFIDENCE_MAIN,
+)
 
 # Question stems of the two visit tables.
 BEHAVIOUR_STEMS = (
@@ -39,6 +43,11 @@ BEHAVIOUR_STEMS = (
     "PreservaPartenaires", "RaisonsPreservatif", "RaisonsPvatifParten", "ConfiancePreserv",
     "ConfianceservParten", "ConfiancposerAlcool", "ConfiancposerArgent",
 )
+# Questions that the indicators and tables read.
+USED_QUESTIONS = (
+    "NbreClieDernSemaine", "UtiliseUnPresevatif", "FreqUtilPreservatif", "PartenaireSexPrinc", "NbrePartMoisDernier",
+    "FreqUtilervatifPart", "PreservaPartenaires",
+)
 STI_STEMS = (
     "RaisonPPrelevement", "EstDispost", "RaisonPat", "Resultatst", "TypeTest", "Specificst",
     "atestSyphilis", "aResultatRPR", "bResultatTPHA",

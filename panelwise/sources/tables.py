@@ -39,6 +39,12 @@ def select_by_pattern(df: DataFrame, ids: Iterable[str], patterns: str | Iterabl
     return df.select(*ids, *[c for c in matching(df.columns, patterns) if c not in ids])
 
 
+def ensure_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Add absent columns as missing text, so that a smaller sheet runs through the same plan."""
+    absent = [n for n in names if n not in df.columns]
+    return df.withColumns({n: F.lit(None).cast("string") for n in absent}) if absent else df
+
+
 def list_columns(df: DataFrame, pattern: str) -> DataFrame:
     """Matching column names as a one-column frame."""
     spark = df.sparkSession

@@ -194,3 +194,13 @@ def test_trend_is_the_time_row(df):
     assert [(r.model, r.term) for r in out] == [("trend:y", "x"), ("trend:z", "x")]
     row = gee.with_interval(gee.trend_test(df, [("y", "binomial")], "x", "cl")).first()
     assert abs(row.est - math.exp(row.estimate)) < 1e-12 and row.lwr < row.est < row.upr
+
+
+def test_model_without_rows_is_reported(df):
+    empty = Model("none", "y", ("x",), where=F.lit(False))
+    for out in (glm.fit_glm(df, [empty, Model("m", "y", ("x",))]), gee.fit_gee(df, [Model("m", "y", ("x",)), empty], "cl")):
+        rows = {(r.model, r.term): r for r in out.collect()}
+        assert rows["none", "x"].estimate is None and rows["none", "x"].n == 0 and not rows["none", "x"].converged
+        assert rows["m", "x"].converged
+    assert {r.n for r in glm.fit_glm(df, empty).collect()} == {0}
+    assert [r.lower for r in glm.profile_interval(df, empty).collect()] == [None, None]
