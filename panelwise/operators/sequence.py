@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.nulls import _col, all_true, ind, mean_na, sum_na
-from panelwise.operators.joins import attach
+from panelwise.operators.joins import attach, checked_small
 from panelwise.session import ensure_checkpoint_dir
 
 MAX_ROWS_PER_KEY = 2_000_000
@@ -82,13 +82,12 @@ def number_within(df: DataFrame, keys: Iterable[str], order: Iterable[str | Colu
     w = Window.partitionBy(*keys).orderBy(sort)
     plain = {number: F.row_number().over(w), previous: F.lag(value).over(w)}
 
-    heavy = _heavy_keys(df, keys, max_rows)
+    heavy = checked_small(_heavy_keys(df, keys, max_rows))
     total = heavy.agg(F.sum("__n")).first()[0]
     if not total:
         return rows.withColumns(plain).drop(sort)
 
     ensure_checkpoint_dir(df.sparkSession)
-    heavy = heavy.checkpoint()
     light = _null_safe(rows, heavy, keys, "left_anti").withColumns(plain)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_segments = max(partitions, int(total // max_rows) + 1)
@@ -113,7 +112,7 @@ def number_within(df: DataFrame, keys: Iterable[str], order: Iterable[str | Colu
     )
     numbered = attach(
         seg.withColumns({"__i": F.row_number().over(inside), "__lag": F.lag(value).over(inside)}),
-        carry, [*keys, "__seg"],
+        checked_small(carry), [*keys, "__seg"],
     ).withColumns({
         number: (F.col("__i") + F.col("__done")).cast("int"),
         previous: F.when(F.col("__i") == 1, F.col("__prev")).otherwise(F.col("__lag")),
