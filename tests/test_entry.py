@@ -2,10 +2,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelwise.catalog import QUERIES
 from tools.compare import NAMES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-KEYS = list(entry.queries())
+KEYS = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(KEYS)
+    assert set(KEYS) <= set(entry.oracle_sql()) and set(KEYS) <= set(entry.queries())
 
 
 def test_flagship(spark):
