@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import bpe, linecrf, linefreq, toxicity, urlrules
+from panelwise.llm import bpe, decontam, jaccard, linecrf, linefreq, toxicity, urlrules
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_linecrf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return linecrf.score(docs, linecrf.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op6_jaccard")
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
+@query("op8_decontam")
+def op8_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -95,3 +96,14 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
+
+
+def add_from_text(docs: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """docs with further columns (DDL `fields`) that `make` computes for each Arrow batch; all other columns pass through."""
+    added = StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *added.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
