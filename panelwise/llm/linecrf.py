@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import chunks, code_points, held_out, sigmoid, texts_of, training_texts
+from panelwise.llm.common import add_from_text, chunks, code_points, held_out, sigmoid, texts_of, training_texts
+from panelwise.llm.textarrays import segment_hashes
 
 OTHER, LOWER, UPPER, DIGIT, SPACE, NEWLINE, SYMBOL, STOP, MARK = range(9)
 KINDS = 9
@@ -56,19 +57,6 @@ def kinds_table() -> np.ndarray:
 
 
 KIND = kinds_table()
-POWERS = np.cumprod(np.concatenate([[1], np.full(63, 0x9E3779B97F4A7C15)]).astype(np.uint64))
-
-
-def segment_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each (non-empty) segment of an array: sums of mixed values and places."""
-    n = ends - begins
-    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    x = values[np.repeat(begins, n) + place].astype(np.uint64)
-    x = (x + POWERS[place & 63] + (place.astype(np.uint64) << np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(29)
-    return np.add.reduceat(x, np.cumsum(n) - n)
 
 
 def again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +186,7 @@ class Model:
     moves: np.ndarray
     scale: float = 1.0
     shift: float = 0.0
+    constant: float | None = None
 
     def good_lines(self, own: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
         x = (with_neighbours(own, lines_of) - self.mean) / self.spread
@@ -211,6 +200,8 @@ class Model:
         return np.log(p / (1 - p))
 
     def score(self, texts: list[str]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         parts = [self.quality(*line_features(texts[a:b])) for a, b in chunks(texts, CHUNK)]
         return sigmoid(self.scale * np.concatenate([np.zeros(0), *parts]) + self.shift)
 
@@ -225,10 +216,13 @@ def adam(params: list[np.ndarray], gradient, rounds: int, rate: float) -> None:
 
 
 def train(own: np.ndarray, weight: np.ndarray, lines_of: np.ndarray, y: np.ndarray, rounds: int = 250) -> Model:
-    """Penalised likelihood of all lines carrying their text's label; each text has the same say."""
+    """Penalised likelihood of all lines carrying their text's label; each text has the same say.
+
+    Without texts of both classes nothing can be learnt: every text then scores as the one class, or 1 without any.
+    """
     y = np.asarray(y, float)
     if len(y) == 0 or y.min() == y.max():
-        raise ValueError("training needs texts of both classes")
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), np.zeros((2, 2)), constant=float(y[0]) if len(y) else 1.0)
     x = with_neighbours(own, lines_of)
     mean, spread = x.mean(0), x.std(0) + 1e-3
     mean[-1], spread[-1] = 0.0, 1.0
@@ -299,3 +293,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs whose text scores the threshold or more, with all their columns."""
+    marked = add_from_text(docs, "__score double", lambda batch: [pa.array(model.score(texts_of(batch)))])
+    return marked.where(F.col("__score") >= threshold).drop("__score")

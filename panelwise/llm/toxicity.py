@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import chunks, held_out, sigmoid, texts_of, training_texts
+from panelwise.llm.common import add_from_text, chunks, held_out, sigmoid, texts_of, training_texts
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows of the embedding: words, first letters of words, and one row of padding.
@@ -34,6 +34,8 @@ PREFIX = 4
 WIDTHS = (1, 2, 3)
 FILTERS = 4
 DIMENSIONS = 12
+#: With fewer texts of a class kept for calibration, all texts serve for both.
+FEW = 15
 #: Characters scored at once.
 CHUNK = 600_000
 
@@ -79,6 +81,7 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    constant: float | None = None
 
     def table(self) -> np.ndarray:
         """What each embedding row adds to each filter at each of its places: one product for all texts."""
@@ -100,10 +103,17 @@ class Model:
         return np.maximum(np.concatenate(pooled, 1) + self.filter_bias, 0) @ self.out + self.bias
 
     def score(self, texts: list[str], table: np.ndarray | None = None) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         table = self.table() if table is None else table
         parts = [self.raw(*words(texts[a:b]), table) for a, b in chunks(texts, CHUNK)]
         return sigmoid(self.scale * np.concatenate([np.zeros(0), *parts]) + self.shift)
 
+    def limits(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Threshold of each row's language; 0.5 for languages without one."""
+        langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+        return np.array([self.thresholds.get(x, 0.5) for x in langs], float)
+
 
 def unpacked(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As words(), of texts that are hashed already."""
@@ -167,15 +177,21 @@ def step(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 6, rate: float = 0.01, seed: int = 11) -> Model:
-    """Fit on four fifths of the texts; calibrate on the rest, or on all where one class is missing there."""
+    """Fit on four fifths of the texts; calibrate on the rest, or use all for both where the rest is too small.
+
+    Without texts of both classes nothing can be learnt: every text then scores as the one class, or 0 without any.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(y, float)
     if len(docs) == 0 or y.min() == y.max():
-        raise ValueError("training needs texts of both classes")
+        n = FILTERS * len(WIDTHS)
+        empty = Model(np.zeros((PAD + 1, DIMENSIONS)), [np.zeros((FILTERS, w, DIMENSIONS)) for w in WIDTHS], np.zeros(n), np.zeros(n), 0.0)
+        empty.constant = float(y[0]) if len(y) else 0.0
+        return empty
     order = rng.permutation(len(docs))
     check = order[: len(docs) // 5]
     fit = order[len(docs) // 5 :]
-    if len(set(y[check])) < 2 or len(set(y[fit])) < 2:
+    if min(y[check].sum(), (1 - y[check]).sum()) < FEW:
         check = fit = order
     model = started([docs[i] for i in fit], y[fit], rng)
     share = y[fit].mean()
@@ -237,14 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, threshold, flagged): flagged where the score reaches the threshold of the row's language."""
-    has_lang = "lang" in docs.columns
-    source = docs.select("doc_id", F.col("lang") if has_lang else F.lit(None).cast("string").alias("lang"), "text")
+    source = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
             p = model.score(texts_of(batch), table)
-            limit = np.array([model.thresholds.get(x, 0.5) for x in batch.column("lang").to_pylist()], float)
+            limit = model.limits(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(limit), pa.array(p >= limit)],
                 ["doc_id", "score", "predicted", "threshold", "flagged"],
@@ -252,3 +267,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     out = source.mapInArrow(run, "doc_id bigint, score double, predicted int, threshold double, flagged boolean")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs whose text scores below the threshold of their language, with all their columns."""
+
+    table = model.table()
+
+    def flag(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(model.score(texts_of(batch), table) >= model.limits(batch))]
+
+    return add_from_text(docs, "__flagged boolean", flag).where("NOT __flagged").drop("__flagged")

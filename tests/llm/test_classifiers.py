@@ -107,5 +107,8 @@ def test_nulls_repeats_long_texts_and_empty_table(spark, module, label):
     by = {r.doc_id: r.score for r in got}
     assert by[3] == by[4] and all(0 <= r.score <= 1 for r in got)
     assert module.score(docs.where("false"), model).count() == 0
-    with pytest.raises(ValueError):
-        module.fit(docs.where("false"), marks)
+    kept = module.accepted(docs, model)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum((r.score < 0.5) if label == "toxic" else (r.score >= 0.3) for r in got)
+    nothing = module.fit(docs.where("false"), marks)
+    assert module.accepted(docs, nothing).count() == len(ROWS)
