@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import bpe, decontam, jaccard, linecrf, linefreq, toxicity, urlrules
+from panelwise.llm import bpe, decontam, jaccard, linecrf, linefreq, mainpath, toxicity, urlrules, warc
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontam")
 def op8_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_warc", warc.SQL)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc.write(table(spark, folder, "pages"))
+    return warc.read(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_mainpath")
+def op7_mainpath(spark: SparkSession, folder: str) -> DataFrame:
+    return mainpath.extract(table(spark, folder, "pages"))
