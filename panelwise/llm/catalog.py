@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, decontam, jaccard, linecrf, linefreq, mainpath, toxicity, urlrules, warc
-from panelwise.llm.common import table
+from panelwise.llm import bpe, decontam, jaccard, licences, linecrf, linefreq, mainpath, toxicity, urlrules, warc
+from panelwise.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +95,16 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_mainpath")
 def op7_mainpath(spark: SparkSession, folder: str) -> DataFrame:
     return mainpath.extract(table(spark, folder, "pages"))
+
+
+@query("op3_licences")
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: a source is a tree of directories of 400 and of 20 ids; the first document of each is its LICENSE file."""
+    docs = table(spark, folder, "documents")
+    d, number = F.col("doc_id"), lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    upper = F.concat_ws("/", F.col("source"), F.concat(F.lit("d"), number(400)))
+    lower = F.concat_ws("/", upper, F.concat(F.lit("d"), number(20)))
+    path = F.when(d % 400 == 0, F.concat(upper, F.lit("/LICENSE"))).when(d % 20 == 0, F.concat(lower, F.lit("/LICENSE")))
+    files = docs.select(d.alias("id"), F.coalesce(path, F.concat(lower, F.lit("/"), d.cast("string"), F.lit(".txt"))).alias("path"), "text")
+    own = licences.own_licences(files)
+    return licences.licences(written(own, "licences")).withColumnRenamed("id", "doc_id")

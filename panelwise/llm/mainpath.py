@@ -52,6 +52,10 @@ CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Of a very deep path, this many last characters are kept.
+PATH_CHARS = 2000
+
+
 @dataclass
 class Node:
     tag: str
@@ -155,7 +159,7 @@ def parse(source: str) -> Page:
                     break
         above = page.nodes[stack[-1]]
         dropped = above.dropped or tag in DROPPED or (tag not in PLAIN and noisy(m[3]))
-        path = above.path + "/" + generalised(tag, m[3]) if tag in CONTAINERS else above.path
+        path = (above.path + "/" + generalised(tag, m[3]))[-PATH_CHARS:] if tag in CONTAINERS else above.path
         page.nodes.append(Node(tag, path, stack[-1], dropped))
         stack.append(len(page.nodes) - 1)
         in_link = 0
@@ -166,6 +170,7 @@ def parse(source: str) -> Page:
 def best(page: Page) -> int:
     """The container of the highest score (the first of equals), or the article around it, or what adds only headings to it."""
     node = max(range(len(page.nodes)), key=lambda i: (page.nodes[i].score if page.nodes[i].tag in CONTAINERS or not i else -1, -i))
+    ends = subtree_ends(page)
     while page.nodes[node].above > 0:
         up = page.nodes[node].above
         while up > 0 and page.nodes[up].tag not in CONTAINERS:
@@ -173,7 +178,7 @@ def best(page: Page) -> int:
         upper = page.nodes[up]
         if up <= 0 or upper.tag in ("body", "html"):
             break
-        more = [n for i, n in enumerate(page.nodes) if n.text and inside(page, i, up) and not inside(page, i, node)]
+        more = [n for i, n in enumerate(page.nodes[up : ends[up]], up) if n.text and not node <= i < ends[node]]
         only_headings = more and all(n.text == n.headings for n in more)
         if not only_headings and (upper.tag != "article" or page.nodes[node].tag == "article"):
             break
@@ -181,10 +186,13 @@ def best(page: Page) -> int:
     return node
 
 
-def inside(page: Page, node: int, container: int) -> bool:
-    while node > container:
-        node = page.nodes[node].above
-    return node == container
+def subtree_ends(page: Page) -> list[int]:
+    """For each node the number after its last descendant; nodes are numbered as they open, so a subtree is a range."""
+    ends = list(range(1, len(page.nodes) + 1))
+    for i in range(len(page.nodes) - 1, 0, -1):
+        above = page.nodes[i].above
+        ends[above] = max(ends[above], ends[i])
+    return ends
 
 
 def text_of(page: Page, path: str | None) -> str:
