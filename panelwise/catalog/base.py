@@ -7,7 +7,6 @@ result (P positive, F negative, O uncertain). Survey answers are events.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,8 +45,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared scratch folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(root, f"panelwise-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/panelwise-{uuid.uuid4().hex}"
 
 
 def r(c: Column | str, digits: int = 9) -> Column:

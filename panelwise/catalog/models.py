@@ -120,6 +120,15 @@ def _(spark, d):
     return _gee_out(gee.fit_gee(lines(spark, d), Model("qty", "qty", ("o",), "gaussian", "identity"), "cl", tol=1e-10))
 
 
+_PLAIN = coef_rows(gee_sql("qty", "o", "gaussian"), "qty", "o")
+
+
+@query("gee_gaussian_shifted", HEAD + f"SELECT 'shifted' AS model, 'x' AS term, estimate, std_error, p_value, n, n_clusters, alpha, phi FROM ({_PLAIN}) WHERE term = 'o'")
+def _(spark, d):
+    moved = lines(spark, d).withColumns({"x": F.col("o") + 202000, "z": F.col("qty") + 1e9})
+    return _gee_out(gee.fit_gee(moved, Model("shifted", "z", ("x",), "gaussian", "identity"), "cl", tol=1e-10).where("term = 'x'"))
+
+
 @query("gee_logit", HEAD + coef_rows(gee_sql("y", "o", "logit"), "y", "o"))
 def _(spark, d):
     return _gee_out(gee.fit_gee(lines(spark, d), Model("y", "y", ("o",)), "cl", tol=1e-10))

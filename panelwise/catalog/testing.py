@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwise.catalog.base import L, NEG, POS, S, lines, query, rounded, samples, tail_sql
+from panelwise.catalog.base import L, NEG, POS, S, lines, query, rounded, samples, table, tail_sql
 from panelwise.operators import contingency
 from panelwise.operators.contingency import Pair
 
@@ -49,13 +49,17 @@ T22 = "WITH l AS (" + L + """), b AS (SELECT cl AS test, count(*) FILTER (WHERE
   FROM (SELECT *, unnest(range(greatest(0, k - r2), least(r1, k) + 1)) AS x FROM b)) """
 
 
-@query("fisher_2x2", T22 + """, o AS (SELECT test, lw AS lo FROM w WHERE x = a)
- SELECT test, any_value(n) AS n, round(sum(CASE WHEN exp(lw) <= exp(lo) * (1 + 1e-7) THEN exp(lw) ELSE 0 END) / sum(exp(lw)), 9) AS p_value
- FROM w JOIN o USING (test) GROUP BY test""")
+ALL = ", every AS (SELECT cl AS test, count(*) AS n FROM l GROUP BY cl) "
+NOTE = ", CASE WHEN b.test IS NULL THEN 'not a 2x2 table' END AS note "
+
+
+@query("fisher_2x2", T22 + ALL + """, o AS (SELECT test, lw AS lo FROM w WHERE x = a),
+ p AS (SELECT test, round(sum(CASE WHEN exp(lw) <= exp(lo) * (1 + 1e-7) THEN exp(lw) ELSE 0 END) / sum(exp(lw)), 9) AS p_value
+  FROM w JOIN o USING (test) GROUP BY test)
+ SELECT every.test, every.n, p.p_value""" + NOTE + "FROM every LEFT JOIN b ON b.test = every.test LEFT JOIN p ON p.test = every.test")
 def _(spark, d):
     cells = contingency.keyed_counts(lines(spark, d), "cl", "status", "y")
-    out = contingency.fisher_2x2(cells).where("p_value IS NOT NULL")
-    return rounded(out.select("test", "n", "p_value"), "p_value")
+    return rounded(contingency.fisher_2x2(cells).select("test", "n", "p_value", "note"), "p_value")
 
 
 def _bisect(name: str, stat: str, target: str) -> str:
@@ -73,16 +77,19 @@ ODDS = (
     + _bisect("m", "w.x", "a")
     + _bisect("f", "CAST(w.x >= w.a AS INT)", "0.025")
     + _bisect("g", "-CAST(w.x <= w.a AS INT)", "-0.025")
-    + """ SELECT b.test, round(exp((m.lo + m.hi) / 2), 6) AS odds_ratio, round(exp((f.lo + f.hi) / 2), 6) AS ci_lower, round(exp((g.lo + g.hi) / 2), 6) AS ci_upper
- FROM b JOIN m ON m.test = b.test AND m.i = 52 JOIN f ON f.test = b.test AND f.i = 52 JOIN g ON g.test = b.test AND g.i = 52"""
+    + ALL
+    + "SELECT every.test, round(exp((m.lo + m.hi) / 2), 6) AS odds_ratio, round(exp((f.lo + f.hi) / 2), 6) AS ci_lower, round(exp((g.lo + g.hi) / 2), 6) AS ci_upper"
+    + NOTE
+    + """FROM every LEFT JOIN b ON b.test = every.test
+ LEFT JOIN m ON m.test = b.test AND m.i = 52 LEFT JOIN f ON f.test = b.test AND f.i = 52 LEFT JOIN g ON g.test = b.test AND g.i = 52"""
 )
 
 
 @query("fisher_2x2_odds_ratio", ODDS)
 def _(spark, d):
     cells = contingency.keyed_counts(lines(spark, d), "cl", "status", "y")
-    out = contingency.fisher_2x2(cells).where("p_value IS NOT NULL")
-    return rounded(out.select("test", "odds_ratio", "ci_lower", "ci_upper"), "odds_ratio", "ci_lower", "ci_upper", digits=6)
+    out = contingency.fisher_2x2(cells).select("test", "odds_ratio", "ci_lower", "ci_upper", "note")
+    return rounded(out, "odds_ratio", "ci_lower", "ci_upper", digits=6)
 
 
 RX2 = "WITH l AS (" + L + """), b AS (SELECT cl AS test,
@@ -104,6 +111,32 @@ def _(spark, d):
     return rounded(contingency.fisher_rx2(cells).select("test", "n", "p_value"), "p_value")
 
 
+def _five() -> str:
+    """All tables of five rows and two columns with the observed margins."""
+    sizes = ", ".join(f"count(*) FILTER (WHERE row = {i}) AS r{i}, count(*) FILTER (WHERE row = {i} AND hit) AS a{i}" for i in range(1, 6))
+    steps = "u0 AS (SELECT *, k AS left0 FROM b WHERE k > 0 AND k < n)"
+    for i in range(1, 5):
+        others = " + ".join(f"r{j}" for j in range(i + 1, 6))
+        steps += (
+            f", u{i} AS (SELECT *, left{i - 1} - x{i} AS left{i} FROM (SELECT *, unnest(range(greatest(0, left{i - 1} - ({others})), least(r{i}, left{i - 1}) + 1)) AS x{i} FROM u{i - 1}))"
+        )
+    xs = ["x1", "x2", "x3", "x4", "left4"]
+    weight = " + ".join(f"lgamma(r{i} + 1) - lgamma({x} + 1) - lgamma(r{i} - {x} + 1)" for i, x in enumerate(xs, 1))
+    same = " AND ".join(f"{x} = a{i}" for i, x in enumerate(xs, 1))
+    return f"""WITH s AS (SELECT o_custkey AS test, CAST(substr(o_orderpriority, 1, 1) AS INT) AS row, o_orderstatus = 'F' AS hit FROM orders),
+ b AS (SELECT test, {sizes}, count(*) FILTER (WHERE hit) AS k, count(*) AS n FROM s GROUP BY test), {steps},
+ w AS (SELECT test, {same} AS obs, {weight} - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS lw FROM u4),
+ o AS (SELECT test, lw AS lo FROM w WHERE obs),
+ p AS (SELECT test, round(least(1, sum(CASE WHEN exp(lw) <= exp(lo) * (1 + 1e-7) THEN exp(lw) ELSE 0 END)), 9) AS p_value FROM w JOIN o USING (test) GROUP BY test)
+ SELECT b.test, b.n, p.p_value, CASE WHEN p.test IS NULL THEN 'not two columns' END AS note FROM b LEFT JOIN p ON p.test = b.test"""
+
+
+@query("fisher_rx2_five_levels", _five())
+def _(spark, d):
+    codes = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("row"), (F.col("o_orderstatus") == NEG).alias("hit"))
+    return rounded(contingency.fisher_rx2(contingency.keyed_counts(codes, "id", "row", "hit")), "p_value")
+
+
 @query("before_after_table", S + """SELECT 'before_after' AS test, CASE WHEN visit = '1-URGENT' THEN 'before' ELSE 'after' END AS row, known AS col, count(*) AS n
  FROM s WHERE known IS NOT NULL AND visit IS NOT NULL GROUP BY 2, 3""")
 def _(spark, d):

@@ -111,7 +111,11 @@ def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
     sd = math.sqrt(max(r1 * r2 * k * (n - k) / (n * n * max(n - 1, 1)), 1e-12))
     reach = int(60 * sd) + 200
 
-    def span(centre: float) -> tuple[int, int]:
+    # Around a strong association the distribution is as wide as the log odds ratio's error says.
+    spread = 1 / math.sqrt(sum(1 / (x + 0.5) for x in (a, b, c, d)))
+    wide = max(reach, int(60 * spread) + 200)
+
+    def span(centre: float, reach: int = reach) -> tuple[int, int]:
         return max(lo, int(centre) - reach), min(hi, int(centre) + reach)
 
     s0, s1 = span(mean)
@@ -124,7 +128,7 @@ def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
         p = 0.0
 
     # Noncentral weights are needed around the observed count only.
-    s0, s1 = span(a)
+    s0, s1 = span(a, wide)
     x = np.arange(s0, s1 + 1, dtype="float64")
     w = _log_weights(r1, r2, k, s0, s1)
 
@@ -170,7 +174,6 @@ def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
 
 
 FISHER_2X2 = "p_value double, odds_ratio double, ci_lower double, ci_upper double, note string"
-FISHER_RX2 = "p_value double, note string"
 
 
 def _tables(cells: DataFrame) -> DataFrame:
@@ -212,64 +215,98 @@ def fisher_2x2(cells: DataFrame) -> DataFrame:
     return _tables(cells).select("test", "n", run("cells").alias("r")).select("test", "n", "r.*")
 
 
-def fisher_exact_rx2(counts: np.ndarray, max_tables: int) -> float | None:
-    """Exact two-sided p of an r x 2 table, or None when there are too many tables.
-
-    Rows are added one at a time, the last one follows from the total. Partial
-    tables with the same running total and the same log weight are merged with a
-    multiplicity, so the working set is the number of distinct partial weights
-    rather than of tables.
-    """
-    counts = counts[counts.sum(axis=1) > 0]
-    rows, k = counts.sum(axis=1).astype(int), int(counts[:, 0].sum())
-    n = int(rows.sum())
-
-    def log_choose(r: int) -> np.ndarray:
-        a = np.arange(r, dtype="float64")
-        return np.concatenate([[0.0], np.cumsum(np.log(r - a) - np.log(a + 1))])
-
-    order = np.argsort(-rows)
-    weights = [log_choose(int(rows[i])) for i in order]
-    observed = sum(weights[j][int(counts[i, 0])] for j, i in enumerate(order))
-    left = n
-    total, logw, mult = np.zeros(1, dtype=int), np.zeros(1), np.ones(1)
-    for lw in weights[:-1]:
-        left -= len(lw) - 1
-        if len(total) * len(lw) > max_tables:
-            return None
-        t = total[:, None] + np.arange(len(lw))[None, :]
-        ok = (t <= k) & (t + left >= k)
-        t, g = t[ok], (logw[:, None] + lw[None, :])[ok]
-        m = np.broadcast_to(mult[:, None], ok.shape)[ok]
-        key = np.round(g, 10)
-        sort = np.lexsort((key, t))
-        t, g, m, key = t[sort], g[sort], m[sort], key[sort]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-        idx = np.flatnonzero(new)
-        total, logw, mult = t[idx], g[idx], np.add.reduceat(m, idx)
-    logw = logw + weights[-1][k - total]
-    top = logw.max()
-    prob = np.exp(logw - top) * mult
-    hit = np.exp(logw - top) <= math.exp(observed - top) * SLACK
-    return float(min(1.0, prob[hit].sum() / prob.sum()))
-
-
-def fisher_rx2(cells: DataFrame, max_tables: int = 5_000_000) -> DataFrame:
-    """Exact test for every r x 2 table.
-
-    A table whose partial-table count exceeds ``max_tables`` gets a NULL p-value
-    and a note; use ``chisq_test`` for it.
+#: Partial tables that one row of work covers.
+PART_TABLES = 1 << 18
+
+
+class _Exact:
+    """An r x 2 table: all rows but the two largest are enumerated, the last two follow by search."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts[counts.sum(axis=1) > 0]
+        counts = counts[np.argsort(counts.sum(axis=1), kind="stable")]
+        self.sizes = counts.sum(axis=1).tolist()
+        self.k, self.n = int(counts[:, 0].sum()), int(counts.sum())
+        self.seen = counts[:, 0].tolist()
+        # Values of a row whose weight is representable beside the largest one.
+        self.ranges = [self._window(m, self.k, self.n) for m in self.sizes[:-2]]
+        self.tables = math.prod(hi - lo + 1 for lo, hi in self.ranges)
+
+    @staticmethod
+    def _window(m: int, k: int, n: int) -> tuple[int, int]:
+        sd = math.sqrt(m * k / n * (n - k) / n * (n - m) / max(n - 1, 1)) if n else 0.0
+        reach, mean = int(40 * sd) + 50, m * k // max(n, 1)
+        return max(0, k - (n - m), mean - reach), min(m, k, mean + reach)
+
+    @staticmethod
+    def _log_choose(m: int) -> np.ndarray:
+        a = np.arange(m, dtype="float64")
+        return np.concatenate([[0.0], np.cumsum(np.log(m - a) - np.log(a + 1))])
+
+    def part(self, number: int) -> tuple[float, float]:
+        """Of one slice of the partial tables: mass of tables no likelier than the observed one, and all mass."""
+        if len(self.sizes) < 2:
+            return 1.0, 1.0
+        weights = [self._log_choose(m) for m in self.sizes]
+        observed = sum(w[x] for w, x in zip(weights, self.seen, strict=True))
+        base = math.lgamma(self.n + 1) - math.lgamma(self.k + 1) - math.lgamma(self.n - self.k + 1)
+        index = np.arange(number * PART_TABLES, min(self.tables, (number + 1) * PART_TABLES), dtype="int64")
+        logw, rest = np.zeros(len(index)), np.full(len(index), self.k, dtype="int64")
+        for (lo, hi), w in zip(self.ranges, weights, strict=False):
+            index, x = np.divmod(index, hi - lo + 1)
+            logw += w[x + lo]
+            rest -= x + lo
+        m1, m2 = self.sizes[-2:]
+        ok = (rest >= 0) & (rest <= m1 + m2)
+        order = np.argsort(rest[ok], kind="stable")
+        rest, logw = rest[ok][order], logw[ok][order]
+        cuts = [0, *(np.flatnonzero(np.diff(rest)) + 1).tolist(), len(rest)]
+        low = total = 0.0
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            k = int(rest[i])
+            lo, hi = self._window(m1, k, m1 + m2)
+            lw = weights[-2][lo:hi + 1] + weights[-1][k - hi:k - lo + 1][::-1]
+            mode = int(lw.argmax())
+            mass = np.exp(lw - lw[mode])
+            up, down = np.maximum.accumulate(lw[:mode + 1]), np.maximum.accumulate(lw[:mode:-1])
+            left = np.concatenate([[0.0], np.cumsum(mass[:mode + 1])])
+            right = np.concatenate([[0.0], np.cumsum(mass[:mode:-1])])
+            limit = observed + math.log(SLACK) - logw[i:j]
+            scale = np.exp(logw[i:j] + lw[mode] - base)
+            low += float((scale * (left[np.searchsorted(up, limit, "right")] + right[np.searchsorted(down, limit, "right")])).sum())
+            total += float(scale.sum() * mass.sum())
+        return low, total
+
+
+def fisher_exact_rx2(counts: np.ndarray) -> float:
+    """Exact two-sided p of an r x 2 table."""
+    table = _Exact(np.asarray(counts))
+    parts = [table.part(i) for i in range(-(-table.tables // PART_TABLES))]
+    return min(1.0, sum(low for low, _ in parts) / sum(total for _, total in parts))
+
+
+def fisher_rx2(cells: DataFrame) -> DataFrame:
+    """Exact test for every r x 2 table, of any size.
+
+    The partial tables of one test are dealt out as rows of work and their masses summed, so a
+    single large test uses all cores. Tables without two columns get a note.
     """
 
-    @F.pandas_udf(FISHER_RX2)
-    def run(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for m in map(_matrix, column):
-            if m.shape[1] != 2:
-                out.append({"p_value": None, "note": "not two columns"})
-                continue
-            p = fisher_exact_rx2(m, max_tables)
-            out.append({"p_value": p, "note": None if p is not None else "too many tables"})
-        return pd.DataFrame(out, columns=["p_value", "note"])
+    @F.pandas_udf("bigint")
+    def slices(column: pd.Series) -> pd.Series:
+        return pd.Series([-(-_Exact(m).tables // PART_TABLES) if m.shape[1] == 2 else 1 for m in map(_matrix, column)], dtype="int64")
 
-    return _tables(cells).select("test", "n", run("cells").alias("r")).select("test", "n", "r.*")
+    @F.pandas_udf("low double, total double")
+    def masses(column: pd.Series, number: pd.Series) -> pd.DataFrame:
+        tables = map(_matrix, column)
+        out = [_Exact(m).part(int(i)) if m.shape[1] == 2 else (None, None) for m, i in zip(tables, number)]
+        return pd.DataFrame(out, columns=["low", "total"], dtype="float64")
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = _tables(cells).withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), slices("cells") - 1)))
+    work = work.repartition(parts, "test", "number").select("test", "n", masses("cells", "number").alias("m"))
+    sums = work.groupBy("test", "n").agg(F.sum("m.low").alias("low"), F.sum("m.total").alias("total"))
+    p = F.when(F.col("total").isNotNull(), F.least(F.lit(1.0), F.col("low") / F.col("total")))
+    return sums.select("test", "n", p.alias("p_value"), F.when(F.col("total").isNull(), "not two columns").alias("note"))

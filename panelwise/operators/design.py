@@ -67,15 +67,21 @@ class Model:
     def used(self) -> list[str]:
         return [self.response, *[t.column if isinstance(t, Factor) else t for t in self.terms]]
 
-    def columns(self) -> list[Column]:
+    def columns(self, centre: dict[str, tuple[float, float]] | None = None) -> list[Column]:
+        """Design columns; numeric terms named in ``centre`` are shifted and scaled by it."""
         out = [F.lit(1.0)]
         for t in self.terms:
             if isinstance(t, Factor):
                 out += [(F.col(t.column) == F.lit(lv)).cast("double") for lv in t.levels[1:]]
             else:
-                out.append(F.col(t).cast("double"))
+                shift, scale = (centre or {}).get(t, (0.0, 1.0))
+                out.append((F.col(t).cast("double") - shift) / scale if (shift, scale) != (0.0, 1.0) else F.col(t).cast("double"))
         return out
 
+    @property
+    def numeric(self) -> list[str]:
+        return [t for t in self.terms if not isinstance(t, Factor)]
+
     def complete(self, cluster: str | None) -> Column:
         """Rows without a missing value in any used column; unlisted levels count as missing."""
         conds = [F.col(c).isNotNull() for c in self.used]
@@ -111,16 +117,63 @@ def used_columns(model: Model, gram: np.ndarray) -> list[int]:
     return keep
 
 
-def cells(df: DataFrame, models: Sequence[Model], cluster: str | None = None) -> DataFrame:
+def centring(df: DataFrame, models: Sequence[Model], cluster: str | None = None) -> list[dict[str, tuple[float, float]]]:
+    """Shift and scale of every numeric term, and shift of a gaussian response, per model: one aggregation, one row.
+
+    Means and deviations are brought to powers of two and their multiples, so that shifting and scaling loses no digits.
+    """
+    aggs = []
+    for i, m in enumerate(models):
+        for j, t in enumerate([*m.numeric, *([m.response] if m.family == "gaussian" else [])]):
+            value = F.when(m.complete(cluster), F.col(t).cast("double"))
+            aggs += [F.avg(value).alias(f"a{i}_{j}"), F.stddev_pop(value).alias(f"d{i}_{j}")]
+    if not aggs:
+        return [{} for _ in models]
+    row = df.agg(*aggs).first()
+    out = []
+    for i, m in enumerate(models):
+        own: dict[str, tuple[float, float]] = {}
+        for j, t in enumerate([*m.numeric, *([RESPONSE] if m.family == "gaussian" else [])]):
+            mean, spread = row[f"a{i}_{j}"], row[f"d{i}_{j}"]
+            known = mean is not None and spread is not None and np.isfinite(mean) and np.isfinite(spread) and spread > 0
+            step = 2.0 ** round(np.log2(spread)) if known else 1.0
+            own[t] = (round(mean / step) * step if known else mean or 0.0, 1.0 if t == RESPONSE else step)
+        out.append(own)
+    return out
+
+
+#: Key of the response in a model's centring.
+RESPONSE = "(response)"
+
+
+def back(m: Model, centre: dict[str, tuple[float, float]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and constant that bring coefficients of the centred design to the plain one."""
+    matrix, constant, pos = np.eye(width), np.zeros(width), 1
+    constant[0] = centre.get(RESPONSE, (0.0, 1.0))[0]
+    for t in m.terms:
+        if isinstance(t, Factor):
+            pos += len(t.levels) - 1
+            continue
+        shift, scale = centre.get(t, (0.0, 1.0))
+        matrix[pos, pos] = 1 / scale
+        matrix[0, pos] = -shift / scale
+        pos += 1
+    return matrix, constant
+
+
+def cells(df: DataFrame, models: Sequence[Model], cluster: str | None = None,
+          centre: list[dict[str, tuple[float, float]]] | None = None) -> DataFrame:
     """``model, [cluster], x0..xk, n, sy, syy`` with shorter designs padded by zeros."""
+    centre = centre or [{} for _ in models]
     width = max(len(m.names) for m in models)
     xs = [f"x{i}" for i in range(width)]
     rows = []
     for i, m in enumerate(models):
-        cols = m.columns() + [F.lit(0.0)] * (width - len(m.names))
+        cols = m.columns(centre[i]) + [F.lit(0.0)] * (width - len(m.names))
+        shift = centre[i].get(RESPONSE, (0.0, 1.0))[0]
         body = F.struct(
             F.lit(i).alias("model"),
-            F.col(m.response).cast("double").alias("y"),
+            (F.col(m.response).cast("double") - shift if shift else F.col(m.response).cast("double")).alias("y"),
             *[c.alias(x) for c, x in zip(cols, xs)],
         )
         rows.append(F.when(m.complete(cluster), body))

@@ -27,7 +27,9 @@ from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
     active,
+    back,
     cells,
+    centring,
     linear_predictor,
     mean_of,
     pearson_scale,
@@ -70,7 +72,7 @@ def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.
     aggs += [f"sum(u{j}) AS u{j}" for j in range(width)]
     aggs += [
         "sum(ee) AS ee", "sum((e * e - ee) / 2) AS cross", "sum(m * (m - 1) / 2) AS pairs", "sum(m) AS n",
-        "max(m) AS largest", "count(*) AS clusters", "max(top) AS top",
+        "max(m) AS largest", "count(*) AS clusters", "max(top) AS top", "count_if(c IS NULL) AS undefined",
     ]
     rows = (
         cluster_sums(frame, models, beta, width)
@@ -82,7 +84,7 @@ def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.
     )
     out = {}
     for row in rows:
-        d = {k: row[k] for k in ("ee", "cross", "pairs", "n", "largest", "clusters", "top")}
+        d = {k: row[k] for k in ("ee", "cross", "pairs", "n", "largest", "clusters", "top", "undefined")}
         for name in "bm":
             d[name.upper()] = symmetric({(i, j): row[f"{name}{i}_{j}"] for i, j in pairs(width)}, width)
         d["U"] = np.array([row[f"u{j}"] for j in range(width)], dtype=float)
@@ -109,7 +111,8 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
     """
     models = [models] if isinstance(models, Model) else list(models)
     width = max(len(m.names) for m in models)
-    frame = cells(df, models, cluster)
+    centre = centring(df, models, cluster)
+    frame = cells(df, models, cluster, centre)
     frame = frame.repartitionByRange("model", "cluster", *[f"x{i}" for i in range(1, width)])
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -121,13 +124,15 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
     for i, s in sorted(state.items()):
         m, idx = models[i], s["free"]
         bread = np.linalg.pinv(s["B"][np.ix_(idx, idx)])
-        cov = bread @ s["M"][np.ix_(idx, idx)] @ bread
-        valid = s["converged"] and (s["largest"] <= 1 or s["alpha"] > -1 / (s["largest"] - 1)) and s["alpha"] < 1
+        matrix, constant = back(m, centre[i], width)
+        beta = matrix @ s["beta"] + constant
+        cov = matrix[:, idx] @ bread @ s["M"][np.ix_(idx, idx)] @ bread @ matrix[:, idx].T
+        valid = s["converged"] and not s["undefined"] and (s["largest"] <= 1 or s["alpha"] > -1 / (s["largest"] - 1)) and s["alpha"] < 1
         for j in s["keep"]:
             term = m.names[j]
             est = se = None
             if j in idx:
-                est, se = float(s["beta"][j]), float(math.sqrt(max(cov[idx.index(j), idx.index(j)], 0.0)))
+                est, se = float(beta[j]), float(math.sqrt(max(cov[j, j], 0.0)))
             wald = (est / se) ** 2 if se else None
             p = normal_two_sided(est / se) if se else None
             rows.append((m.name, term, est, se, wald, p, int(s["n"]), int(s["clusters"]),

@@ -19,8 +19,10 @@ from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
     active,
+    back,
     by_kind,
     cells,
+    centring,
     linear_predictor,
     mean_of,
     used_columns,
@@ -137,16 +139,17 @@ def fit_cells(frame: DataFrame, models: Sequence[Model], width: int, tol: float
     return state
 
 
-def _cached(df: DataFrame, models: Sequence[Model], cluster: str | None = None) -> DataFrame:
+def _cached(df: DataFrame, models: Sequence[Model], centre: list[dict] | None = None) -> DataFrame:
     """Cells kept on the executors; a lost block is recomputed from the input."""
-    return cells(df, models, cluster).persist(StorageLevel.MEMORY_AND_DISK)
+    return cells(df, models, None, centre).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10, max_iter: int = 25) -> DataFrame:
     """Coefficient frame of one or many models: estimate, standard error, test, p."""
     models = [models] if isinstance(models, Model) else list(models)
     width = max(len(m.names) for m in models)
-    frame = _cached(df, models)
+    centre = centring(df, models)
+    frame = _cached(df, models, centre)
     try:
         state = fit_cells(frame, models, width, tol, max_iter)
     finally:
@@ -160,9 +163,12 @@ def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10,
         if m.family == "gaussian":
             phi = s["dev"] / max(s["n"] - len(idx), 1)
         cov[np.ix_(idx, idx)] = np.linalg.pinv(s["H"][np.ix_(idx, idx)]) * phi
+        matrix, constant = back(m, centre[i], width)
+        beta = matrix @ s["beta"] + constant
+        cov = matrix[:, idx] @ cov[np.ix_(idx, idx)] @ matrix[:, idx].T
         for j in s["keep"]:
             term = m.names[j]
-            est = float(s["beta"][j]) if j in idx else None
+            est = float(beta[j]) if j in idx else None
             se = float(math.sqrt(max(cov[j, j], 0.0))) if j in idx else None
             z = est / se if se else None
             rows.append((m.name, term, est, se, z, normal_two_sided(z), int(s["n"]), float(s["dev"]), s["iter"], s["converged"]))

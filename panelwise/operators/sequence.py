@@ -321,7 +321,15 @@ def one_random_row(df: DataFrame, key: str, unique: Sequence[str], seed: int = 0
 
 
 def repeated_rows(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
-    """Second and later occurrences of a key combination."""
-    keys = list(keys)
-    first = df.groupBy(*keys).agg(F.min(order).alias("__first"))
-    return attach(df, first, keys).where(F.col(order) > F.col("__first")).drop("__first")
+    """Second and later occurrences of a key combination.
+
+    The first occurrence is the smallest by (order, all columns), missing values last. Rows that
+    are equal in all columns are counted, so ties and repeated rows are each reported, and no key's
+    rows meet in one task.
+    """
+    keys, columns = list(keys), df.columns
+    same = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
+    row = order_key([order, *columns])
+    marked = attach(same, same.groupBy(*keys).agg(F.min(row).alias("__first")), keys)
+    left = F.col("__times") - F.when(row.eqNullSafe(F.col("__first")), 1).otherwise(0)
+    return marked.where(left > 0).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), left)).alias("__i")).drop("__i")

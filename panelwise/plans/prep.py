@@ -18,7 +18,7 @@ from panelwise.functions import nulls, recode
 from panelwise.operators import clean, reshape
 from panelwise.operators.joins import attach, keep_ids
 from panelwise.plans import values as v
-from panelwise.sources.tables import ensure_columns, matching, select_by_pattern
+from panelwise.sources.tables import ensure_columns, matching
 
 
 @dataclass(frozen=True)
@@ -122,8 +122,12 @@ def behaviour_flags(rows: DataFrame, text_compare: bool = True) -> DataFrame:
 
 def typed(sheet: DataFrame) -> DataFrame:
     """Sheet with a numeric id, whatever the file delivered."""
-    if dict(sheet.dtypes)[v.ID] in ("int", "bigint"):
+    kind, number = dict(sheet.dtypes)[v.ID], F.col(v.ID)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
         return sheet
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        # Through text a double of eight digits would read 1.0E7.
+        return sheet.withColumn(v.ID, F.when(number == F.floor(number), number).try_cast("bigint"))
     text = F.regexp_replace(F.trim(F.col(v.ID).cast("string")), r"\.0+$", "")
     return sheet.withColumn(v.ID, text.try_cast("bigint"))
 
@@ -246,8 +250,3 @@ def lookup_keys(lookup: DataFrame) -> DataFrame:
     """Sample list with visit labels brought to the study's names."""
     visit = F.col("visit").cast("string")
     return lookup.withColumn("visit", F.when(visit == "screen", "scr").otherwise(F.concat(F.lit("m"), visit)))
-
-
-def narrow_sheet(sheet: DataFrame) -> DataFrame:
-    """Only the columns the laboratory table needs."""
-    return select_by_pattern(sheet, [v.ID], v.LAB_STEM)

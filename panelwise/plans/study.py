@@ -8,8 +8,9 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwise.plans import prep, reports
+from panelwise.plans import prep, reports, values
 from panelwise.session import tune
 from panelwise.sources.tables import read_sheet, write_tables
 
@@ -62,10 +63,18 @@ def all_reports(study: prep.Study, presence_rows: DataFrame | None = None) -> di
     return out
 
 
+def check_sheet(sheet: DataFrame, folder: str) -> None:
+    """Write participants with several rows, and stop if there are any: every table rests on one row per participant."""
+    path = write_tables({"repeated_ids": prep.repeated_ids(prep.typed(sheet).where(F.col(values.ID).isNotNull()))}, f"{folder}/audit")[0]
+    if sheet.sparkSession.read.parquet(path).limit(1).count():
+        raise ValueError(f"participants with more than one row are listed in {path}")
+
+
 def run(spark: SparkSession, sheet_path: str, folder: str, fmt: str = "parquet",
         options: prep.Options = prep.Options()) -> list[str]:
     tune(spark)
     sheet = read_sheet(spark, sheet_path, fmt)
+    check_sheet(sheet, folder)
     study = prepared(spark, sheet, folder, options)
     return write_tables(all_reports(study, prep.presence(sheet, options)), f"{folder}/reports")
 

@@ -41,9 +41,11 @@ def local_session(cpus: int = 8, app: str = "panelwise") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch folder only if unset."""
+    """Use the folder the cluster names; only a local session may go without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelwise-ckpt-"))

@@ -57,7 +57,7 @@ def test_fisher_published_example(frame):
 def test_fisher_2x2_equals_enumeration(m):
     (a, b), (c, d) = m
     assert abs(fisher_exact_2x2(a, b, c, d)["p_value"] - brute(m)) < 1e-12
-    assert abs(fisher_exact_rx2(np.array(m), 10**6) - brute(m)) < 1e-12
+    assert abs(fisher_exact_rx2(np.array(m)) - brute(m)) < 1e-12
 
 
 def test_fisher_huge_counts_are_finite_and_consistent():
@@ -74,12 +74,28 @@ def test_fisher_huge_counts_are_finite_and_consistent():
 
 @pytest.mark.parametrize("m", [[[2, 3], [4, 1], [0, 5]], [[3, 3], [1, 6], [5, 0], [2, 2]], [[4, 0], [0, 0], [1, 3]]])
 def test_fisher_rx2_equals_enumeration(m):
-    assert abs(fisher_exact_rx2(np.array(m), 10**6) - brute([r for r in m if sum(r)])) < 1e-12
-
-
-def test_fisher_rx2_reports_what_it_cannot_enumerate(frame):
-    out = table(contingency.fisher_rx2(cells(frame, {"big": [[500, 400]] * 6, "small": [[2, 3], [4, 1], [0, 5]]}), max_tables=100_000), "test")
-    assert out["big"][1] is None and out["big"][2] == "too many tables" and out["small"][2] is None
+    assert abs(fisher_exact_rx2(np.array(m)) - brute([r for r in m if sum(r)])) < 1e-12
+
+
+def test_fisher_rx2_has_no_cap(frame, monkeypatch):
+    tables = {"three": [[1500, 1500], [1400, 1600], [1450, 1550]], "four": [[150, 150], [130, 170], [160, 140], [155, 145]], "five": [[50, 50], [40, 60], [45, 55], [60, 40], [52, 48]],
+              "wide": [[1, 2, 3], [3, 2, 1]], "small": [[2, 3], [4, 1], [0, 5]], "column": [[3, 0], [2, 0]]}
+    out = table(contingency.fisher_rx2(cells(frame, tables)), "test")
+    assert [out[k][2] for k in ("three", "four", "five", "small")] == [None] * 4
+    assert out["wide"][1:] == (None, "not two columns") and out["column"][2] == "not two columns"
+    assert all(0.03 < out[k][1] < 0.08 for k in ("three", "four", "five"))
+    monkeypatch.setattr(contingency, "PART_TABLES", 50)
+    parts = fisher_exact_rx2(np.array(tables["four"]))
+    assert abs(parts - out["four"][1]) < 1e-9
+
+
+def test_interval_of_a_strong_association_at_large_counts():
+    for n in (10**11, 10**12):
+        m, a = 10**7, 5 * 10**6
+        cells_ = (a, m - a, m - a, n - 2 * m + a)
+        odds, se = cells_[0] * cells_[3] / cells_[1] / cells_[2], sum(1 / x for x in cells_) ** 0.5
+        got = fisher_exact_2x2(*cells_)
+        assert abs(got["ci_lower"] / odds / np.exp(-1.959964 * se) - 1) < 1e-3 and abs(got["ci_upper"] / odds / np.exp(1.959964 * se) - 1) < 1e-3
 
 
 def test_counts_use_complete_pairs_and_masks(frame):

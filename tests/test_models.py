@@ -204,3 +204,20 @@ def test_model_without_rows_is_reported(df):
         assert rows["m", "x"].converged
     assert {r.n for r in glm.fit_glm(df, empty).collect()} == {0}
     assert [r.lower for r in glm.profile_interval(df, empty).collect()] == [None, None]
+
+
+def test_large_means_lose_no_digits(df):
+    """Shifting response and predictors changes neither slopes nor errors nor scale."""
+    plain = df.withColumn("w", F.col("x") * 3)
+    moved = plain.withColumns({"z": F.col("z") + 1e9, "x": F.col("x") + 202000.0})
+    linear = Model("m", "z", ("x", Factor("g", LEVELS)), "gaussian", "identity")
+    logit = Model("l", "y", ("x", Factor("g", LEVELS)))
+    a, b = (table(gee.fit_gee(d, [linear], "cl").select("term", "estimate", "std_error", "phi", "alpha"), "term") for d in (plain, moved))
+    for term in a:
+        if term != "(Intercept)":
+            assert np.allclose(a[term], b[term], rtol=1e-6, atol=1e-9)
+    for model in (linear, logit):
+        a, b = (table(glm.fit_glm(d, model).select("term", "estimate", "std_error", "converged"), "term") for d in (plain, moved))
+        for term in a:
+            if term != "(Intercept)":
+                assert np.allclose(a[term][:2], b[term][:2], rtol=1e-5, atol=1e-8) and b[term][2]

@@ -5,6 +5,7 @@ from helpers import bag, table
 from pyspark.sql import functions as F
 
 from panelwise.plans import prep, reports
+from panelwise.plans import study as study_module
 from panelwise.plans import values as v
 
 STI = {
@@ -259,3 +260,18 @@ def test_whole_study_from_a_csv_sheet(spark, frame, tmp_path):
     assert len(paths) > 50
     trends = spark.read.parquet(next(p for p in paths if p.endswith("/trends")))
     assert trends.where("term = 'visit_num'").count() == 6
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(20,3)", "string", "bigint"])
+def test_large_ids_survive(frame, kind):
+    ids = [9_999_999, 10_000_000, 20_000_007]
+    sheet = frame([(str(i) + (".0" if kind == "string" else ""),) for i in ids], f"{v.ID} string").withColumn(v.ID, F.col(v.ID).cast(kind))
+    assert [r[0] for r in prep.typed(sheet).orderBy(v.ID).collect()] == ids
+
+
+def test_repeated_participants_stop_the_run(spark, frame, tmp_path):
+    sheet = make_sheet(frame, crowd(seed=2, n=5))
+    sheet.union(sheet.limit(1)).write.parquet(str(tmp_path / "sheet"))
+    with pytest.raises(ValueError, match="more than one row"):
+        study_module.run(spark, str(tmp_path / "sheet"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/audit/repeated_ids")).count() == 1

@@ -68,7 +68,7 @@ def test_score_interval_contains_the_share(frame, xs):
 @given(*[st.integers(0, 25)] * 4)
 def test_exact_tests_agree(a, b, c, d):
     if min(a + b, c + d, a + c, b + d) > 0:
-        one, two = fisher_exact_2x2(a, b, c, d), fisher_exact_rx2(np.array([[a, b], [c, d]]), 10**6)
+        one, two = fisher_exact_2x2(a, b, c, d), fisher_exact_rx2(np.array([[a, b], [c, d]]))
         assert math.isclose(one["p_value"], two, rel_tol=1e-9)
         assert one["ci_lower"] <= one["odds_ratio"] <= one["ci_upper"]
         swapped = fisher_exact_2x2(c, d, a, b)

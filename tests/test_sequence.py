@@ -90,5 +90,7 @@ def test_random_row_is_one_existing_row_per_id(frame):
 def test_repeats_and_counts(frame):
     df = frame([(1, None, 1), (1, None, 2), (1, "a", 3), (None, "a", 4), (None, "a", 5)], "id int, v string, k int")
     assert bag(sequence.repeated_rows(df, ["id", "v"], "k").select("k")) == ["(2,)", "(5,)"]
+    ties = frame([(1, "a", 1), (1, "a", None), (1, "a", 1), (2, "b", None), (2, "b", None), (3, "c", 1)], "id int, v string, k int")
+    assert bag(sequence.repeated_rows(ties, ["id", "v"], "k")) == bag(frame([(1, "a", 1), (1, "a", None), (2, "b", None)], "id int, v string, k int"))
     assert table(sequence.add_count(df, ["id"]).select("k", "n"), "k") == {1: 3, 2: 3, 3: 3, 4: 2, 5: 2}
     assert table(sequence.first_in_group(df, ["id"], ["k"], "v").select("k", "first_result"), "k") == {1: None, 2: None, 3: None, 4: "a", 5: "a"}
