@@ -12,10 +12,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.tails import chi2_sf
+from panelwise.operators.joins import attach
 
 # Relative slack when comparing table probabilities, confidence level.
 SLACK = 1 + 1e-7
@@ -51,26 +52,26 @@ def keyed_counts(df: DataFrame, test: str, row: str, col: str) -> DataFrame:
 
 
 def chisq_test(cells: DataFrame, correct: bool = True) -> DataFrame:
-    """Pearson statistic per test, with the continuity correction on 2 x 2 tables."""
-    by = Window.partitionBy("test")
+    """Pearson statistic per test, with the continuity correction on 2 x 2 tables.
+
+    Row, column and total sums are aggregates joined back, so a test with very many levels is spread.
+    """
     n = F.col("n").cast("double")
-    # Partitioning by test serves all three windows.
-    c = cells.repartition("test").withColumns({
-        "r": F.sum(n).over(Window.partitionBy("test", "row")),
-        "k": F.sum(n).over(Window.partitionBy("test", "col")),
-        "t": F.sum(n).over(by),
-    }).withColumn("e", F.col("r") * F.col("k") / F.col("t"))
-    per = c.groupBy("test").agg(
-        F.size(F.collect_set("row")).alias("n_row"),
-        F.size(F.collect_set("col")).alias("n_col"),
+    rows = cells.groupBy("test", "row").agg(F.sum(n).alias("r"))
+    cols = cells.groupBy("test", "col").agg(F.sum(n).alias("k"))
+    labels = attach(
+        rows.groupBy("test").agg(F.count(F.lit(1)).alias("n_row"), F.sum("r").alias("t"), F.max("r").alias("r_max")),
+        cols.groupBy("test").agg(F.count(F.lit(1)).alias("n_col"), F.max("k").alias("k_max")), ["test"],
+    )
+    c = attach(attach(attach(cells, rows, ["test", "row"]), cols, ["test", "col"]), labels.select("test", "t"), ["test"])
+    c = c.withColumn("e", F.col("r") * F.col("k") / F.col("t"))
+    sums = c.groupBy("test").agg(
         F.count(F.lit(1)).alias("n_cell"),
-        F.max("t").alias("t"),
         F.sum(F.pow(n - F.col("e"), 2) / F.col("e")).alias("s"),
         F.sum("e").alias("se"),
         F.max(F.abs(n - F.col("e"))).alias("d"),
-        F.max("r").alias("r"),
-        F.max("k").alias("k"),
     )
+    per = attach(sums, labels, ["test"]).withColumnsRenamed({"r_max": "r", "k_max": "k"})
     # Empty cells have no row here; each of them would add its expected count.
     full = F.col("s") + F.when(F.col("n_cell") < F.col("n_row") * F.col("n_col"), F.col("t") - F.col("se")).otherwise(0.0)
     d = F.greatest(F.col("d") - (0.5 if correct else 0.0), F.lit(0.0))

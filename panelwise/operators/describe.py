@@ -86,9 +86,13 @@ def group_share(df: DataFrame, column: str, known_only: bool = False) -> DataFra
 
 
 def share_within(counts: DataFrame, first: Iterable[str], n: str = "n", name: str = "pct") -> DataFrame:
-    """Share inside the first key of grouped rows (at most one row per level)."""
-    w = Window.partitionBy(*list(first))
-    return counts.withColumn(name, ratio(F.col(n), F.sum(n).over(w)))
+    """Share inside the first key of grouped rows.
+
+    The total is an aggregate that is joined back, so a key with very many levels is spread.
+    """
+    keys = list(first)
+    total = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
+    return attach(counts, total, keys).withColumn(name, ratio(F.col(n), F.col("__total"))).drop("__total")
 
 
 def group_share_within(df: DataFrame, first: str, second: str, known_only: bool = False) -> DataFrame:
@@ -336,12 +340,13 @@ def table_one(df: DataFrame, items: Sequence[Item]) -> DataFrame:
     those with an answer; the row with a NULL level is the missing count.
     """
     counts = stack_levels(df, items).groupBy("variable", "level").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("variable")
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).over(w)
-    return counts.withColumns({
-        "pct_all": ratio(F.col("n"), F.sum("n").over(w)),
-        "pct_known": F.when(F.col("level").isNotNull(), ratio(F.col("n"), known)),
-    })
+    totals = counts.groupBy("variable").agg(
+        F.sum("n").alias("__all"), F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).alias("__known")
+    )
+    return attach(counts, totals, ["variable"]).withColumns({
+        "pct_all": ratio(F.col("n"), F.col("__all")),
+        "pct_known": F.when(F.col("level").isNotNull(), ratio(F.col("n"), F.col("__known"))),
+    }).drop("__all", "__known")
 
 
 def table_two(df: DataFrame, items: Sequence[Item], outcome: str, known_levels: bool = False) -> DataFrame:
