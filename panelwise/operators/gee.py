@@ -7,15 +7,16 @@ cluster enters the equations through sums over its rows only. One iteration is
 2. ``groupBy(model)``: the matrices B, U and the sum of U U',
 3. p x p algebra on the driver; coefficients and correlation go back as literals.
 
-Cells are laid out once by range of (model, cluster, design row). Rows of one
-cluster sit together, so step 1 is mostly done before its shuffle, and a cluster
-with very many distinct design rows is spread over several tasks.
+Cells are laid out once by (model, cluster) and kept, so step 1 needs no exchange
+in any pass. Clusters with very many distinct design rows lie apart, spread over
+tasks, and their partial sums are added.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark import StorageLevel
@@ -62,7 +63,30 @@ def cluster_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.n
     )
 
 
-def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.ndarray],
+class Layout(NamedTuple):
+    """Cells by cluster: ordinary clusters whole in one partition, very large ones spread."""
+
+    plain: DataFrame
+    spread: DataFrame | None
+
+    def sums(self, *args) -> DataFrame:
+        """Cluster sums of both parts; the plain part needs no exchange."""
+        own = cluster_sums(self.plain, *args)
+        return own if self.spread is None else own.unionByName(cluster_sums(self.spread, *args))
+
+
+def laid_out(frame: DataFrame, width: int, large: int) -> Layout:
+    """One exchange for all passes of a fit. Clusters of more than `large` cells would fill one task, so they lie by range
+    of their cells, and their partial sums are added in every pass; which ones they are is counted once."""
+    huge = frame.groupBy("model", "cluster").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > large).select("model", "cluster")
+    if huge.limit(1).count() == 0:
+        return Layout(frame.repartition("model", "cluster").persist(StorageLevel.MEMORY_AND_DISK), None)
+    rest = frame.join(huge, ["model", "cluster"], "left_anti").repartition("model", "cluster")
+    wide = frame.join(huge, ["model", "cluster"], "left_semi").repartitionByRange("model", "cluster", *[f"x{i}" for i in range(1, width)])
+    return Layout(rest.persist(StorageLevel.MEMORY_AND_DISK), wide.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def equation_sums(layout: Layout, models: Sequence[Model], beta: dict[int, np.ndarray],
                   alpha: dict[int, float], width: int) -> dict[int, dict]:
     """B, U, sum of U U' and the moments behind scale and correlation, per model."""
     a = per_model(alpha, len(models))
@@ -75,7 +99,7 @@ def equation_sums(frame: DataFrame, models: Sequence[Model], beta: dict[int, np.
         "max(m) AS largest", "count(*) AS clusters", "max(top) AS top", "count_if(c IS NULL) AS undefined",
     ]
     rows = (
-        cluster_sums(frame, models, beta, width)
+        layout.sums(models, beta, width)
         .selectExpr("*", f"try_divide({a}, 1 + (m - 1) * {a}) AS c")
         .selectExpr("*", *[f"ze{j} - c * z{j} * e AS u{j}" for j in range(width)])
         .groupBy("model")
@@ -102,7 +126,7 @@ def _moments(s: dict, p: int, df_correct: bool) -> tuple[float, float]:
 
 
 def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: float = 1e-8, max_iter: int = 50,
-            corr: str = "exchangeable", df_correct: bool = False) -> DataFrame:
+            corr: str = "exchangeable", df_correct: bool = False, large: int = 200_000) -> DataFrame:
     """Fit one or many models with robust standard errors.
 
     A cluster is every row with the same key, wherever the rows are. ``corr`` may
@@ -112,13 +136,15 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
     models = [models] if isinstance(models, Model) else list(models)
     width = max(len(m.names) for m in models)
     centre = centring(df, models, cluster)
-    frame = cells(df, models, cluster, centre)
-    frame = frame.repartitionByRange("model", "cluster", *[f"x{i}" for i in range(1, width)])
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    frame = cells(df, models, cluster, centre).persist(StorageLevel.MEMORY_AND_DISK)
+    layout = None
     try:
-        state = _iterate(frame, models, width, tol, max_iter, corr, df_correct)
+        layout = laid_out(frame, width, large)
+        state = _iterate(frame, layout, models, width, tol, max_iter, corr, df_correct)
     finally:
-        frame.unpersist()
+        for kept in (frame, *(layout or ())):
+            if kept is not None:
+                kept.unpersist()
     # A model without a complete row is reported, not dropped.
     rows = [(m.name, t, *[None] * 4, 0, 0, None, None, 0, False) for i, m in enumerate(models) if i not in state for t in m.names]
     for i, s in sorted(state.items()):
@@ -140,10 +166,10 @@ def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: f
     return df.sparkSession.createDataFrame(rows, GEE_SCHEMA)
 
 
-def _iterate(frame, models, width, tol, max_iter, corr, df_correct) -> dict[int, dict]:
+def _iterate(frame, layout, models, width, tol, max_iter, corr, df_correct) -> dict[int, dict]:
     state = first_look(frame, models, width)
     start = {i: s["beta"] for i, s in state.items()}
-    for i, s in equation_sums(frame, models, start, dict.fromkeys(start, 0.0), width).items():
+    for i, s in equation_sums(layout, models, start, dict.fromkeys(start, 0.0), width).items():
         state[i].update(s, used=0.0)
     todo = set(state)
     for step in range(1, max_iter + 1):
@@ -160,7 +186,7 @@ def _iterate(frame, models, width, tol, max_iter, corr, df_correct) -> dict[int,
             # coefficients; the first steps stay independent until that settles.
             phi, a = _moments(s, len(idx), df_correct)
             used[i] = a if corr == "exchangeable" and step > 1 else 0.0
-        new = equation_sums(frame, models, trial, used, width)
+        new = equation_sums(layout, models, trial, used, width)
         for _ in range(20):
             bad = [i for i in trial if models[i].family == "binomial" and models[i].link == "log" and new[i]["top"] >= 0]
             if not bad:
@@ -168,7 +194,7 @@ def _iterate(frame, models, width, tol, max_iter, corr, df_correct) -> dict[int,
             for i in bad:
                 delta[i] = delta[i] / 2
                 trial[i] = state[i]["beta"] + delta[i]
-            new.update(equation_sums(frame, models, {i: trial[i] for i in bad}, {i: used[i] for i in bad}, width))
+            new.update(equation_sums(layout, models, {i: trial[i] for i in bad}, {i: used[i] for i in bad}, width))
         for i in list(todo):
             change = float(np.max(np.abs(delta[i])))
             phi, a = _moments(new[i], len(state[i]["free"]), df_correct)

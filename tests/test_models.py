@@ -221,3 +221,20 @@ def test_large_means_lose_no_digits(df):
         for term in a:
             if term != "(Intercept)":
                 assert np.allclose(a[term][:2], b[term][:2], rtol=1e-5, atol=1e-8) and b[term][2]
+
+
+def test_spread_clusters_give_the_same_fit(df):
+    models = [Model("m", "z", ("x", Factor("g", LEVELS)), "gaussian", "identity"), Model("l", "y", ("x",))]
+    a, b = (table(gee.fit_gee(df, models, "cl", large=n).select("model", "term", "estimate", "std_error", "alpha", "n_clusters"), "model", "term") for n in (200_000, 3))
+    assert set(a) == set(b) and all(np.allclose(a[k], b[k], rtol=1e-7, atol=1e-9) for k in a)
+
+
+def test_a_pass_needs_no_exchange_per_cluster(df):
+    model = [Model("l", "y", ("x",))]
+    layout = gee.laid_out(cells(df, model, "cl"), 2, 200_000)
+    layout.plain.count()
+    sums = layout.sums(model, {0: [-0.5, 0.0]}, 2)
+    assert sums.count() == 60 and layout.spread is None
+    top = sums._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "Exchange" not in top
+    layout.plain.unpersist()
