@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
 #: Characters that the numpy operators work on at once.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 300_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

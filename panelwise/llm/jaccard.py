@@ -38,7 +38,7 @@ TOLERANCE = 1e-6
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bounds of a block of a bucket: nodes, and shingles of its nodes together.
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 2_000_000
-CHUNK = 400_000
+CHUNK = 150_000
 
 FACTORS = (mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
 

@@ -27,7 +27,7 @@ from panelwise.llm.textarrays import segment_hashes
 OTHER, LOWER, UPPER, DIGIT, SPACE, NEWLINE, SYMBOL, STOP, MARK = range(9)
 KINDS = 9
 #: Characters handled at once.
-CHUNK = 400_000
+CHUNK = 120_000
 OWN = 15
 FEATURES = 3 * OWN + 3
 

@@ -37,7 +37,7 @@ DIMENSIONS = 12
 #: With fewer texts of a class kept for calibration, all texts serve for both.
 FEW = 15
 #: Characters scored at once.
-CHUNK = 600_000
+CHUNK = 200_000
 
 
 def bucket(word: str) -> int:
