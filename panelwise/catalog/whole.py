@@ -1,7 +1,8 @@
 """The study plans on a sheet that Spark derives from customers and orders.
 
 A customer is a participant; its orders of one priority are the answers of one
-visit. The derived sheet has the study's own column names, so preparation and
+visit, and the lowest priority serves for two visits by parity of the order key.
+Every order counts. The derived sheet has the study's own column names, so preparation and
 reports run exactly as on a real sheet.
 """
 
@@ -15,16 +16,22 @@ from panelwise.catalog.describing import WILSON, Z
 from panelwise.plans import prep, reports
 from panelwise.plans import values as v
 
-RAW = {"j0": "1-URGENT", "m1": "2-HIGH", "m3": "3-MEDIUM"}
-LAB = {"scr": "1-URGENT", "m1": "2-HIGH", "m3": "3-MEDIUM"}
+RAW = {"j0": "scr", "m1": "m1", "m3": "m3", "m6": "m6", "m9": "m9", "m12": "m12"}
+LAB = {visit: visit for visit in RAW.values()}
 
 
 def study_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer, study columns as text; one aggregation and one join."""
     orders, price = table(spark, folder, "orders"), F.col("o_totalprice")
     aggs = []
+    code, even = F.col("o_orderpriority"), F.col("o_orderkey") % 2 == 0
+    visit_of = (
+        F.when(code == "1-URGENT", "scr").when(code == "2-HIGH", "m1").when(code == "3-MEDIUM", "m3")
+        .when(code == "4-NOT SPECIFIED", "m6").when(even, "m9").otherwise("m12")
+    )
+    orders = orders.withColumn("visit", visit_of)
     for visit in RAW.values():
-        hit = F.col("o_orderpriority") == visit
+        hit = F.col("visit") == visit
         aggs += [
             F.count_if(hit).alias(f"n {visit}"),
             F.max(F.when(hit, price)).alias(f"mx {visit}"),
@@ -60,15 +67,16 @@ def study_sheet(spark: SparkSession, folder: str) -> DataFrame:
     return wide.select(*cols)
 
 
-STUDY = """WITH g AS (SELECT o_custkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'scr' WHEN '2-HIGH' THEN 'm1' ELSE 'm3' END AS visit,
-  count(*) AS n, max(o_totalprice) AS mx, max(o_orderstatus) AS st FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2),
+STUDY = """WITH g AS (SELECT o_custkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'scr' WHEN '2-HIGH' THEN 'm1' WHEN '3-MEDIUM' THEN 'm3'
+   WHEN '4-NOT SPECIFIED' THEN 'm6' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'm9' ELSE 'm12' END END AS visit,
+  count(*) AS n, max(o_totalprice) AS mx, max(o_orderstatus) AS st FROM orders GROUP BY 1, 2),
  p AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0),
  b AS (SELECT p.id, t.visit, g.n, g.mx, CASE g.st WHEN 'P' THEN 'P' WHEN 'F' THEN 'N' END AS value,
   CASE WHEN n < 4 THEN CASE n WHEN 1 THEN 0 ELSE n END END AS clients, g.n - 1 > 0 AS has_partner,
   CASE WHEN mx >= 100000 THEN CAST(mx >= 300000 AS INT) END AS always_client,
   CASE g.st WHEN 'P' THEN 1 WHEN 'F' THEN 0 END AS always_main, CASE WHEN n > 1 THEN CAST(mx >= 200000 AS INT) END AS used_client,
   CASE g.st WHEN 'O' THEN 'positif' WHEN 'F' THEN 'negatif' END AS rpr
-  FROM p CROSS JOIN (VALUES ('scr'), ('m1'), ('m3')) t(visit) LEFT JOIN g ON g.id = p.id AND g.visit = t.visit),
+  FROM p CROSS JOIN (VALUES ('scr'), ('m1'), ('m3'), ('m6'), ('m9'), ('m12')) t(visit) LEFT JOIN g ON g.id = p.id AND g.visit = t.visit),
  f AS (SELECT *, CAST(clients > 0 AS INT) AS reports_client, CASE WHEN mx < 150000 THEN 0 ELSE CAST(has_partner AS INT) END AS reports_main FROM b)
 """
 
@@ -120,7 +128,7 @@ def _(spark, d):
     return rounded(out.select("visit", "mean", "median", "sd", "n", "lower", "upper"), "mean", "median", "sd", "lower", "upper")
 
 
-@query("study_incident_rpr", STUDY + """, t AS (SELECT *, lag(rpr) OVER (PARTITION BY id ORDER BY CASE visit WHEN 'scr' THEN 1 WHEN 'm1' THEN 2 ELSE 3 END) AS prev
+@query("study_incident_rpr", STUDY + """, t AS (SELECT *, lag(rpr) OVER (PARTITION BY id ORDER BY CASE visit WHEN 'scr' THEN 1 WHEN 'm1' THEN 2 WHEN 'm3' THEN 3 WHEN 'm6' THEN 4 WHEN 'm9' THEN 5 ELSE 6 END) AS prev
   FROM b WHERE rpr IS NOT NULL)
  SELECT count(*) AS n, count(*) FILTER (WHERE rpr = 'positif') AS num_pos, count(*) FILTER (WHERE rpr = 'negatif') AS num_neg,
   round(avg(CAST(rpr = 'positif' AS INT)), 9) AS pct_pos FROM t WHERE prev = 'negatif'""")
