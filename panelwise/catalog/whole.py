@@ -140,6 +140,21 @@ def _(spark, d):
     return rounded(out, "pct_pos")
 
 
+SAMPLES = STUDY + ", sw AS (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM b WHERE value IS NOT NULL) "
+
+
+@query("study_pairs_by_visit", SAMPLES + """SELECT visit, count(*) AS n, count(*) FILTER (WHERE value = 'P') AS num_pos, count(*) FILTER (WHERE value = 'N') AS num_neg
+ FROM sw WHERE k = 2 GROUP BY visit""")
+def _(spark, d):
+    return reports.repeated_samples(prep.prepare(study_sheet(spark, d)))["pairs_by_visit"]
+
+
+@query("study_three_samples", SAMPLES + """SELECT id, CAST(ROW_NUMBER() OVER (PARTITION BY id ORDER BY CASE visit WHEN 'scr' THEN 1 WHEN 'm1' THEN 2 WHEN 'm3' THEN 3
+ WHEN 'm6' THEN 4 WHEN 'm9' THEN 5 ELSE 6 END) AS DOUBLE) AS swab_num, value FROM sw WHERE k = 3""")
+def _(spark, d):
+    return reports.repeated_samples(prep.prepare(study_sheet(spark, d)))["three_samples"]
+
+
 @query("study_demographics", """SELECT c_custkey AS id, CASE substr(CAST(c_custkey AS VARCHAR), 1, 1) WHEN '2' THEN 'Pikine' WHEN '3' THEN 'Mbao' WHEN '4' THEN 'Rifisque'
   WHEN '5' THEN 'Diamniado' ELSE substr(CAST(c_custkey AS VARCHAR), 1, 1) END AS site,
  CASE WHEN age > 17 AND age <= 29 THEN '<30' WHEN age > 29 AND age <= 39 THEN '30-39' WHEN age > 39 AND age <= 49 THEN '40-49' WHEN age > 49 THEN '50+' END AS age_cat,

@@ -57,21 +57,23 @@ def chisq_test(cells: DataFrame, correct: bool = True) -> DataFrame:
     Row, column and total sums are aggregates joined back, so a test with very many levels is spread.
     """
     n = F.col("n").cast("double")
-    rows = cells.groupBy("test", "row").agg(F.sum(n).alias("r"))
-    cols = cells.groupBy("test", "col").agg(F.sum(n).alias("k"))
-    labels = attach(
-        rows.groupBy("test").agg(F.count(F.lit(1)).alias("n_row"), F.sum("r").alias("t"), F.max("r").alias("r_max")),
-        cols.groupBy("test").agg(F.count(F.lit(1)).alias("n_col"), F.max("k").alias("k_max")), ["test"],
-    )
-    c = attach(attach(attach(cells, rows, ["test", "row"]), cols, ["test", "col"]), labels.select("test", "t"), ["test"])
-    c = c.withColumn("e", F.col("r") * F.col("k") / F.col("t"))
-    sums = c.groupBy("test").agg(
-        F.count(F.lit(1)).alias("n_cell"),
+    one = F.count(F.lit(1))
+    cols = cells.groupBy("test", "col").agg(F.sum(n).alias("k"), one.alias("in_col"))
+    rows = cells.groupBy("test", "row").agg(F.sum(n).alias("r"), one.alias("in_row"))
+    rows = attach(rows, rows.groupBy("test").agg(F.sum("r").alias("t")), ["test"])
+    c = attach(attach(cells, rows, ["test", "row"]), cols, ["test", "col"]).withColumn("e", F.col("r") * F.col("k") / F.col("t"))
+    per = c.groupBy("test").agg(
+        # The cells of a row add up to one, so this counts rows, and likewise columns.
+        F.round(F.sum(1 / F.col("in_row"))).alias("n_row"),
+        F.round(F.sum(1 / F.col("in_col"))).alias("n_col"),
+        one.alias("n_cell"),
+        F.max("t").alias("t"),
         F.sum(F.pow(n - F.col("e"), 2) / F.col("e")).alias("s"),
         F.sum("e").alias("se"),
         F.max(F.abs(n - F.col("e"))).alias("d"),
+        F.max("r").alias("r"),
+        F.max("k").alias("k"),
     )
-    per = attach(sums, labels, ["test"]).withColumnsRenamed({"r_max": "r", "k_max": "k"})
     # Empty cells have no row here; each of them would add its expected count.
     full = F.col("s") + F.when(F.col("n_cell") < F.col("n_row") * F.col("n_col"), F.col("t") - F.col("se")).otherwise(0.0)
     d = F.greatest(F.col("d") - (0.5 if correct else 0.0), F.lit(0.0))

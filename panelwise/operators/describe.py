@@ -86,9 +86,15 @@ def group_share(df: DataFrame, column: str, known_only: bool = False) -> DataFra
 
 
 def share_within(counts: DataFrame, first: Iterable[str], n: str = "n", name: str = "pct") -> DataFrame:
-    """Share inside the first key of grouped rows.
+    """Share inside a key of which grouped rows hold few each, such as the outcomes of a level."""
+    w = Window.partitionBy(*list(first))
+    return counts.withColumn(name, ratio(F.col(n), F.sum(n).over(w)))
 
-    The total is an aggregate that is joined back, so a key with very many levels is spread.
+
+def share_of_key(counts: DataFrame, first: Iterable[str], n: str = "n", name: str = "pct") -> DataFrame:
+    """Share inside the first key of grouped rows, however many levels it has.
+
+    The total is an aggregate that is joined back, so no key's levels meet in one task.
     """
     keys = list(first)
     total = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
@@ -100,7 +106,7 @@ def group_share_within(df: DataFrame, first: str, second: str, known_only: bool
     counts = df.groupBy(first, second).agg(F.count("*").alias("n"))
     if known_only:
         counts = counts.where(F.col(second).isNotNull())
-    return share_within(counts, [first])
+    return share_of_key(counts, [first])
 
 
 def level_rates(df: DataFrame, predictors: Mapping[str, Column], outcome: str,

@@ -183,7 +183,11 @@ def before_after(study: Study) -> DataFrame:
 
 def repeated_samples(study: Study) -> dict[str, DataFrame]:
     order = ["visit_ord", "visit"]
+    counted = sequence.add_count(study.swab, ["id"], "n_samples")
+    pairs, threes = (counted.where(F.col("n_samples") == k) for k in (2, 3))
     return {
+        "pairs_by_visit": describe.group_pos_neg(pairs, "visit", "value", v.POSITIVE, v.NEGATIVE).drop("pct_pos"),
+        "three_samples": sequence.average_rank(threes, ["id"], "visit_ord", "swab_num").select("id", "swab_num", "value"),
         "distribution": describe.repeat_distribution(study.swab, "id"),
         "always_never": sequence.always_never(study.swab, "id", "value", v.POSITIVE, v.NEGATIVE),
         "initial_vs_later": sequence.initial_vs_later(study.swab, "id", "visit_ord", "value", v.POSITIVE, v.NEGATIVE),
@@ -232,7 +236,9 @@ def sti_by_swab(study: Study) -> dict[str, DataFrame]:
 def missingness(study: Study, presence_rows: DataFrame) -> dict[str, DataFrame]:
     """Attendance by visit, and presence of sampled rows by visit and site."""
     merged = swab_with_presence(study.swab, presence_rows)
-    answers = [c for c in study.behaviour.columns if any(stem in c for stem in v.BEHAVIOUR_STEMS)]
+    first, last = (x.lower() for x in v.ANSWER_RANGE)
+    stems = [x for x in v.BEHAVIOUR_STEMS if first <= x.lower() <= last]
+    answers = [c for c in study.behaviour.columns if any(stem in c for stem in stems)]
     return {
         "attendance": describe.presence_summary(presence_rows, "visit"),
         "sampled_by_visit": describe.presence_summary(merged, "visit"),

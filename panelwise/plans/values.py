@@ -43,6 +43,8 @@ BEHAVIOUR_STEMS = (
     "PreservaPartenaires", "RaisonsPreservatif", "RaisonsPvatifParten", "ConfiancePreserv",
     "ConfianceservParten", "ConfiancposerAlcool", "ConfiancposerArgent",
 )
+# First and last question, in alphabetical order, of those that "no answers" looks at.
+ANSWER_RANGE = ("FreqUtilervatifPart", "UtilisePvatifDepuis")
 # Questions that the indicators and tables read.
 USED_QUESTIONS = (
     "NbreClieDernSemaine", "UtiliseUnPresevatif", "FreqUtilPreservatif", "PartenaireSexPrinc", "NbrePartMoisDernier",
