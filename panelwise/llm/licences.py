@@ -1,6 +1,7 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-1. Every line and every paragraph of a file, and a licence file as a whole, is a sparse vector of its words and word pairs.
+1. Templates are short notices, standard headers, SPDX lines and full texts. Every line and every paragraph of a file, and a
+   licence file as a whole, is a sparse vector of its words and word pairs.
    Terms weigh by their rarity among the templates; terms that no template has weigh as the rarest. The best cosine
    with a template, if it reaches the threshold, is the file's own licence. Whole texts are read, nothing is shuffled.
 2. Licence files, by name, give their directory a licence. Every distinct directory is joined with the licences of its
@@ -18,15 +19,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import texts_of
 
-# Short notices of licences by their identifier.
-TEMPLATES = [
+# Short notices and standard headers of licences by their identifier; full texts follow below.
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -42,7 +45,23 @@ TEMPLATES = [
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("Zlib", "Licensed under the zlib License."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -54,6 +73,15 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
+SPDX = {
+    "GPL-1.0": "-only -or-later", "GPL-2.0": "-only -or-later", "GPL-3.0": "-only -or-later", "LGPL-2.0": "-only -or-later", "LGPL-2.1": "-only -or-later", "LGPL-3.0": "-only -or-later",
+    "AGPL-3.0": "-only -or-later", "BSD-2-Clause": "", "BSD-3-Clause": "", "ISC": "", "Zlib": "", "0BSD": "", "EPL-2.0": "", "BSL-1.0": "", "MPL-1.1": "", "MPL-2.0": "", "CC0-1.0": "",
+    "CC-BY-4.0": "", "CC-BY-SA-4.0": "", "CC-BY-NC-4.0": "", "Unlicense": "", "Artistic-1.0-Perl": "",
+}
+#: Full texts by identifier; the driver reads them and sends them with the task. There are none of AGPL-3.0, EPL-2.0 and BSL-1.0: their
+#: files are known by title and by the header that they quote.
+FULL_TEXTS = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+TEMPLATES = [*NOTICES, *((name, f"SPDX-License-Identifier: {name}{end}") for name, ends in SPDX.items() for end in dict.fromkeys(["", *ends.split()])), *FULL_TEXTS]
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
@@ -66,7 +94,7 @@ def terms(text: str) -> Counter[str]:
 
 
 class Templates:
-    """Weights of terms, and for each term the templates that have it."""
+    """Weights of terms, and a row for each term with its share in every template."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         vectors = [terms(text) for _, text in templates]
@@ -74,30 +102,30 @@ class Templates:
         self.names = [name for name, _ in templates]
         self.weight = {t: math.log((1 + len(vectors)) / (1 + n)) + 1 for t, n in seen.items()}
         self.other = math.log(1 + len(vectors)) + 1
-        self.where: dict[str, list[tuple[int, float]]] = {}
+        self.row = {t: k for k, t in enumerate(self.weight)}
+        self.shares = np.zeros((len(self.row), len(vectors)))
         for i, v in enumerate(vectors):
             norm = math.sqrt(sum((c * self.weight[t]) ** 2 for t, c in v.items()))
             for t, c in v.items():
-                self.where.setdefault(t, []).append((i, c * self.weight[t] / norm))
-        self.pairs = {t for t in self.weight if " " in t}
+                self.shares[self.row[t], i] = c * self.weight[t] / norm
 
     def best(self, text: str) -> tuple[str | None, float]:
         """Name and cosine of the closest template (the first of equals)."""
-        words = TERM.findall(text.lower())
-        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-        if not self.pairs.intersection(pairs) and len(words) > 1:
-            return None, 0.0  # without a pair of words in common the cosine is below any useful threshold
-        vector = Counter(words) + Counter(pairs)
-        norm, dots = 0.0, Counter()
-        for t, c in vector.items():
-            x = c * self.weight.get(t, self.other)
-            norm += x * x
-            for i, y in self.where.get(t, ()):
-                dots[i] += x * y
-        if not dots:
+        norm, rows, values = 0.0, [], []
+        for t, c in terms(text).items():
+            k = self.row.get(t)
+            if k is None:
+                norm += (c * self.other) ** 2
+            else:
+                x = c * self.weight[t]
+                norm += x * x
+                rows.append(k)
+                values.append(x)
+        if not rows:
             return None, 0.0
-        i = min(dots, key=lambda k: (-dots[k], k))
-        return self.names[i], min(1.0, dots[i] / math.sqrt(norm))
+        scores = np.round(np.array(values) @ self.shares[rows] / math.sqrt(norm), 12)
+        i = int(scores.argmax())
+        return self.names[i], min(1.0, float(scores[i]))
 
     def scan(self, text: str, whole: bool) -> tuple[str | None, float]:
         """Best of all lines and paragraphs, and of the whole text if asked for."""

@@ -69,3 +69,24 @@ def test_inheritance_and_odd_rows(spark):
     }
     assert licences.licences(licences.own_licences(files)).count() == len(rows)
     assert licences.licences(licences.own_licences(files.where("false"))).count() == 0
+
+
+LGPL = "This library is free software{0} you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version."
+AGPL = LGPL.format(":", ",", "3").replace("library", "program").replace("Lesser", "Affero")
+
+
+@pytest.mark.parametrize("text, name", [
+    (AGPL, "AGPL-3.0"), (LGPL.format(":", ",", "3"), "LGPL-3.0"), (LGPL.format(";", ";", "2.1"), "LGPL-2.1"),
+    *((f"// SPDX-License-Identifier: {x}", x) for x in ("BSD-2-Clause", "ISC", "EPL-2.0", "BSL-1.0", "Zlib")), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"),
+])
+def test_headers_and_identifiers(text, name):
+    assert licences.Templates(licences.TEMPLATES).scan("\n".join(["x = 1", "", text, "", "y"]), False)[0] == name
+
+
+def test_full_texts_name_themselves():
+    known = licences.Templates(licences.TEMPLATES)
+    for name, text in licences.FULL_TEXTS:
+        found, score = known.scan(text.replace("Copyright (c)", "Copyright (c) 2024 Jane Doe"), True)
+        assert found == name and score > 0.9
+    assert known.best("the ordinary prose of a file")[1] > 0
