@@ -1,12 +1,13 @@
 """Main text of web pages by consensus paths of a host.
 
-1. Each page's containers are scored: a block of text adds the length of what is no link to its container, and half of it to
-   the container above. The best one is the page's vote: its path of generalised tags and classes, without boilerplate.
+1. Each page's sectioning containers are scored: a block of text adds the length of what is no link to its container, and half
+   of it to the container above. The best one, or what encloses it and adds text, is the page's vote: its path of generalised tags and classes, without boilerplate.
 2. Spark counts votes per host and path; the path with most votes (then most text) wins. One small row per page is shuffled,
    combined on the map side, so a hot host is no hot group.
 3. Every page is extracted again from the containers on its host's winning path, or from its own best one if it has none.
 
-Parts whose tag or class names menus, headers, footers, sidebars, notices, adverts, forms or comments are left out. A block's
+Parts whose tag, or a whole name in class, id or role of a container, says menu, header, footer, sidebar, notice, advert, form or
+comments are left out, unless they hold most of the page's text. A block's
 white space becomes single blanks; a line break tag is white space. Blocks are joined by newlines, none is dropped or cut.
 Null html, and pages without text, give an empty text. A null url belongs to the host "".
 """
@@ -43,12 +44,21 @@ NOISE = set(
     "footer foot copyright comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup login form search share sharing social related recommended widget toolbar pagination pager skip toc".split()
 )
+#: Tags whose names may mark boilerplate, further parts of such names, and first parts that tell of something else.
+NOISY_TAGS = {"div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "figure", "center", "details", "fieldset", "address"}
+REGIONS = set(
+    "site page main post posts article articles content top bottom left right global primary secondary block box bar area wrap wrapper container inner outer section panel "
+    "list item items link links button buttons text title message form info region module row col column group slot unit space google right rail media by print and the me us x".split()
+)
+NEGATIONS = {"has", "no", "not", "without", "with", "hide", "non"}
+#: A part with more than this share of a page's text is its content, whatever its name. Comments are often longer than half.
+MOST = 0.8
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -67,6 +77,7 @@ class Node:
     score: float = 0.0
     text: int = 0  # characters of its own blocks
     headings: int = 0  # of these, characters of headings
+    free: int = 0  # characters outside links
 
 
 @dataclass
@@ -75,8 +86,19 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text), in page order
 
 
-def noisy(attributes: str) -> bool:
-    return any(w.lower() in NOISE for m in NAMED.finditer(attributes) for w in PARTS.findall(m[1] or m[2] or m[3] or ""))
+def noisy(tag: str, attributes: str) -> bool:
+    """Whether a container's names mark boilerplate: a name that is such a word, or a name of several parts that are all such
+    words or name a part of the page. Names of what a part has or has not (has-sidebar, no-comments) say nothing of itself."""
+    if tag not in NOISY_TAGS:
+        return False
+    for m in NAMED.finditer(attributes):
+        if m[1].lower() == "id" and tag == "section":
+            continue  # generated from the section's heading
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [w.lower() for w in PARTS.findall(name)]
+            if parts and parts[0] not in NEGATIONS and any(w in NOISE for w in parts) and all(w in NOISE or w in REGIONS for w in parts):
+                return True
+    return False
 
 
 def generalised(tag: str, attributes: str) -> str:
@@ -86,7 +108,10 @@ def generalised(tag: str, attributes: str) -> str:
     return ".".join([tag, *names])
 
 
-def parse(source: str) -> Page:
+def parse(source: str, kept: frozenset[int] = frozenset()) -> Page:
+    """Nodes and blocks of a page. Parts dropped by name that hold most of its text are `kept` in a second parse."""
+    lost: dict[int, int] = {}
+    total = 0
     page = Page([Node("", "", -1, False)])
     stack, at, pieces, linked, in_link = [0], 0, [], 0, 0
     size = len(source)
@@ -106,6 +131,7 @@ def parse(source: str) -> Page:
             node = page.nodes[node].above
         page.nodes[node].text += len(text)
         page.nodes[node].headings += len(text) * heading
+        page.nodes[node].free += weight
         page.nodes[node].score += weight
         if node:
             upper = page.nodes[node].above
@@ -116,6 +142,11 @@ def parse(source: str) -> Page:
     while at < size:
         m = TOKEN.search(source, at)
         text = source[at : m.start()] if m else source[at:]
+        if text and not text.isspace():
+            total += len(text)
+            for k in stack:
+                if k in lost:
+                    lost[k] += len(text)
         if text and not page.nodes[stack[-1]].dropped:
             text = entities.unescape(text)
             pieces.append(text)
@@ -160,13 +191,17 @@ def parse(source: str) -> Page:
                     del stack[k:]
                     break
         above = page.nodes[stack[-1]]
-        dropped = above.dropped or tag in DROPPED or (tag not in PLAIN and noisy(m[3]))
+        named = tag not in PLAIN and len(page.nodes) not in kept and noisy(tag, m[3])
+        dropped = above.dropped or tag in DROPPED or named
+        if named and not above.dropped:
+            lost[len(page.nodes)] = 0
         path = (above.path + "/" + generalised(tag, m[3]))[-PATH_CHARS:] if tag in CONTAINERS else above.path
         page.nodes.append(Node(tag, path, stack[-1], dropped))
         stack.append(len(page.nodes) - 1)
         in_link = 0
     close_block()
-    return page
+    most = {k for k, n in lost.items() if n > MOST * total}
+    return parse(source, kept | most) if most else page
 
 
 def best(page: Page) -> int:

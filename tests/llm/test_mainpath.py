@@ -93,3 +93,14 @@ def test_random_markup_never_fails():
         source = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
         mainpath.text_of(mainpath.parse(source), None)
     assert html.unescape("&amp") == "&" and re
+
+
+def test_names_of_content_are_not_noise():
+    inner = ("<h2 id=related-work>Related work</h2><p class=notice>First long paragraph of text.</p><section id=discussion><h2 id=search-algorithms>Search</h2>"
+             "<p id=share>Second long paragraph.</p></section><div data-role=form><p>Third part.</p></div>")
+    want = ["Related work", "First long paragraph of text.", "Search", "Second long paragraph.", "Third part."]
+    page = f"<body><article>{inner}</article><div class='site-footer'><p>Foot</p></div><div class=comments><p>Said</p></div></body>"
+    assert mainpath.text_of(mainpath.parse(page), None).split("\n") == want
+    for names in ("content no-sidebar", "post has-comments", "sidebar"):
+        parsed = mainpath.parse(f"<body><div class='{names}'>{inner}</div><div class=ad><p>Buy</p></div></body>")
+        assert [x for _, x in parsed.blocks] == want
