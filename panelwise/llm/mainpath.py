@@ -36,7 +36,7 @@ BLOCKS = {
     "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "center", "hgroup", "search", *DROPPED,
 }
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center", "dd", "li", "blockquote", "figure", "details"}
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PLAIN = {"html", "body", "main", "article"}
 NOISE = set(
@@ -205,21 +205,25 @@ def parse(source: str, kept: frozenset[int] = frozenset()) -> Page:
 
 
 def best(page: Page) -> int:
-    """The container of the highest score (the first of equals), or the article around it, or what adds only headings to it."""
+    """The container of the highest score (the first of equals), or the article around it, or what adds text outside links to it.
+
+    Wrappers that add nothing are looked past. To an article only headings are added.
+    """
     node = max(range(len(page.nodes)), key=lambda i: (page.nodes[i].score if page.nodes[i].tag in CONTAINERS or not i else -1, -i))
+    up = node
+    while up > 0 and page.nodes[up].tag != "article":
+        up = page.nodes[up].above
+    node = up if up > 0 else node
     ends = subtree_ends(page)
-    while page.nodes[node].above > 0:
-        up = page.nodes[node].above
-        while up > 0 and page.nodes[up].tag not in CONTAINERS:
-            up = page.nodes[up].above
-        upper = page.nodes[up]
-        if up <= 0 or upper.tag in ("body", "html"):
-            break
-        more = [n for i, n in enumerate(page.nodes[up : ends[up]], up) if n.text and not node <= i < ends[node]]
-        only_headings = more and all(n.text == n.headings for n in more)
-        if not only_headings and (upper.tag != "article" or page.nodes[node].tag == "article"):
-            break
-        node = up
+    up = page.nodes[node].above
+    while up > 0 and page.nodes[up].tag not in ("body", "html"):
+        if page.nodes[up].tag in CONTAINERS:
+            more = [n for i, n in enumerate(page.nodes[up : ends[up]], up) if n.text and not node <= i < ends[node]]
+            text, free = sum(n.text for n in more), sum(n.free for n in more)
+            if text and (2 * free <= text or page.nodes[node].tag == "article" and sum(n.headings for n in more) < text):
+                break
+            node = up if text else node
+        up = page.nodes[up].above
     return node
 
 

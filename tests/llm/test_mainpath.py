@@ -104,3 +104,15 @@ def test_names_of_content_are_not_noise():
     for names in ("content no-sidebar", "post has-comments", "sidebar"):
         parsed = mainpath.parse(f"<body><div class='{names}'>{inner}</div><div class=ad><p>Buy</p></div></body>")
         assert [x for _, x in parsed.blocks] == want
+
+
+def test_a_fragment_does_not_win_over_its_article():
+    post = f"<div class=post><h1>Title</h1><p>{'i' * 100}</p><blockquote><p>{'q' * 300}</p></blockquote><p>{'o' * 40}</p></div>"
+    want = ["Title", "i" * 100, "q" * 300, "o" * 40]
+    assert mainpath.text_of(mainpath.parse(f"<body>{post}<div><a href=x>{'l' * 50}</a></div></body>"), None).split("\n") == want
+    wrapped = f"<body><article><div class=wrap><section class=a><p>{'a' * 700}</p></section><section class=b><p>{'b' * 300}</p></section></div></article></body>"
+    assert mainpath.text_of(mainpath.parse(wrapped), None).split("\n") == ["a" * 700, "b" * 300]
+    deep = f"<body><div class=post><p>{'i' * 100}</p><div class=wrap><div class=text><p>{'t' * 500}</p></div></div></div></body>"
+    assert mainpath.text_of(mainpath.parse(deep), None).split("\n") == ["i" * 100, "t" * 500]
+    headed = f"<body><main><h1>Title</h1><article><p>{'t' * 500}</p></article><div><p>{'s' * 40}</p></div></main></body>"
+    assert "t" * 500 in mainpath.text_of(mainpath.parse(headed), None)
