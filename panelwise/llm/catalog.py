@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, decontam, jaccard, licences, linecrf, linefreq, mainpath, toxicity, urlrules, warc
+from panelwise.llm import bpe, decontam, jaccard, licences, linecrf, linefreq, mainpath, toxicity, turnrepair, urlrules, warc
 from panelwise.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
     files = docs.select(d.alias("id"), F.coalesce(path, F.concat(lower, F.lit("/"), d.cast("string"), F.lit(".txt"))).alias("path"), "text")
     own = licences.own_licences(files)
     return licences.licences(written(own, "licences")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_turnrepair")
+def op13_turnrepair(spark: SparkSession, folder: str) -> DataFrame:
+    return turnrepair.report(table(spark, folder, "conversations"))
