@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, decontam, jaccard, licences, linecrf, linefreq, mainpath, toxicity, turnrepair, urlrules, warc
+from panelwise.llm import bpe, decontam, jaccard, licences, linecrf, linefreq, mainpath, minmax, toxicity, turnrepair, urlrules, warc, whitening
 from panelwise.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,16 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(written(own, "licences")).withColumnRenamed("id", "doc_id")
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.report(table(spark, folder, "embeddings"))
+
+
+@query("op12_minmax")
+def op12_minmax(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.classes(table(spark, folder, "documents"))
+
+
 @query("op13_turnrepair")
 def op13_turnrepair(spark: SparkSession, folder: str) -> DataFrame:
     return turnrepair.report(table(spark, folder, "conversations"))
