@@ -6,21 +6,19 @@ works on cells: at most rows x columns of them per test.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.tails import chi2_sf
+from panelwise.operators.exact import Rx2, tests_2x2
 from panelwise.operators.joins import attach
-
-# Relative slack when comparing table probabilities, confidence level.
-SLACK = 1 + 1e-7
-CONF = 0.95
+from panelwise.session import ensure_checkpoint_dir
 
 
 class Pair(NamedTuple):
@@ -90,226 +88,174 @@ def chisq_test(cells: DataFrame, correct: bool = True) -> DataFrame:
     return out.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("df")))
 
 
-def _log_weights(r1: int, r2: int, k: int, lo: int, hi: int) -> np.ndarray:
-    """log of C(r1, a) C(r2, k - a) for a = lo..hi, up to a constant.
+def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
+    """Exact 2 x 2 test of one table: two-sided p, conditional odds ratio and its interval."""
+    p, odds, low, high = (float(v[0]) for v in tests_2x2([a], [b], [c], [d]))
+    return {"p_value": p, "odds_ratio": None if np.isnan(odds) else odds, "ci_lower": low, "ci_upper": high}
 
-    Built from ratios of neighbours, so large margins lose no digits.
-    """
-    a = np.arange(lo, hi, dtype="float64")
-    step = np.log(r1 - a) + np.log(k - a) - np.log(a + 1) - np.log(r2 - k + a + 1)
-    return np.concatenate([[0.0], np.cumsum(step)])
 
+FISHER_2X2 = "p_value double, odds_ratio double, ci_lower double, ci_upper double"
 
-def fisher_exact_2x2(a: int, b: int, c: int, d: int) -> dict:
-    """Exact 2 x 2 test: two-sided p, conditional odds ratio and its interval.
 
-    Counts may be very large. Sums run over the part of the support whose
-    weight is representable; everything outside is 0 in double precision.
-    """
-    r1, r2, k, n = a + b, c + d, a + c, a + b + c + d
-    lo, hi = max(0, k - r2), min(r1, k)
-    if n == 0 or lo == hi:
-        return {"p_value": 1.0, "odds_ratio": None, "ci_lower": 0.0, "ci_upper": math.inf}
-    mean = r1 * k / n
-    sd = math.sqrt(max(r1 * r2 * k * (n - k) / (n * n * max(n - 1, 1)), 1e-12))
-    reach = int(60 * sd) + 200
-
-    # Around a strong association the distribution is as wide as the log odds ratio's error says.
-    spread = 1 / math.sqrt(sum(1 / (x + 0.5) for x in (a, b, c, d)))
-    wide = max(reach, int(60 * spread) + 200)
-
-    def span(centre: float, reach: int = reach) -> tuple[int, int]:
-        return max(lo, int(centre) - reach), min(hi, int(centre) + reach)
-
-    s0, s1 = span(mean)
-    if s0 <= a <= s1:
-        w = _log_weights(r1, r2, k, s0, s1)
-        prob = np.exp(w - w.max())
-        total = prob.sum()
-        p = float(prob[prob <= prob[a - s0] * SLACK].sum() / total)
-    else:
-        p = 0.0
-
-    # Noncentral weights are needed around the observed count only.
-    s0, s1 = span(a, wide)
-    x = np.arange(s0, s1 + 1, dtype="float64")
-    w = _log_weights(r1, r2, k, s0, s1)
-
-    def tilt(t: float) -> np.ndarray:
-        z = w + (x - a) * t
-        z = np.exp(z - z.max())
-        return z / z.sum()
-
-    def solve(f, target: float) -> float:
-        """Root of an increasing function: widen a bracket, then Ridders' method."""
-        left, right = -1.0, 1.0
-        lo_v, hi_v = f(left) - target, f(right) - target
-        while lo_v > 0:
-            left, right, hi_v = left * 2 - 1, left, lo_v
-            lo_v = f(left) - target
-        while hi_v < 0:
-            left, right, lo_v = right, right * 2 + 1, hi_v
-            hi_v = f(right) - target
-        for _ in range(100):
-            mid = (left + right) / 2
-            mid_v = f(mid) - target
-            root = math.sqrt(mid_v * mid_v - lo_v * hi_v)
-            if root == 0 or right - left < 1e-13 * max(1.0, abs(mid)):
-                return mid
-            new = mid + (mid - left) * (-mid_v) / root
-            new_v = f(new) - target
-            points = sorted([(left, lo_v), (mid, mid_v), (new, new_v), (right, hi_v)])
-            for (a0, v0), (a1, v1) in zip(points, points[1:]):
-                if v0 <= 0 <= v1:
-                    left, lo_v, right, hi_v = a0, v0, a1, v1
-                    break
-            if new_v == 0:
-                return new
-        return (left + right) / 2
-
-    alpha = (1 - CONF) / 2
-    est = 0.0 if a == lo else math.inf if a == hi else math.exp(solve(lambda t: float((tilt(t) * x).sum()), a))
-    upper_tail = lambda t: float(tilt(t)[a - s0:].sum())
-    lower_tail = lambda t: -float(tilt(t)[: a - s0 + 1].sum())
-    low = 0.0 if a == lo else math.exp(solve(upper_tail, alpha))
-    high = math.inf if a == hi else math.exp(solve(lower_tail, -alpha))
-    return {"p_value": min(1.0, p), "odds_ratio": est, "ci_lower": low, "ci_upper": high}
-
-
-FISHER_2X2 = "p_value double, odds_ratio double, ci_lower double, ci_upper double, note string"
-
-
-def _tables(cells: DataFrame) -> DataFrame:
-    """One row per test with its cells as an array (rows x columns entries at most).
-
-    The number of partitions is fixed: the rows are few bytes but each costs
-    real arithmetic, so they must not be merged into few tasks.
-    """
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entry = F.struct("row", "col", F.col("n").cast("bigint").alias("n"))
-    return cells.repartition(parts, "test").groupBy("test").agg(
-        F.sum("n").cast("bigint").alias("n"), F.collect_list(entry).alias("cells")
-    )
+def _is(column: str, value: str) -> Column:
+    return F.col(column) == F.col(value)
 
 
-def _matrix(entries) -> np.ndarray:
-    """Counts with rows and columns sorted by label."""
-    rows = {x: i for i, x in enumerate(sorted({e["row"] for e in entries}))}
-    cols = {x: i for i, x in enumerate(sorted({e["col"] for e in entries}))}
-    m = np.zeros((len(rows), len(cols)), dtype="int64")
-    for e in entries:
-        m[rows[e["row"]], cols[e["col"]]] += e["n"]
-    return m
+def _count(which: Column) -> Column:
+    return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("bigint")
 
 
 def fisher_2x2(cells: DataFrame) -> DataFrame:
-    """Exact test for every 2 x 2 table in the frame."""
+    """Exact test for every 2 x 2 table in the frame; other tests get a note.
+
+    The four cells are conditional sums by the least and the greatest label, so a test of very many labels is
+    never gathered. A batch of tests is solved at once.
+    """
+    ends = cells.groupBy("test").agg(
+        F.min("row").alias("row_0"), F.max("row").alias("row_1"), F.min("col").alias("col_0"), F.max("col").alias("col_1")
+    )
+    other = ~((_is("row", "row_0") | _is("row", "row_1")) & (_is("col", "col_0") | _is("col", "col_1")))
+    cell = {f"c{i}{j}": _count(_is("row", f"row_{i}") & _is("col", f"col_{j}")) for i in (0, 1) for j in (0, 1)}
+    tables = attach(cells, ends, ["test"]).groupBy("test").agg(
+        F.sum("n").cast("bigint").alias("n"),
+        *[c.alias(name) for name, c in cell.items()],
+        F.max(other | _is("row_0", "row_1") | _is("col_0", "col_1")).alias("odd"),
+    )
 
     @F.pandas_udf(FISHER_2X2)
-    def run(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for m in map(_matrix, column):
-            if m.shape == (2, 2):
-                out.append({**fisher_exact_2x2(*(int(x) for x in m.ravel())), "note": None})
-            else:
-                out.append({"note": "not a 2x2 table"})
-        return pd.DataFrame(out, columns=["p_value", "odds_ratio", "ci_lower", "ci_upper", "note"])
-
-    return _tables(cells).select("test", "n", run("cells").alias("r")).select("test", "n", "r.*")
-
-
-#: Partial tables that one row of work covers.
-PART_TABLES = 1 << 18
-
-
-class _Exact:
-    """An r x 2 table: all rows but the two largest are enumerated, the last two follow by search."""
-
-    def __init__(self, counts: np.ndarray):
-        counts = counts[counts.sum(axis=1) > 0]
-        counts = counts[np.argsort(counts.sum(axis=1), kind="stable")]
-        self.sizes = counts.sum(axis=1).tolist()
-        self.k, self.n = int(counts[:, 0].sum()), int(counts.sum())
-        self.seen = counts[:, 0].tolist()
-        # Values of a row whose weight is representable beside the largest one.
-        self.ranges = [self._window(m, self.k, self.n) for m in self.sizes[:-2]]
-        self.tables = math.prod(hi - lo + 1 for lo, hi in self.ranges)
-
-    @staticmethod
-    def _window(m: int, k: int, n: int) -> tuple[int, int]:
-        sd = math.sqrt(m * k / n * (n - k) / n * (n - m) / max(n - 1, 1)) if n else 0.0
-        reach, mean = int(40 * sd) + 50, m * k // max(n, 1)
-        return max(0, k - (n - m), mean - reach), min(m, k, mean + reach)
-
-    @staticmethod
-    def _log_choose(m: int) -> np.ndarray:
-        a = np.arange(m, dtype="float64")
-        return np.concatenate([[0.0], np.cumsum(np.log(m - a) - np.log(a + 1))])
-
-    def part(self, number: int) -> tuple[float, float]:
-        """Of one slice of the partial tables: mass of tables no likelier than the observed one, and all mass."""
-        if len(self.sizes) < 2:
-            return 1.0, 1.0
-        weights = [self._log_choose(m) for m in self.sizes]
-        observed = sum(w[x] for w, x in zip(weights, self.seen, strict=True))
-        base = math.lgamma(self.n + 1) - math.lgamma(self.k + 1) - math.lgamma(self.n - self.k + 1)
-        index = np.arange(number * PART_TABLES, min(self.tables, (number + 1) * PART_TABLES), dtype="int64")
-        logw, rest = np.zeros(len(index)), np.full(len(index), self.k, dtype="int64")
-        for (lo, hi), w in zip(self.ranges, weights, strict=False):
-            index, x = np.divmod(index, hi - lo + 1)
-            logw += w[x + lo]
-            rest -= x + lo
-        m1, m2 = self.sizes[-2:]
-        ok = (rest >= 0) & (rest <= m1 + m2)
-        order = np.argsort(rest[ok], kind="stable")
-        rest, logw = rest[ok][order], logw[ok][order]
-        cuts = [0, *(np.flatnonzero(np.diff(rest)) + 1).tolist(), len(rest)]
-        low = total = 0.0
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            k = int(rest[i])
-            lo, hi = self._window(m1, k, m1 + m2)
-            lw = weights[-2][lo:hi + 1] + weights[-1][k - hi:k - lo + 1][::-1]
-            mode = int(lw.argmax())
-            mass = np.exp(lw - lw[mode])
-            up, down = np.maximum.accumulate(lw[:mode + 1]), np.maximum.accumulate(lw[:mode:-1])
-            left = np.concatenate([[0.0], np.cumsum(mass[:mode + 1])])
-            right = np.concatenate([[0.0], np.cumsum(mass[:mode:-1])])
-            limit = observed + math.log(SLACK) - logw[i:j]
-            scale = np.exp(logw[i:j] + lw[mode] - base)
-            low += float((scale * (left[np.searchsorted(up, limit, "right")] + right[np.searchsorted(down, limit, "right")])).sum())
-            total += float(scale.sum() * mass.sum())
-        return low, total
+    def run(odd: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        fine = ~odd.to_numpy(bool)
+        out = {}
+        for name, values in zip(("p_value", "odds_ratio", "ci_lower", "ci_upper"), tests_2x2(*(v[fine] for v in (a, b, c, d)))):
+            column = np.full(len(odd), None, object)
+            column[fine] = [None if np.isnan(v) else float(v) for v in values]
+            out[name] = column
+        return pd.DataFrame(out)
+
+    # Few bytes a row, but each costs arithmetic: a given number of partitions is not merged into fewer.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = tables.repartition(parts, "test").select("test", "n", run("odd", *cell).alias("r"), F.when(F.col("odd"), "not a 2x2 table").alias("note"))
+    return solved.select("test", "n", "r.*", "note")
+
+
+#: States of one test that a task keeps; beyond it they become rows, are merged by an aggregation and dealt to tasks.
+STATES = 1 << 14
+#: States that a row of work takes along.
+STATES_OF_WORK = 1 << 11
+
+PARTIAL = "test string, layer int, total bigint, weight double, many double, low double"
+
+
+def _convolved(tables: Rx2, pending: dict[int, list[tuple]], limit: int) -> list[tuple[int, tuple[np.ndarray, ...]]]:
+    """Carry states (by row of the table) on until they are counted; those of tables with more than `limit` are handed back."""
+    handed = []
+    while pending:
+        layer = min(pending)
+        states = tuple(np.concatenate(x) for x in zip(*pending.pop(layer), strict=True))
+        last = tables.rows[states[0]] - 2 == layer
+        tables.finish(*(x[last] for x in states))
+        states = tuple(x[~last] for x in states)
+        if not len(states[0]):
+            continue
+        kept, counts = [], np.zeros(len(tables.rows), np.int64)
+        for chunk in tables.expand(layer, *states):
+            last = tables.rows[chunk[0]] - 2 == layer + 1
+            tables.finish(*(x[last] for x in chunk))
+            chunk = tuple(x[~last] for x in chunk)
+            counts += np.bincount(chunk[0].astype(np.int64), minlength=len(counts))
+            kept.append(chunk)
+            if counts.sum() > limit:
+                large = counts > limit
+                for i, held in enumerate(kept):
+                    away = large[held[0]]
+                    if away.any():
+                        handed.append((layer + 1, tuple(x[away] for x in held)))
+                        kept[i] = tuple(x[~away] for x in held)
+        from_all = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+        if len(from_all[0]):
+            pending.setdefault(layer + 1, []).append(from_all)
+    return handed
 
 
 def fisher_exact_rx2(counts: np.ndarray) -> float:
     """Exact two-sided p of an r x 2 table."""
-    table = _Exact(np.asarray(counts))
-    parts = [table.part(i) for i in range(-(-table.tables // PART_TABLES))]
-    return min(1.0, sum(low for low, _ in parts) / sum(total for _, total in parts))
+    counts = np.asarray(counts)
+    table = Rx2([counts.sum(axis=1)], [counts[:, 0]])
+    _convolved(table, {0: [table.start()]}, np.iinfo(np.int64).max)
+    return min(1.0, float(table.low[0]))
+
+
+def _column(batch: pa.RecordBatch, name: str, field: str) -> list[np.ndarray]:
+    """A field of an array of structs: one numpy array for each row."""
+    column = batch.column(name)
+    flat = column.flatten()
+    values = flat.field(flat.type.get_field_index(field)).to_numpy(zero_copy_only=False)
+    return np.split(values, np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tables = Rx2(_column(batch, "rows", "size"), _column(batch, "rows", "seen"))
+        tests, layers = batch.column("test"), batch.column("layer").to_numpy()
+        total, weight, many = (_column(batch, "states", f) for f in ("total", "weight", "many"))
+        pending: dict[int, list[tuple]] = {}
+        tables.low[tables.rows < 2] = 1.0
+        for i in np.flatnonzero(tables.rows >= 2):
+            pending.setdefault(int(layers[i]), []).append((np.full(len(total[i]), i), total[i].astype(float), weight[i], many[i]))
+        handed = _convolved(tables, pending, STATES)
+        names = ["test", "layer", "total", "weight", "many", "low"]
+        for layer, (t, total_, weight_, many_) in handed:
+            yield pa.RecordBatch.from_arrays([
+                tests.take(pa.array(t)), pa.array(np.full(len(t), layer), pa.int32()), pa.array(total_.astype(np.int64)), pa.array(weight_), pa.array(many_),
+                pa.nulls(len(t), pa.float64()),
+            ], names)
+        none = [pa.nulls(batch.num_rows, k) for k in (pa.int32(), pa.int64(), pa.float64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([tests, *none, pa.array(tables.low)], names)
+
+
+def _r_by_2(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(test, n, columns) of all tests; (test, rows) of those with two columns: sizes and first cells of their rows."""
+    by_col = cells.groupBy("test", "col").agg(F.sum("n").cast("bigint").alias("n"))
+    tests = by_col.groupBy("test").agg(F.sum("n").alias("n"), F.count("*").alias("columns"), F.min("col").alias("col_0"))
+    two = cells.join(tests.where("columns = 2").select("test", "col_0"), "test")
+    rows = two.groupBy("test", "row").agg(F.sum("n").cast("bigint").alias("size"), _count(_is("col", "col_0")).alias("seen"))
+    return tests.select("test", "n", "columns"), rows.groupBy("test").agg(F.collect_list(F.struct("size", "seen")).alias("rows"))
 
 
 def fisher_rx2(cells: DataFrame) -> DataFrame:
-    """Exact test for every r x 2 table, of any size.
+    """Exact test for every r x 2 table.
 
-    The partial tables of one test are dealt out as rows of work and their masses summed, so a
-    single large test uses all cores. Tables without two columns get a note.
+    A test's partial tables are convolved row by row (`exact.Rx2`). Small tests end in the task that begins them. Of a large
+    one the partial tables become rows (test, running total, log weight, multiplicity); an aggregation merges those that
+    agree, whatever task they come from, and they are dealt to tasks again, until none is left. Tables without two
+    columns get a note.
     """
-
-    @F.pandas_udf("bigint")
-    def slices(column: pd.Series) -> pd.Series:
-        return pd.Series([-(-_Exact(m).tables // PART_TABLES) if m.shape[1] == 2 else 1 for m in map(_matrix, column)], dtype="int64")
-
-    @F.pandas_udf("low double, total double")
-    def masses(column: pd.Series, number: pd.Series) -> pd.DataFrame:
-        tables = map(_matrix, column)
-        out = [_Exact(m).part(int(i)) if m.shape[1] == 2 else (None, None) for m, i in zip(tables, number)]
-        return pd.DataFrame(out, columns=["low", "total"], dtype="float64")
-
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = _tables(cells).withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), slices("cells") - 1)))
-    work = work.repartition(parts, "test", "number").select("test", "n", masses("cells", "number").alias("m"))
-    sums = work.groupBy("test", "n").agg(F.sum("m.low").alias("low"), F.sum("m.total").alias("total"))
-    p = F.when(F.col("total").isNotNull(), F.least(F.lit(1.0), F.col("low") / F.col("total")))
-    return sums.select("test", "n", p.alias("p_value"), F.when(F.col("total").isNull(), "not two columns").alias("note"))
+    spark = cells.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tests, tables = _r_by_2(cells)
+    first = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("many"))
+    # Test keys of any type travel as text.
+    tables = tables.select(F.col("test").cast("string").alias("test"), "rows")
+    work = tables.select("test", "rows", F.lit(0).alias("layer"), F.array(first).alias("states"))
+    found = []
+    while True:
+        found.append(work.repartition(parts).mapInArrow(_advanced, PARTIAL).checkpoint())
+        states = found[-1].where("layer IS NOT NULL")
+        if states.isEmpty():
+            break
+        # Weights of equal states differ by rounding only.
+        states = states.groupBy("test", "layer", "total", F.round(F.col("weight") * 1e10).alias("w")).agg(F.min("weight").alias("weight"), F.sum("many").alias("many"))
+        states = states.checkpoint()
+        blocks = states.groupBy("test", "layer").agg(F.ceil(F.count("*") / STATES_OF_WORK).alias("blocks"))
+        states = states.join(blocks, ["test", "layer"]).withColumn("block", F.pmod(F.xxhash64("total"), "blocks"))
+        work = states.groupBy("test", "layer", "block").agg(F.collect_list(F.struct("total", "weight", "many")).alias("states"))
+        work = work.join(tables, "test").select("test", "rows", "layer", "states")
+    low = found[0]
+    for more in found[1:]:
+        low = low.unionByName(more)
+    low = low.where("low IS NOT NULL").groupBy(F.col("test").alias("t")).agg(F.least(F.lit(1.0), F.sum("low")).alias("p_value"))
+    note = F.when(F.col("columns") != 2, "not two columns").alias("note")
+    return tests.join(low, F.col("test").cast("string").eqNullSafe(F.col("t")), "left").select("test", "n", "p_value", note)
