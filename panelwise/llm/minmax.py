@@ -130,7 +130,8 @@ def members(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
     rows = rows.select("node", "n", "band", F.xxhash64("band", F.expr(f"substring(signature, band * {4 * ROWS} + 1, {4 * ROWS})")).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1").select("key", "pivot")
-    return rows.join(shared, "key").select("key", "band", "node", "n", "pivot")
+    # Written summaries leave joins plain, so partitions of hot keys can be split at run time.
+    return rows.join(written(shared, "minmax-shared"), "key").select("key", "band", "node", "n", "pivot")
 
 
 def _slices(nodes: str, shingles: str):
@@ -144,7 +145,9 @@ UNIT_ROWS = "key bigint, band int, first bigint, second bigint, side int, node b
 def stars(shared: DataFrame) -> DataFrame:
     """Units that compare every node with the pivots of its bands: a pivot (side 0) and a slice of its nodes (side 1)."""
     pairs = shared.where("node <> pivot").groupBy("pivot", "node").agg(F.any_value("n").alias("n"))
+    pairs = written(pairs, "minmax-stars")
     slices = pairs.groupBy("pivot").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("pivot", _slices("size", "total").alias("slices"))
+    slices = written(slices, "minmax-slices")
     fixed = [F.col("pivot").alias("key"), F.lit(-1).alias("band")]
     place = F.pmod(F.xxhash64("node"), F.col("slices"))
     leaves = pairs.join(slices, "pivot").select(*fixed, place.alias("first"), F.lit(0).cast("bigint").alias("second"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
@@ -157,10 +160,10 @@ def blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Units that compare the nodes of a bucket that lie in different classes. roots: (node, root) of linked nodes."""
     rows = shared.select("key", "band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = written(rows.join(mixed_keys, "key"), "minmax-mixed")
+    rows = written(rows.join(written(mixed_keys, "minmax-mixed-keys"), "key"), "minmax-mixed")
     # A class with many nodes in a bucket is a group of its own, all others are group -1.
     by_class = rows.groupBy("key", "root").agg(F.any_value("band").alias("band"), F.count("*").alias("size"), F.sum("n").alias("total"))
-    by_class = by_class.withColumn("group", F.when(_slices("size", "total") > 1, F.col("root")).otherwise(F.lit(-1)))
+    by_class = written(by_class, "minmax-by-class").withColumn("group", F.when(_slices("size", "total") > 1, F.col("root")).otherwise(F.lit(-1)))
     large = by_class.where("group >= 0").select("key", "root", F.col("group").alias("own"))
     groups = by_class.groupBy("key", "group").agg(F.any_value("band").alias("band"), F.sum("size").alias("size"), F.sum("total").alias("total"))
     groups = written(groups.select("key", "group", "band", F.least(_slices("size", "total"), F.col("size").cast("int")).alias("slices")), "minmax-groups")
