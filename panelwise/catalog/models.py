@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from panelwise.catalog.base import L, lines, query, rounded, tail_sql
 from panelwise.functions.intervals import coef_interval
 from panelwise.operators import design, gee, glm
-from panelwise.operators.design import Factor, Model
+from panelwise.operators.design import Factor, Model, WideFactor
+from panelwise.operators.joins import keep_ids
 
 # Mean, row scale and residual scale of a cell, given the linear predictor.
 LINKS = {
@@ -198,6 +199,20 @@ def _(spark, d):
     return rounded(out.select("term", "estimate", "std_error"), "estimate", "std_error", digits=6)
 
 
+# One coefficient a level: log odds of every supplier against the least one; suppliers without both outcomes are left out.
+@query("glm_wide_factor", HEAD + """, g AS (SELECT lpad(cl::VARCHAR, 8, '0') AS level, count(*)::DOUBLE AS n, sum(o)::DOUBLE AS y FROM l GROUP BY cl HAVING sum(o) > 0 AND sum(o) < count(*)),
+ b AS (SELECT n AS n0, y AS y0 FROM g ORDER BY level LIMIT 1),
+ c AS (SELECT 'cl' || level AS term, ln(y / (n - y)) - ln(y0 / (n0 - y0)) AS est, sqrt(1 / y + 1 / (n - y) + 1 / y0 + 1 / (n0 - y0)) AS se FROM g, b WHERE level <> (SELECT min(level) FROM g)
+  UNION ALL SELECT '(Intercept)', ln(y0 / (n0 - y0)), sqrt(1 / y0 + 1 / (n0 - y0)) FROM b)
+ SELECT term, round(est, 6) AS estimate, round(se, 6) AS std_error, (SELECT CAST(sum(n) AS BIGINT) FROM g) AS n FROM c""")
+def _(spark, d):
+    rows = lines(spark, d)
+    both = rows.groupBy("cl").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("cl")
+    rows = keep_ids(rows, both, "cl").withColumn("cl", F.lpad(F.col("cl").cast("string"), 8, "0"))
+    out = glm.fit_glm(rows, Model("m", "o", (WideFactor("cl"),)), tol=1e-13)
+    return rounded(out.select("term", "estimate", "std_error", "n"), "estimate", "std_error", digits=6)
+
+
 @query("glm_coef_exp", G + "SELECT term, round(exp(est), 6) AS odds_ratio FROM logit")
 def _(spark, d):
     out = glm.fit_glm(lines(spark, d), Model("m", "o", (FLAG,)), tol=1e-13)

@@ -31,18 +31,24 @@ class Factor:
         return self.name or self.column
 
 
-def discover_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> list[Factor]:
-    """Factors whose levels are the sorted values found in the data.
+@dataclass(frozen=True)
+class WideFactor(Factor):
+    """Categorical term of any number of levels, which stay a table; the least level found is the reference (see `wide`)."""
+
+    levels: tuple = ()
+
+
+def discover_levels(df: DataFrame, columns: Sequence[str], most: int = 100) -> list[Factor]:
+    """A factor of every column, its levels being the sorted values found in the data.
 
-    A column with more than ``limit`` values is refused: it is not a category.
+    A column with more than ``most`` values becomes a wide factor, whose levels are not gathered: they are counted first.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
-    found = df.select(F.inline(pairs)).where("v IS NOT NULL").distinct().limit(limit * len(columns) + 1).collect()
-    levels = {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
-    for c, values in levels.items():
-        if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} levels")
-    return [Factor(c, tuple(values)) for c, values in levels.items()]
+    found = df.select(F.inline(pairs)).where("v IS NOT NULL").distinct()
+    sizes = {r["c"]: r["k"] for r in found.groupBy("c").agg(F.count("*").alias("k")).collect()}
+    listed = [c for c in columns if sizes.get(c, 0) <= most]
+    values = found.where(F.col("c").isin(listed)).collect() if listed else []
+    return [Factor(c, tuple(sorted(r["v"] for r in values if r["c"] == c))) if c in listed else WideFactor(c) for c in columns]
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.tails import normal_two_sided
 from panelwise.operators.design import (
     Model,
+    WideFactor,
     active,
     back,
     by_kind,
@@ -145,8 +147,19 @@ def _cached(df: DataFrame, models: Sequence[Model], centre: list[dict] | None =
 
 
 def fit_glm(df: DataFrame, models: Model | Sequence[Model], tol: float = 1e-10, max_iter: int = 25) -> DataFrame:
-    """Coefficient frame of one or many models: estimate, standard error, test, p."""
+    """Coefficient frame of one or many models: estimate, standard error, test, p.
+
+    Models with a wide factor are fitted one by one, with their levels as a table; all others share every pass.
+    """
     models = [models] if isinstance(models, Model) else list(models)
+    wide = [m for m in models if any(isinstance(t, WideFactor) for t in m.terms)]
+    if wide:
+        from panelwise.operators.wide import fit_wide
+
+        parts = [fit_wide(df, m, tol, max_iter) for m in wide]
+        if rest := [m for m in models if m not in wide]:
+            parts.insert(0, fit_glm(df, rest, tol, max_iter))
+        return reduce(DataFrame.unionByName, parts)
     width = max(len(m.names) for m in models)
     centre = centring(df, models)
     frame = _cached(df, models, centre)
