@@ -23,6 +23,7 @@ an empty table gives no rows. Further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -68,10 +69,17 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def block_matrix(rows: DataFrame, row: Column, vector: Column, dimension: int) -> BlockMatrix:
-    """Vectors (arrays of doubles) by row number as distributed blocks of whole rows."""
+    """Vectors (arrays of doubles) by row number as distributed blocks of whole rows, kept until freed().
+
+    A product reads the blocks of its factors several times; a lost one is made again from its rows.
+    """
     indexed = rows.select(row.cast("bigint").alias("index"), array_to_vector(vector).alias("vector"))
     indexed = MLUtils.convertVectorColumnsFromML(indexed, "vector")
-    return IndexedRowMatrix(indexed, 0, dimension).toBlockMatrix(ROWS_PER_BLOCK, dimension)
+    return IndexedRowMatrix(indexed, 0, dimension).toBlockMatrix(ROWS_PER_BLOCK, dimension).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def freed(m: BlockMatrix) -> None:
+    m._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def multiplied(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
@@ -87,6 +95,7 @@ def scatter(rows: DataFrame, n: int, vector: Column, dimension: int) -> np.ndarr
         m = block_matrix(part, F.col("row") - first, vector, dimension)
         splits = max(1, min(m.numRows() // ROWS_PER_BLOCK, part.sparkSession.sparkContext.defaultParallelism))
         total += multiplied(m.transpose(), m, splits).toLocalMatrix().toArray()
+        freed(m)
     return (total + total.T) / 2
 
 
@@ -137,6 +146,8 @@ def whitened(rows: DataFrame, components: int = COMPONENTS, id_column: str = "ve
         by = BlockMatrix(spark.sparkContext.parallelize([((0, 0), DenseMatrix(dimension, used, matrix.ravel(order="F")))], 1), dimension, used)
         back = callMLlibFunc("getIndexedRows", m.multiply(by).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
         back = MLUtils.convertVectorColumnsToML(back, "vector").select((F.col("index") + first).alias("row"), vector_to_array("vector").alias("y"))
+        back = written(back, "whitening-projections")
+        freed(m)
         projected = back if projected is None else projected.unionByName(back)
     out = rows_.select("vec_id", "row", F.lit(n).cast("bigint").alias("n"), deviation.alias("deviation")).join(projected, "row")
     out = written(out, "whitening-projected")
