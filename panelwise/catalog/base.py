@@ -7,15 +7,13 @@ result (P positive, F negative, O uncertain). Survey answers are events.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.functions import recode
-from panelwise.session import tune
+from panelwise.session import shared_folder, tune  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,16 +41,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared scratch folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/panelwise-{uuid.uuid4().hex}"
-
-
 def r(c: Column | str, digits: int = 9) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 

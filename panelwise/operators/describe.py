@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.nulls import _col, any_true, ind, mean_na, ratio, sum_na
-from panelwise.operators.joins import attach, checked_small
-
+from panelwise.operators.joins import attach
+from panelwise.session import written
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
@@ -218,64 +218,71 @@ def _quantile_name(p: float) -> str:
     return "q" + f"{p * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Iterable[str] = (),
-                    accuracy: int = 100_000) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics.
+def order_bits(x: Column) -> Column:
+    """The ordered bits of a double as a long: exponent and mantissa of its size, with its sign. Both zeros are 0.
 
-    No task ever holds all values of a group. Approximate quantiles cut each
-    group into a handful of bins; the bins are counted exactly; only the bins
-    that contain a wanted order statistic are ordered, after equal values were
-    merged into counts. That is three narrow passes over the column, the first two
-    run when the operator is called. The cut points steer the cost only: any cut points give
-    the same, exact answer. A wanted bin holds about ``6 / accuracy`` of a group.
+    Powers of two are exact, and so is dividing by them, so no bit is lost. x must not be NaN.
+    """
+    size = F.abs(x)
+    normal = (size >= 2.0**-1022) & (size < float("inf"))
+    safe = F.when(normal, size).otherwise(1.0)
+    guess = F.floor(F.log2(safe)).cast("double")
+    # The logarithm may be off by one next to a power of two.
+    power = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(safe < power, -1).when(safe / power >= 2, 1).otherwise(0)
+    mantissa = (safe / F.pow(F.lit(2.0), exponent) - 1) * 2.0**52
+    bits = (exponent + 1023).cast("bigint") * F.lit(2**52) + mantissa.cast("bigint")
+    small = (F.when(size < 2.0**-1022, size).otherwise(0.0) * 2.0**537 * 2.0**537).cast("bigint")
+    bits = F.when(normal, bits).when(size < 1, small).otherwise(F.lit(2047 * 2**52))
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+#: Bits left out by each round of the selection.
+ROUNDS = (48, 32, 16, 0)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Iterable[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics, by radix selection.
+
+    Rows are counted by the top 16 bits of their ordered bits, the bins that hold a wanted order statistic are kept, and
+    their rows are counted by the next 16 bits, until each such bin holds one value: four rounds at most, two or three for
+    most data. Values are never sorted or gathered; what is ordered are at most 65,536 counts of a bin. Each round is
+    one job, run when the operator is called, and leaves a few rows a group.
     """
     by = list(by)
-    width = 3.0 / accuracy
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-width, width)})
     x = F.col("__x")
-    data = df.select(*by, F.col(value).cast("double").alias("__x")).where(x.isNotNull() & ~F.isnan(x))
-
-    approx = F.percentile_approx("__x", [float(c) for c in cuts], accuracy)
-    if by:
-        bounds = checked_small(data.groupBy(*by).agg(approx.alias("__b")))
-        binned = attach(data, bounds, by)
-    else:
-        found = data.agg(approx.alias("b")).first()["b"] or [0.0] * len(cuts)
-        binned = data.withColumn("__b", F.lit([float(b) for b in found]))
-    above = sum((F.when(x > F.col("__b")[i], 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
-    binned = binned.select(*by, "__x", above.alias("__bin"))
-
-    # Exact rows per bin and rows before it: at most len(cuts) + 1 rows per group.
-    per_bin = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.sum("__c").over(group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
-    per_bin = per_bin.withColumns({
-        "__before": F.coalesce(before, F.lit(0)), "__n": F.sum("__c").over(group)
-    })
+    data = df.select(*by, F.col(value).cast("double").alias("__x")).where(x.isNotNull() & ~F.isnan(x)).withColumn("__key", order_bits(x))
+    one = F.col("__one")
     wanted = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
-    inside = F.lit(False)
-    for h in wanted:
-        for k in (F.floor(h), F.ceil(h)):
-            inside = inside | ((k >= F.col("__before")) & (k < F.col("__before") + F.col("__c")))
-    needed = checked_small(per_bin.where(inside).drop("__c"))
-
-    # Only rows of the needed bins are shuffled, equal values merged into counts.
-    keys = [*by, "__bin"]
-    cells = _match(binned, needed, keys).groupBy(*keys, "__before", "__n", "__x").agg(F.count("*").alias("__m"))
-    run = Window.partitionBy(*by, "__bin").orderBy("__x")
-    start = F.col("__before") + F.coalesce(
-        F.sum("__m").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    cells = cells.withColumn("__start", start)
+    done: list[DataFrame] = []
+    rows = data.withColumns({"__p": F.lit(0).cast("bigint"), "__before": F.lit(0).cast("bigint"), "__n": F.lit(None).cast("bigint")})
+    for left_out in ROUNDS:
+        fixed = [*by, "__p", "__before", "__n"]
+        bins = rows.groupBy(*fixed, F.shiftright("__key", left_out).alias("__q")).agg(F.count("*").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        inside = Window.partitionBy(*by, "__p")
+        earlier = F.sum("__c").over(inside.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumns({"__start": F.col("__before") + F.coalesce(earlier, F.lit(0)), "__n": F.coalesce("__n", F.sum("__c").over(inside))})
+        needed = F.lit(False)
+        for h in wanted:
+            for k in (F.floor(h), F.ceil(h)):
+                needed = needed | ((k >= F.col("__start")) & (k < F.col("__start") + F.col("__c")))
+        bins = bins.where(needed).select(*by, F.col("__q").alias("__p"), F.col("__start").alias("__before"), "__n", "__c", "__lo", "__hi", (F.col("__lo") == F.col("__hi")).alias("__one"))
+        bins = written(bins, "quantiles")
+        done.append(bins.where(one))
+        if left_out == 0 or bins.where(~one).isEmpty():
+            break
+        rows = _match(data.withColumn("__p", F.shiftright("__key", left_out)), bins.where(~one).drop("__c", "__lo", "__hi", "__one"), [*by, "__p"])
+    cells = reduce(DataFrame.unionByName, done)
 
     def at(k: Column) -> Column:
-        return F.max(F.when((k >= F.col("__start")) & (k < F.col("__start") + F.col("__m")), F.col("__x")))
+        return F.max(F.when((k >= F.col("__before")) & (k < F.col("__before") + F.col("__c")), F.col("__lo")))
 
     aggs = []
     for p, h in zip(probs, wanted):
         frac = F.max(h - F.floor(h))
         lo, hi = at(F.floor(h)), at(F.ceil(h))
-        aggs.append(((1 - frac) * lo + frac * hi).alias(_quantile_name(p)))
+        # Equal ends are taken as they are, so that infinities stay.
+        aggs.append(F.when(lo == hi, lo).otherwise((1 - frac) * lo + frac * hi).alias(_quantile_name(p)))
     return cells.groupBy(*by).agg(*aggs)
 
 

@@ -200,45 +200,62 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
     coefficients is zero, deviance is the minimum plus 3.84" with Newton steps
     on both conditions at once (Venzon and Moolgavkar 1988). All bounds share
     one aggregation per step: each bound is a column set with its own literals.
+
+    Rows are centred and scaled as in a fit. A plain coefficient is a linear function of the centred ones, so a bound is
+    sought in coordinates of which that function is one and the other coefficients are the rest.
     """
     m = model
     p = len(m.names)
-    frame = _cached(df, [m])
+    centre = centring(df, [m])
+    frame = _cached(df, [m], centre)
     try:
         fit = fit_cells(frame, [m], p).get(0)
         if fit is None:
             return _result(df.sparkSession, [(m.name, t, None, None, None, False) for t in m.names], PROFILE_SCHEMA)
         idx = fit["free"]
-        cov = np.linalg.pinv(fit["H"][np.ix_(idx, idx)])
+        matrix, constant = back(m, centre[0], p)
+        plain = matrix @ fit["beta"] + constant
+        info = fit["H"][np.ix_(idx, idx)]
         target = fit["dev"] + CHI2_95
-        bounds = {}
-        for pos, j in enumerate(idx):
+        bounds, turns, spread = {}, {}, {}
+        errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(info)), 1e-300))
+        for j in idx:
+            # c = to_c (b - fit) swaps the coefficient that weighs most in the plain one for it; b = fit + to_b c.
+            pos = int(np.argmax(np.abs(matrix[j, idx]) * errors))
+            to_c = np.eye(len(idx))
+            to_c[pos] = matrix[j, idx]
+            to_b = np.linalg.inv(to_c)
+            turns[j] = pos, to_b
+            h = to_b.T @ info @ to_b
+            cov = np.linalg.pinv(h)
+            spread[j] = np.sqrt(np.maximum(np.diag(cov), 1e-300))
             others = [k for k in range(len(idx)) if k != pos]
             direction = np.zeros(len(idx))
             direction[pos] = 1.0
             if others:
-                h = fit["H"][np.ix_(idx, idx)]
                 direction[others] = -np.linalg.solve(h[np.ix_(others, others)], h[others, pos])
             for side in (-1, 1):
-                b = fit["beta"][idx] + side * math.sqrt(CHI2_95 * cov[pos, pos]) * direction
-                bounds[pos, side] = {"b": b, "done": False}
+                bounds[j, side] = {"c": side * math.sqrt(CHI2_95 * cov[pos, pos]) * direction, "done": False}
         for _ in range(max_iter):
             todo = [k for k, v in bounds.items() if not v["done"]]
             if not todo:
                 break
-            sums = _many_sums(frame, m, idx, [bounds[k]["b"] for k in todo], p)
+            sums = _many_sums(frame, m, idx, [fit["beta"][idx] + turns[k[0]][1] @ bounds[k]["c"] for k in todo], p)
             for k, s in zip(todo, sums):
-                pos = k[0]
+                pos, to_b = turns[k[0]]
+                score, h = to_b.T @ s["U"], to_b.T @ s["H"] @ to_b
+                # In units of each coordinate's standard error, so that the equations are alike in size.
+                unit = spread[k[0]]
+                score, h = score * unit, h * np.outer(unit, unit)
                 rows_ = [q for q in range(len(idx)) if q != pos]
-                jac = np.vstack([s["H"][rows_], 2 * s["U"][None, :]])
-                res = np.concatenate([s["U"][rows_], [s["dev"] - target]])
+                jac = np.vstack([h[rows_], 2 * score[None, :]])
+                res = np.concatenate([score[rows_], [s["dev"] - target]])
                 # Score has derivative -H, deviance has derivative -2 U.
                 step = np.linalg.lstsq(jac, res, rcond=None)[0]
                 size = np.max(np.abs(step))
-                cap = 4 * math.sqrt(cov[pos, pos])
-                if abs(step[pos]) > cap:
-                    step *= cap / abs(step[pos])
-                bounds[k]["b"] = bounds[k]["b"] + step
+                if abs(step[pos]) > 4:
+                    step *= 4 / abs(step[pos])
+                bounds[k]["c"] = bounds[k]["c"] + step * unit
                 bounds[k]["done"] = bool(size < tol)
     finally:
         frame.unpersist()
@@ -248,10 +265,9 @@ def profile_interval(df: DataFrame, model: Model, tol: float = 1e-8, max_iter: i
         if j not in idx:
             rows.append((m.name, term, None, None, None, None))
             continue
-        pos = idx.index(j)
-        lo, hi = bounds[pos, -1], bounds[pos, 1]
+        pos, lo, hi = turns[j][0], bounds[j, -1], bounds[j, 1]
         ok = lo["done"] and hi["done"]
-        rows.append((m.name, term, float(fit["beta"][j]), float(lo["b"][pos]), float(hi["b"][pos]), ok))
+        rows.append((m.name, term, float(plain[j]), float(plain[j] + lo["c"][pos]), float(plain[j] + hi["c"][pos]), ok))
     return _result(df.sparkSession, rows, PROFILE_SCHEMA)
 
 

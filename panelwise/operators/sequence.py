@@ -323,13 +323,26 @@ def one_random_row(df: DataFrame, key: str, unique: Sequence[str], seed: int = 0
 def repeated_rows(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
     """Second and later occurrences of a key combination.
 
-    The first occurrence is the smallest by (order, all columns), missing values last. Rows that
-    are equal in all columns are counted, so ties and repeated rows are each reported, and no key's
-    rows meet in one task.
+    The first occurrence is the smallest by (order, all columns), missing values last. Keys are counted as 128-bit digests
+    with their order value, so a key without repeats moves nothing else. Rows of repeated keys are told apart by order; only
+    rows that tie with the first one are compared in all columns, equal ones as counts. No key's rows meet in one task.
     """
     keys, columns = list(keys), df.columns
-    same = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
-    row = order_key([order, *columns])
-    marked = attach(same, same.groupBy(*keys).agg(F.min(row).alias("__first")), keys)
+    parts = [*[F.col(c) for c in keys], *[F.col(c).isNull() for c in keys]]
+    marked = df.withColumns({f"__d{i}": F.xxhash64(F.lit(i), *parts) for i in (0, 1)})
+    digest, at = ["__d0", "__d1"], F.col(order)
+    per_value = marked.groupBy(*digest, at.alias("__o")).agg(F.count(F.lit(1)).alias("__c"))
+    known = F.col("__o").isNotNull()
+    firsts = per_value.groupBy(*digest).agg(
+        F.sum("__c").alias("__n"), F.min("__o").alias("__least"), F.coalesce(F.min_by(F.when(known, F.col("__c")), "__o"), F.max("__c")).alias("__tied")
+    ).where("__n > 1")
+    later = F.col("__least").isNotNull() & (at.isNull() | (at > F.col("__least")))
+    out = marked.join(firsts, digest).where(later).select(*columns)
+
+    tied = marked.join(firsts.where("__tied > 1"), digest).where(~later)
+    same = tied.groupBy(*digest, *columns).agg(F.count(F.lit(1)).alias("__times"))
+    row = order_key(columns)
+    same = attach(same, same.groupBy(*digest).agg(F.min(row).alias("__first")), digest)
     left = F.col("__times") - F.when(row.eqNullSafe(F.col("__first")), 1).otherwise(0)
-    return marked.where(left > 0).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), left)).alias("__i")).drop("__i")
+    again = same.where(left > 0).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), left)).alias("__i")).drop("__i")
+    return out.unionByName(again)

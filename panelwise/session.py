@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. Skewed joins are split at run time even when that costs
 # an extra shuffle; joins are only broadcast by Spark's own size check.
@@ -49,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelwise-ckpt-"))
+
+
+def shared_folder(spark: SparkSession, name: str = "panelwise") -> str:
+    """A new folder below the cluster's shared scratch folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "panelwise") -> DataFrame:
+    """The rows of df, written to the shared folder and read back: computed once, and of a size that Spark knows when it plans joins."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +54,79 @@ def list_columns(df: DataFrame, pattern: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in names], "column_name string")
 
 
-def write_tables(frames: Mapping[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
-    """Write each named result frame below ``folder``; returns the paths."""
-    paths = []
-    for name, frame in frames.items():
-        path = f"{folder.rstrip('/')}/{name}"
-        writer = frame.write.mode(mode).format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer.save(path)
-        paths.append(path)
-    return paths
+MANIFEST = "tables.json"
+
+
+def write_tables(frames: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
+    """Write a set of named result frames below ``folder``; returns their paths.
+
+    All frames go below a new version folder first. One manifest, put in place by renaming it over the former one, then names
+    the version's paths, so readers see the former set whole until the new one is whole. A run that fails leaves the former
+    manifest, and what it had written is removed. Versions that no manifest names any more are removed after the change.
+    """
+    spark = next(iter(frames.values())).sparkSession if frames else SparkSession.getActiveSession()
+    folder = folder.rstrip("/")
+    version = f"{folder}/version-{uuid.uuid4().hex}"
+    former = _manifest(spark, folder)
+    paths = {}
+    try:
+        for name, frame in frames.items():
+            writer = frame.write.mode("errorifexists").format(fmt)
+            if fmt == "csv":
+                writer = writer.option("header", True)
+            paths[name] = f"{version}/{name}"
+            writer.save(paths[name])
+        _put(spark, f"{folder}/{MANIFEST}", json.dumps({"version": version, "format": fmt, "tables": paths}))
+    except BaseException:
+        _remove(spark, version)
+        raise
+    if former and former["version"] != version:
+        _remove(spark, former["version"])
+    return list(paths.values())
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The set of frames that the manifest of ``folder`` names; empty without one."""
+    found = _manifest(spark, folder.rstrip("/"))
+    if not found:
+        return {}
+    reader = spark.read.format(found["format"])
+    if found["format"] == "csv":
+        reader = reader.option("header", True)
+    return {name: reader.load(path) for name, path in found["tables"].items()}
+
+
+# The manifest lies in the same store as the tables, so it is read and put in place by Hadoop's file system.
+
+
+def _store(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict | None:
+    _, store, at = _store(spark, f"{folder}/{MANIFEST}")
+    if not store.exists(at):
+        return None
+    return json.loads("".join(r.value for r in spark.read.option("wholetext", True).text(f"{folder}/{MANIFEST}").collect()))
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    jvm, store, at = _store(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = store.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(store.makeQualified(new), store.makeQualified(at), options)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _, store, at = _store(spark, path)
+    store.delete(at, True)
 
 
 def not_null_or_all(df: DataFrame, columns: Iterable[str], how: str = "any") -> DataFrame:

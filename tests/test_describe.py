@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -113,16 +114,39 @@ def test_corrections(frame):
     assert clean.keep_or_unknown(df, F.col("v") == "N").count() == 3
 
 
-def test_quantiles_of_many_groups_join_by_shuffle(frame, monkeypatch):
+def test_quantiles_of_many_groups_join_by_shuffle(spark, frame):
     rnd = random.Random(5)
     data = [(i % 300, rnd.random()) for i in range(3000)]
     df = frame(data, "g int, x double")
     small = table(describe.exact_quantiles(df, "x", [0.5], ["g"]), "g")
-    monkeypatch.setattr(describe, "checked_small", lambda d: joins.checked_small(d, cap=10))
-    assert table(describe.exact_quantiles(df, "x", [0.5], ["g"]), "g") == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert table(describe.exact_quantiles(df, "x", [0.5], ["g"]), "g") == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert small[7] == pytest.approx(np.median([x for g, x in data if g == 7]))
 
 
+def test_order_bits_are_the_bits_of_a_double(frame):
+    rng = np.random.default_rng(1)
+    xs = np.concatenate([
+        rng.integers(-(2**63), 2**63 - 1, 4000, dtype=np.int64).view(np.float64), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0),
+        np.nextafter(2.0 ** np.arange(-1000, 1023), np.inf), [0.0, np.inf, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.5],
+    ])
+    xs = xs[~np.isnan(xs)]
+    got = frame([(float(x),) for x in xs], "x double").select("x", describe.order_bits(F.col("x")).alias("k")).collect()
+    for r in got:
+        bits = int(np.float64(abs(r.x)).view(np.int64))
+        assert r.k == (-bits if r.x < 0 else bits)
+
+
+def test_quantiles_of_far_and_close_values(frame):
+    xs = [-math.inf, -1e308, -5e-324, 0.0, 5e-324, 1.0, 1 + 2**-52, 1 + 2**-51, 1e308, math.inf]
+    df = frame([(x,) for x in xs], "x double")
+    for k in range(len(xs)):
+        assert describe.exact_quantiles(df, "x", [k / (len(xs) - 1)]).first()[0] == xs[k]
+
+
 def test_quantiles_without_values(frame):
     df = frame([(None,), (float("nan"),)], "x double")
     assert [tuple(r) for r in describe.exact_quantiles(df, "x", [0.5]).collect()] == [(None,)]

@@ -238,3 +238,40 @@ def test_a_pass_needs_no_exchange_per_cluster(df):
     top = sums._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
     assert "Exchange" not in top
     layout.plain.unpersist()
+
+
+def test_profile_interval_does_not_depend_on_the_origin_of_a_predictor(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(x), int(rng.random() < 1 / (1 + math.exp(-(0.4 * x - 0.5)))), "ab"[i % 2]) for i, x in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "x double, y int, g string").persist()
+    got = {}
+    for shift in (0.0, 202_000.0, 1e9):
+        # Whole multiples of 2^-10 stay exact after the shift.
+        moved = df.withColumn("x", F.round(F.col("x") * 1024) / 1024 + shift)
+        out = glm.profile_interval(moved, Model("m", "y", ("x", Factor("g", ("a", "b")))))
+        got[shift] = {r.term: r for r in out.collect()}
+        assert all(r.converged for r in got[shift].values())
+    for t in ("x", "gb"):
+        for shift in (202_000.0, 1e9):
+            for field in ("estimate", "lower", "upper"):
+                assert got[shift][t][field] == pytest.approx(got[0.0][t][field], abs=1e-6)
+    # Each bound by a search along the profile: the deviance there is the least one plus 3.84.
+    x, y, g = (np.array(v) for v in zip(*[(round(r[0] * 1024) / 1024, r[1], float(r[2] == "b")) for r in rows]))
+    plain = got[0.0]
+
+    def deviance(fixed, value):
+        columns = np.stack([np.ones_like(x), x, g], 1)
+        free = [k for k in range(3) if k != fixed]
+        b = np.zeros(3)
+        b[fixed] = value
+        for _ in range(60):
+            mu = 1 / (1 + np.exp(-columns @ b))
+            f = columns[:, free]
+            b[free] += np.linalg.solve((f * (mu * (1 - mu))[:, None]).T @ f, f.T @ (y - mu))
+        mu = 1 / (1 + np.exp(-columns @ b))
+        return -2 * np.sum(y * np.log(mu) + (1 - y) * np.log(1 - mu))
+
+    for k, t in enumerate(("(Intercept)", "x", "gb")):
+        least = deviance(k, plain[t].estimate)
+        for bound in (plain[t].lower, plain[t].upper):
+            assert deviance(k, bound) - least == pytest.approx(3.841458820694124, abs=1e-5)

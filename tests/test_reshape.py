@@ -65,3 +65,19 @@ def test_pattern_selection_and_round_trip(frame, spark, tmp_path):
     text = src.read_sheet(spark, paths[1], "csv")
     assert set(dict(text.dtypes).values()) == {"string"}
     assert table(src.read_lookup(spark, paths[1], ["site"], "csv"), "site").keys() == {"A", "B"}
+
+
+def test_a_failed_run_leaves_the_former_set(frame, spark, tmp_path):
+    folder = str(tmp_path / "set")
+    good = frame([(1, "a"), (2, "b")], "k int, v string")
+    assert src.read_tables(spark, folder) == {}
+    first = src.write_tables({"x": good, "y": good.where("k > 1")}, folder)
+    bad = good.select("k", F.raise_error(F.lit("stopped in the middle")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="stopped in the middle"):
+        src.write_tables({"x": good.limit(0), "y": bad, "z": good}, folder)
+    now = src.read_tables(spark, folder)
+    assert {n: bag(d) for n, d in now.items()} == {"x": bag(good), "y": bag(good.where("k > 1"))}
+    assert len(list((tmp_path / "set").glob("version-*"))) == 1
+    second = src.write_tables({"z": good}, folder, "csv")
+    assert list(src.read_tables(spark, folder)) == ["z"] and src.read_tables(spark, folder)["z"].count() == 2
+    assert not any((tmp_path / "set" / p.split("/")[-2]).exists() for p in first) and second[0].endswith("/z")

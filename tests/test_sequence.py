@@ -94,3 +94,18 @@ def test_repeats_and_counts(frame):
     assert bag(sequence.repeated_rows(ties, ["id", "v"], "k")) == bag(frame([(1, "a", 1), (1, "a", None), (2, "b", None)], "id int, v string, k int"))
     assert table(sequence.add_count(df, ["id"]).select("k", "n"), "k") == {1: 3, 2: 3, 3: 3, 4: 2, 5: 2}
     assert table(sequence.first_in_group(df, ["id"], ["k"], "v").select("k", "first_result"), "k") == {1: None, 2: None, 3: None, 4: "a", 5: "a"}
+
+
+def test_repeated_rows_equal_a_window(frame):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1, 2, 3, *range(10, 300)]), rnd.choice(["a", "b", None]), rnd.choice([None, 1, 1, 2, 3]), rnd.choice(["x", "y", None])) for _ in range(800)]
+    rows += [(1, "a", 0, f"hot{i % 50}") for i in range(2000)]
+    df = frame(rows, "id int, v string, k int, w string")
+    out = sequence.repeated_rows(df, ["id", "v"], "k")
+    assert out.columns == df.columns
+    order = lambda r: (r[2] is None, r[2] or 0, r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2] is None, r[3] is None, r[3] or "")
+    by = {}
+    for r in rows:
+        by.setdefault(r[:2], []).append(r)
+    left = [r for group in by.values() for r in sorted(group, key=order)[1:]]
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, left))
