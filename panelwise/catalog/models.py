@@ -275,3 +275,28 @@ PROFILE = HEAD.replace("WITH l", "WITH RECURSIVE l") + """, g AS (SELECT sum(1 -
 def _(spark, d):
     out = glm.profile_interval(lines(spark, d), Model("m", "y", ("o",)))
     return rounded(out.select("term", "estimate", "lower", "upper"), "estimate", "lower", "upper", digits=6)
+
+
+# A numeric predictor: bounds by Newton steps on "the other score is zero" and "the deviance is the least one plus 3.84".
+PROFILE_NUMERIC = HEAD.replace("WITH l", "WITH RECURSIVE l") + f""", k AS (SELECT disc::DOUBLE AS x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM l GROUP BY 1),
+ f AS (SELECT b0, b1, se0, se1 FROM {NEWTON.format(x='disc', y='y')}),
+ h AS (SELECT b0, b1, se0, se1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01, sum(n * m * (1 - m) * x * x) AS h11,
+   -2 * sum(y * ln(m) + (n - y) * ln(1 - m)) AS least FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM f, k) GROUP BY ALL),
+ it(i, j, side, c0, c1) AS (
+  SELECT 0, j, side, b0 + CASE j WHEN 0 THEN side * 1.96 * se0 ELSE -side * 1.96 * se1 * h01 / h00 END,
+   b1 + CASE j WHEN 1 THEN side * 1.96 * se1 ELSE -side * 1.96 * se0 * h01 / h11 END FROM h, (VALUES (0), (1)) t(j), (VALUES (-1), (1)) u(side)
+  UNION ALL SELECT i + 1, j, side, c0 + (r1 * a22 - r2 * a12) / (a11 * a22 - a12 * a21), c1 + (a11 * r2 - a21 * r1) / (a11 * a22 - a12 * a21) FROM
+   (SELECT i, j, side, c0, c1, CASE j WHEN 1 THEN g00 ELSE g01 END AS a11, CASE j WHEN 1 THEN g01 ELSE g11 END AS a12, CASE j WHEN 1 THEN u0 ELSE u1 END AS r1,
+     2 * u0 AS a21, 2 * u1 AS a22, dev - least - 3.841458820694124 AS r2 FROM
+    (SELECT i, j, side, c0, c1, least, sum(n * m * (1 - m)) AS g00, sum(n * m * (1 - m) * x) AS g01, sum(n * m * (1 - m) * x * x) AS g11,
+      sum(y - n * m) AS u0, sum((y - n * m) * x) AS u1, -2 * sum(y * ln(m) + (n - y) * ln(1 - m)) AS dev
+     FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * x))) AS m FROM it, k, h WHERE i < 20) GROUP BY ALL)))
+ SELECT CASE j WHEN 0 THEN '(Intercept)' ELSE 'disc' END AS term, round(CASE j WHEN 0 THEN any_value(b0) ELSE any_value(b1) END, 6) AS estimate,
+  round(max(CASE j WHEN 0 THEN c0 ELSE c1 END) FILTER (WHERE side = -1), 6) AS lower, round(max(CASE j WHEN 0 THEN c0 ELSE c1 END) FILTER (WHERE side = 1), 6) AS upper
+ FROM it, h WHERE i = 20 GROUP BY j"""
+
+
+@query("profile_ci_numeric", PROFILE_NUMERIC)
+def _(spark, d):
+    out = glm.profile_interval(lines(spark, d), Model("m", "y", ("disc",)))
+    return rounded(out.select("term", "estimate", "lower", "upper"), "estimate", "lower", "upper", digits=6)
