@@ -125,6 +125,10 @@ def _moments(s: dict, p: int, df_correct: bool) -> tuple[float, float]:
     return phi, s["cross"] / ((s["pairs"] - lost) * phi)
 
 
+def _finite(s: dict) -> bool:
+    return s["ee"] is not None and bool(np.isfinite(s["B"]).all() and np.isfinite(s["U"]).all() and np.isfinite(s["M"]).all())
+
+
 def fit_gee(df: DataFrame, models: Model | Sequence[Model], cluster: str, tol: float = 1e-8, max_iter: int = 50,
             corr: str = "exchangeable", df_correct: bool = False, large: int = 200_000) -> DataFrame:
     """Fit one or many models with robust standard errors.
@@ -196,6 +200,12 @@ def _iterate(frame, layout, models, width, tol, max_iter, corr, df_correct) -> d
                 trial[i] = state[i]["beta"] + delta[i]
             new.update(equation_sums(layout, models, {i: trial[i] for i in bad}, {i: used[i] for i in bad}, width))
         for i in list(todo):
+            if not _finite(new[i]):
+                # The outcome is separated: fitted means reach 0 or 1. The last coefficients stay, not converged.
+                phi, a = _moments(state[i], len(state[i]["free"]), df_correct)
+                state[i].update(iter=step, phi=phi, alpha=a)
+                todo.discard(i)
+                continue
             change = float(np.max(np.abs(delta[i])))
             phi, a = _moments(new[i], len(state[i]["free"]), df_correct)
             a = a if corr == "exchangeable" else 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,14 +258,14 @@ def reconcile(swab: DataFrame, persons: DataFrame, sample_list: DataFrame) -> di
     }
 
 
-def trends(study: Study, adjusted: bool = True) -> DataFrame:
+def trends(study: Study, adjusted: bool = True, **options) -> DataFrame:
     """Six outcomes, each with a linear month trend, from one keyed fit."""
     models = gee.trend_models(TREND_OUTCOMES, "visit_num", ADJUST if adjusted else ())
     linear = [m.name for m in models if m.family == "gaussian"]
-    return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id"), linear=linear)
+    return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id", **options), linear=linear)
 
 
-def log_trends(study: Study) -> dict[str, DataFrame]:
+def log_trends(study: Study, **options) -> dict[str, DataFrame]:
     """Risk-ratio models of detection: by month without and with clustering, and by main partner."""
     swab = study.swab.withColumns({
         "yc_result": ind(F.col("value") == v.POSITIVE), "visit_num": recode.lookup("visit", v.VISIT_MONTH),
@@ -272,12 +274,12 @@ def log_trends(study: Study) -> dict[str, DataFrame]:
     partner = Model("reports_main_partner", "yc_result", ("reports_main_partner",), "binomial", "log")
     return {
         "glm": gee.with_interval(glm.fit_glm(swab, month)),
-        "gee": gee.with_interval(gee.fit_gee(swab, month, "id")),
-        "gee_partner": gee.with_interval(gee.fit_gee(swab_with_answers(study), partner, "id")),
+        "gee": gee.with_interval(gee.fit_gee(swab, month, "id", **options)),
+        "gee_partner": gee.with_interval(gee.fit_gee(swab_with_answers(study), partner, "id", **options)),
     }
 
 
-def baseline_predictors(study: Study) -> DataFrame:
+def baseline_predictors(study: Study, **options) -> DataFrame:
     """Univariate clustered models of detection on baseline covariates."""
     rows = predictor_frame(study)
     predictors = [
@@ -285,10 +287,10 @@ def baseline_predictors(study: Study) -> DataFrame:
         Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS), Factor("edu", v.EDU_LEVELS),
         *discover_levels(rows, ["site"]),
     ]
-    return gee.with_interval(gee.predictor_screen(rows, "yc_result", predictors, "id"))
+    return gee.with_interval(gee.predictor_screen(rows, "yc_result", predictors, "id", **options))
 
 
-def behaviour_predictors(study: Study, linear_as_ratio: bool = True) -> DataFrame:
+def behaviour_predictors(study: Study, linear_as_ratio: bool = True, **options) -> DataFrame:
     """Univariate clustered models of detection on self-report.
 
     The number of clients enters a linear model. Its coefficient is reported on
@@ -304,11 +306,14 @@ def behaviour_predictors(study: Study, linear_as_ratio: bool = True) -> DataFram
     models = gee.screen_models("yc_result", logit, masked)
     models += gee.screen_models("yc_result", ["NbreClieDernSemaine"], None, "gaussian", "identity")
     linear = () if linear_as_ratio else ("NbreClieDernSemaine",)
-    return gee.with_interval(gee.fit_gee(study.behaviour, models, "id"), linear=linear)
+    return gee.with_interval(gee.fit_gee(study.behaviour, models, "id", **options), linear=linear)
+
 
+ONE_ROW_PARTS = ("rates", "chisq", "fisher", "fisher_2x2", "glm", "clients_profile")
 
-def one_row_screen(study: Study, seed: int = 0) -> dict[str, DataFrame]:
-    """One random sample per person: rates, contingency tests, logistic fits."""
+
+def one_row_screen(study: Study, seed: int = 0, only: Sequence[str] = ONE_ROW_PARTS, **options) -> dict[str, DataFrame]:
+    """One random sample per person: rates, contingency tests, logistic fits. Only the named parts are made."""
     answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
     rows = attach(predictor_frame(study, random_one=True, seed=seed), answers, ["id", "visit", "site"])
     rows = rows.withColumns({
@@ -350,11 +355,12 @@ def one_row_screen(study: Study, seed: int = 0) -> dict[str, DataFrame]:
     ]
     models += [Model(c, "pos", (c,)) for c in ("always_condom_client", "NbreClieDernSemaine", "reports_main_partner")]
     models.append(Model("always_condom_main", "pos", ("always_condom_main",), where=partnered))
-    return {
-        "rates": rates,
-        "chisq": contingency.chisq_test(chi),
-        "fisher": contingency.fisher_rx2(fisher),
-        "fisher_2x2": contingency.fisher_2x2(two),
-        "glm": glm.fit_glm(rows, models),
-        "clients_profile": glm.profile_interval(rows, Model("clients", "pos", ("NbreClieDernSemaine",))),
+    parts = {
+        "rates": lambda: rates,
+        "chisq": lambda: contingency.chisq_test(chi),
+        "fisher": lambda: contingency.fisher_rx2(fisher),
+        "fisher_2x2": lambda: contingency.fisher_2x2(two),
+        "glm": lambda: glm.fit_glm(rows, models, **options),
+        "clients_profile": lambda: glm.profile_interval(rows, Model("clients", "pos", ("NbreClieDernSemaine",))),
     }
+    return {name: parts[name]() for name in only}

@@ -5,6 +5,7 @@ from helpers import bag, table
 from pyspark.sql import functions as F
 
 from panelwise.plans import prep, reports
+from panelwise.sources.tables import read_tables
 from panelwise.plans import study as study_module
 from panelwise.plans import values as v
 
@@ -274,4 +275,4 @@ def test_repeated_participants_stop_the_run(spark, frame, tmp_path):
     sheet.union(sheet.limit(1)).write.parquet(str(tmp_path / "sheet"))
     with pytest.raises(ValueError, match="more than one row"):
         study_module.run(spark, str(tmp_path / "sheet"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/audit/repeated_ids")).count() == 1
+    assert read_tables(spark, str(tmp_path / "out/audit"))["repeated_ids"].count() == 1
