@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -88,9 +89,17 @@ TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 THRESHOLD = 0.6
 
 
+def tokens(text: str) -> list[str]:
+    return TERM.findall(text.lower())
+
+
+def counted(words: list[str]) -> Counter[str]:
+    """Words and pairs of neighbours with their counts."""
+    return Counter(chain(words, map(" ".join, zip(words, words[1:], strict=False))))
+
+
 def terms(text: str) -> Counter[str]:
-    words = TERM.findall(text.lower())
-    return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return counted(tokens(text))
 
 
 class Templates:
@@ -103,6 +112,7 @@ class Templates:
         self.weight = {t: math.log((1 + len(vectors)) / (1 + n)) + 1 for t, n in seen.items()}
         self.other = math.log(1 + len(vectors)) + 1
         self.row = {t: k for k, t in enumerate(self.weight)}
+        self.found = {t: (k, self.weight[t]) for t, k in self.row.items()}
         self.shares = np.zeros((len(self.row), len(vectors)))
         for i, v in enumerate(vectors):
             norm = math.sqrt(sum((c * self.weight[t]) ** 2 for t, c in v.items()))
@@ -111,43 +121,57 @@ class Templates:
 
     def best(self, text: str) -> tuple[str | None, float]:
         """Name and cosine of the closest template (the first of equals)."""
-        norm, rows, values = 0.0, [], []
-        for t, c in terms(text).items():
-            k = self.row.get(t)
-            if k is None:
-                norm += (c * self.other) ** 2
+        return self.above(tokens(text), 0.0)
+
+    def above(self, words: list[str], least: float) -> tuple[str | None, float]:
+        """Name and cosine of the closest template; nothing if no cosine can exceed `least`.
+
+        A template's vector has length one, so no cosine exceeds the length of a text's known terms over that of all its terms.
+        """
+        norm = known = 0.0
+        rows, values = [], []
+        find, other = self.found.get, self.other
+        for t, c in counted(words).items():
+            at = find(t)
+            if at is None:
+                norm += (c * other) ** 2
             else:
-                x = c * self.weight[t]
-                norm += x * x
-                rows.append(k)
+                x = c * at[1]
+                known += x * x
+                rows.append(at[0])
                 values.append(x)
-        if not rows:
+        norm += known
+        if not rows or known < (least - 1e-9) ** 2 * norm and least > 1e-9:
             return None, 0.0
         scores = np.round(np.array(values) @ self.shares[rows] / math.sqrt(norm), 12)
         i = int(scores.argmax())
         return self.names[i], min(1.0, float(scores[i]))
 
     def scan(self, text: str, whole: bool) -> tuple[str | None, float]:
-        """Best of all lines and paragraphs, and of the whole text if asked for."""
+        """Best of all lines and paragraphs, and of the whole text if asked for. Each line is cut into words once."""
         found: tuple[str | None, float] = (None, 0.0)
-        paragraph: list[str] = []
+        paragraph: list[list[str]] = []
+        every: list[list[str]] = []
 
-        def look(piece: str) -> None:
+        def look(words: list[str]) -> None:
             nonlocal found
-            name, score = self.best(piece)
+            name, score = self.above(words, found[1])
             if score > found[1]:
                 found = name, score
 
         for line in [*text.split("\n"), ""]:
             if line.strip():
-                look(line)
-                paragraph.append(line)
+                words = tokens(line)
+                look(words)
+                paragraph.append(words)
             else:
                 if len(paragraph) > 1:
-                    look(" ".join(paragraph))
+                    look([w for words in paragraph for w in words])
+                if whole:
+                    every += paragraph
                 paragraph = []
         if whole:
-            look(text)
+            look([w for words in every for w in words])
         return found
 
 
