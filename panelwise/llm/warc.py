@@ -149,6 +149,9 @@ def parsed(data: bytes) -> dict:
     }
 
 
+#: Tasks of one read; beyond it a task takes several ranges, one after the other.
+MOST_TASKS = 20_000
+
 FIELDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 DDL = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
@@ -177,7 +180,9 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True
 
     begin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint")))
     ranges = files.select("path", "bytes", begin.alias("begin")).select("path", "begin", F.least(F.col("begin") + split_bytes, "bytes").alias("end"))
-    return ranges.repartition("path", "begin").mapInArrow(run, DDL)
+    # A given number of partitions is not merged at run time, however few bytes the ranges' names have.
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(tasks), MOST_TASKS)).mapInArrow(run, DDL)
 
 
 def batch_of(rows: list[dict]) -> pa.RecordBatch:

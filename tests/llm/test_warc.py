@@ -54,3 +54,13 @@ def test_false_magic_and_damage_are_skipped():
 def test_empty_table(spark):
     files = warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"))
     assert warc.read(files).count() == 0
+
+
+def test_ranges_are_read_in_as_many_tasks(spark):
+    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('page ', id), 50) AS html").repartition(2)
+    files = warc.write(pages)
+    sizes = [r.bytes for r in files.collect()]
+    split = -(-sum(sizes) // 12)
+    ranges = sum(-(-n // split) for n in sizes)
+    got = warc.read(files, split)
+    assert got.count() == 200 and got.rdd.getNumPartitions() == ranges
