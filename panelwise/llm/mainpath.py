@@ -14,8 +14,10 @@ Null html, and pages without text, give an empty text. A null url belongs to the
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import add_from_text
+from panelwise.llm.common import add_from_text, written
 from panelwise.llm.urlrules import host_and_path
 
 # Tags of HTML by their part in a page, and words of class names that mark boilerplate.
 SKIPPED = {
-    "script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes", "svg", "math", "template", "select", "button", "canvas", "object", "video", "audio", "map",
+    "script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes", "svg", "template", "select", "button", "canvas", "object", "video", "audio", "map",
 }
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "dialog", "menu"}
 BLOCKS = {
@@ -56,24 +58,23 @@ MOST = 0.8
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# A quote opens a value only after `=`; any other belongs to a name or to an unquoted value, which ends at white space or `>`.
+VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*+"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:" + VALUE + r")?)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*=\s*(" + VALUE + r")?)?", re.S)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-#: A host's pages are joined with its winning path in so many shares, as one host may have a third of all pages.
-SALTS = 64
-#: Of a very deep path, this many last characters are kept.
-PATH_CHARS = 2000
-
-
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    path: str  # hash of the tags and classes of all containers down to it
     above: int
-    dropped: bool
+    container: int  # the nearest container, itself included; 0 if there is none
+    by_tag: bool = False  # a part that its tag drops
+    named: bool = False  # a part whose names mark boilerplate
+    dropped: bool = False
+    raw: int = 0  # characters of its own text as it stands, white space between tags left out
     score: float = 0.0
     text: int = 0  # characters of its own blocks
     headings: int = 0  # of these, characters of headings
@@ -86,68 +87,65 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text), in page order
 
 
-def noisy(tag: str, attributes: str) -> bool:
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of equal names."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
+        out.setdefault(m[1].lower(), value)
+    return out
+
+
+def noisy(tag: str, attributes: dict[str, str]) -> bool:
     """Whether a container's names mark boilerplate: a name that is such a word, or a name of several parts that are all such
     words or name a part of the page. Names of what a part has or has not (has-sidebar, no-comments) say nothing of itself."""
     if tag not in NOISY_TAGS:
         return False
-    for m in NAMED.finditer(attributes):
-        if m[1].lower() == "id" and tag == "section":
+    for key in ("class", "id", "role"):
+        if key == "id" and tag == "section":
             continue  # generated from the section's heading
-        for name in (m[2] or m[3] or m[4] or "").split():
+        for name in attributes.get(key, "").split():
             parts = [w.lower() for w in PARTS.findall(name)]
             if parts and parts[0] not in NEGATIONS and any(w in NOISE for w in parts) and all(w in NOISE or w in REGIONS for w in parts):
                 return True
     return False
 
 
-def generalised(tag: str, attributes: str) -> str:
+def generalised(tag: str, attributes: dict[str, str]) -> str:
     """A tag with its classes in order, numbers in them made equal."""
-    m = CLASS.search(attributes)
-    names = sorted({re.sub(r"\d+", "0", c) for c in (m[1] or m[2] or m[3] or "").split()}) if m else []
-    return ".".join([tag, *names])
+    return ".".join([tag, *sorted({re.sub(r"\d+", "0", c) for c in attributes.get("class", "").split()})])
 
 
-def parse(source: str, kept: frozenset[int] = frozenset()) -> Page:
-    """Nodes and blocks of a page. Parts dropped by name that hold most of its text are `kept` in a second parse."""
-    lost: dict[int, int] = {}
-    total = 0
-    page = Page([Node("", "", -1, False)])
+def parse(source: str) -> Page:
+    """Nodes and blocks of a page, in one pass over the source; its time does not depend on how deep the page is nested."""
+    page = Page([Node("", "", -1, 0)])
+    nodes = page.nodes
+    found: list[tuple[int, str, int]] = []  # (node, text, characters in links) of all blocks
     stack, at, pieces, linked, in_link = [0], 0, [], 0, 0
+    open_tags: Counter[str] = Counter()
     size = len(source)
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         pieces.clear()
-        own, linked = linked, 0
-        node = stack[-1]
-        if not text or page.nodes[node].dropped:
-            return
-        page.blocks.append((node, text))
-        weight = max(0, len(text) - own)
-        heading = page.nodes[node].tag in HEADINGS
-        while node > 0 and page.nodes[node].tag not in CONTAINERS:
-            node = page.nodes[node].above
-        page.nodes[node].text += len(text)
-        page.nodes[node].headings += len(text) * heading
-        page.nodes[node].free += weight
-        page.nodes[node].score += weight
-        if node:
-            upper = page.nodes[node].above
-            while upper > 0 and page.nodes[upper].tag not in CONTAINERS:
-                upper = page.nodes[upper].above
-            page.nodes[upper].score += weight / 2
+        if text:
+            found.append((stack[-1], text, linked))
+        linked = 0
+
+    def leave(depth: int) -> None:
+        for k in stack[depth:]:
+            open_tags[nodes[k].tag] -= 1
+        del stack[depth:]
 
     while at < size:
         m = TOKEN.search(source, at)
         text = source[at : m.start()] if m else source[at:]
-        if text and not text.isspace():
-            total += len(text)
-            for k in stack:
-                if k in lost:
-                    lost[k] += len(text)
-        if text and not page.nodes[stack[-1]].dropped:
+        if text:
+            if not text.isspace():
+                nodes[stack[-1]].raw += len(text)
             text = entities.unescape(text)
             pieces.append(text)
             linked += len(text) if in_link else 0
@@ -160,16 +158,15 @@ def parse(source: str, kept: frozenset[int] = frozenset()) -> Page:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            elif tag in BLOCKS:
-                open_at = next((k for k in range(len(stack) - 1, 0, -1) if page.nodes[stack[k]].tag == tag), 0)
-                if open_at:
-                    close_block()
-                    del stack[open_at:]
+            elif open_tags[tag]:
+                open_at = next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag)
+                close_block()
+                leave(open_at)
             continue
         if tag in VOID:
             if tag == "hr":
                 close_block()
-            elif not page.nodes[stack[-1]].dropped:
+            else:
                 pieces.append(" ")
             continue
         if tag == "a":
@@ -180,28 +177,52 @@ def parse(source: str, kept: frozenset[int] = frozenset()) -> Page:
         if tag not in BLOCKS:
             continue
         close_block()
-        if page.nodes[stack[-1]].tag == "p" or page.nodes[stack[-1]].tag in HEADINGS and tag in HEADINGS:
-            stack.pop()
-        if tag in CLOSES:
+        if nodes[stack[-1]].tag == "p" or nodes[stack[-1]].tag in HEADINGS and tag in HEADINGS:
+            leave(len(stack) - 1)
+        if tag in CLOSES and any(open_tags[c] for c in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
-                own = page.nodes[stack[k]].tag
+                own = nodes[stack[k]].tag
                 if own in CLOSED_WITHIN[tag]:
                     break
                 if own in CLOSES[tag]:
-                    del stack[k:]
+                    leave(k)
                     break
-        above = page.nodes[stack[-1]]
-        named = tag not in PLAIN and len(page.nodes) not in kept and noisy(tag, m[3])
-        dropped = above.dropped or tag in DROPPED or named
-        if named and not above.dropped:
-            lost[len(page.nodes)] = 0
-        path = (above.path + "/" + generalised(tag, m[3]))[-PATH_CHARS:] if tag in CONTAINERS else above.path
-        page.nodes.append(Node(tag, path, stack[-1], dropped))
-        stack.append(len(page.nodes) - 1)
+        above, own = nodes[stack[-1]], len(nodes)
+        attributes = attributes_of(m[3]) if tag in CONTAINERS or tag in NOISY_TAGS else {}
+        path = above.path
+        if tag in CONTAINERS:
+            path = hashlib.blake2b((path + "/" + generalised(tag, attributes)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        nodes.append(Node(tag, path, stack[-1], own if tag in CONTAINERS else above.container, tag in DROPPED, tag not in PLAIN and noisy(tag, attributes)))
+        stack.append(own)
+        open_tags[tag] += 1
         in_link = 0
     close_block()
-    most = {k for k, n in lost.items() if n > MOST * total}
-    return parse(source, kept | most) if most else page
+    return scored(page, found)
+
+
+def scored(page: Page, found: list[tuple[int, str, int]]) -> Page:
+    """Decide top-down which parts are dropped, and give the blocks that stay to their containers."""
+    nodes = page.nodes
+    raw = [n.raw for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        raw[nodes[i].above] += raw[i]
+    for i, n in enumerate(nodes):
+        # A part that holds most of the page's text is its content, whatever its name.
+        n.dropped = i > 0 and (nodes[n.above].dropped or n.by_tag or n.named and raw[i] <= MOST * raw[0])
+    for node, text, linked in found:
+        if nodes[node].dropped:
+            continue
+        page.blocks.append((node, text))
+        weight = max(0, len(text) - linked)
+        own = nodes[node].container
+        into = nodes[own]
+        into.text += len(text)
+        into.headings += len(text) * (nodes[node].tag in HEADINGS)
+        into.free += weight
+        into.score += weight
+        if own:
+            nodes[nodes[into.above].container].score += weight / 2
+    return page
 
 
 def best(page: Page) -> int:
@@ -215,12 +236,20 @@ def best(page: Page) -> int:
         up = page.nodes[up].above
     node = up if up > 0 else node
     ends = subtree_ends(page)
+    # Sums of text, text outside links and headings over the nodes before each one.
+    before = [(0, 0, 0)]
+    for n in page.nodes:
+        a, b, c = before[-1]
+        before.append((a + n.text, b + n.free, c + n.headings))
+
+    def below(i: int) -> tuple[int, ...]:
+        return tuple(x - y for x, y in zip(before[ends[i]], before[i], strict=True))
+
     up = page.nodes[node].above
     while up > 0 and page.nodes[up].tag not in ("body", "html"):
         if page.nodes[up].tag in CONTAINERS:
-            more = [n for i, n in enumerate(page.nodes[up : ends[up]], up) if n.text and not node <= i < ends[node]]
-            text, free = sum(n.text for n in more), sum(n.free for n in more)
-            if text and (2 * free <= text or page.nodes[node].tag == "article" and sum(n.headings for n in more) < text):
+            text, free, headings = (x - y for x, y in zip(below(up), below(node), strict=True))
+            if text and (2 * free <= text or page.nodes[node].tag == "article" and headings < text):
                 break
             node = up if text else node
         up = page.nodes[up].above
@@ -276,12 +305,15 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars) of every page.
+
+    The winners, one row a host, are written first, so Spark knows their size: small ones are broadcast and no html is
+    shuffled; beyond its limit the join is by shuffle, and the rows of a host with very many pages are split at run time.
+    """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = votes(rows).select(F.col("host").alias("winner_host"), "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("winner_salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(winners, (F.col("host") == F.col("winner_host")) & (F.col("salt") == F.col("winner_salt")), "left").select("page_id", "url", "html", "path")
+    winners = written(votes(rows).select(F.col("host").alias("winner_host"), "path"), "mainpath-winners")
+    joined = rows.join(winners, F.col("host") == F.col("winner_host"), "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -116,3 +116,30 @@ def test_a_fragment_does_not_win_over_its_article():
     assert mainpath.text_of(mainpath.parse(deep), None).split("\n") == ["i" * 100, "t" * 500]
     headed = f"<body><main><h1>Title</h1><article><p>{'t' * 500}</p></article><div><p>{'s' * 40}</p></div></main></body>"
     assert "t" * 500 in mainpath.text_of(mainpath.parse(headed), None)
+
+
+def body(inner):
+    return mainpath.text_of(mainpath.parse(f"<body><article>{inner}</article><footer>end</footer></body>"), None)
+
+
+def test_stray_quotes_lose_no_text():
+    for tag in ("<img alt=Bob's>", '<a href="x"" title=y>', "<b title='it's'>", '<i data-x=a"b>', "<u '>", '<s ">', "<q cite = 'x' \" y>", '<a href=/x?a="1&b=2>', "<br/'>"):
+        assert body(f"<p>before {tag}after</p><p>last</p>").split() == ["before", "after", "last"], tag
+    assert body('<p>one <a title="2 > 1" href=x>two</a> <b title=\'<p>\'>three</b></p>') == "one two three"
+    assert mainpath.attributes_of(''' class="a b" CLASS=c id=x data-id=y title="class=ad" role = 'main' checked''') == {
+        "class": "a b", "id": "x", "data-id": "y", "title": "class=ad", "role": "main", "checked": ""}
+
+
+def test_formulas_stay_in_their_sentence():
+    assert body("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == "If x=1 holds."
+
+
+def test_very_deep_pages_end_with_all_their_text():
+    n = 100_000
+    for opened, closed in (('<div class="sidebar">', "</div>"), ("<div>", "</div>"), ("<section class=x1>", ""), ("<ul><li>", ""), ("<blockquote>", "</p>" * 2)):
+        page = mainpath.parse("<p>first</p>" + opened * n + "<p>" + "deep words " * 50 + "</p>" + closed * n + "<p>last</p>")
+        text = mainpath.text_of(page, None)
+        assert "deep words deep" in text
+    # Names that say sidebar are kept where they hold the page's text, at any depth.
+    nested = "<div class=sidebar>" * 50 + f"<p>{'t' * 500}</p><div class=comments><p>no</p></div>" + "</div>" * 50
+    assert mainpath.text_of(mainpath.parse(nested), None) == "t" * 500
