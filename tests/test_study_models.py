@@ -1,5 +1,8 @@
 """The study's adjusted and multi-level models on the derived sheet against the matrix form of the equations."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from test_models import dense_gee
@@ -66,6 +69,35 @@ def test_baseline_predictors(spark, study):
         np.testing.assert_allclose([r.std_error for r in got[name]], np.nan_to_num(se), atol=2e-6)
 
 
+def test_one_row_exact_tests(spark):
+    """Against sums over all tables in whole numbers."""
+    small = "/root/testdata/sf0.001"
+    study = _study(spark, small)
+    rows = [r.asDict() for r in prep.predictor_frame(study, random_one=True).collect()]
+    answers = {(r["id"], r["visit"]): r for r in study.behaviour.collect()}
+    got = {r.test: r for r in QUERIES["study_one_row_fisher"](spark, small).collect()}
+
+    def level(name, r):
+        if name == "clients_fine":
+            n = answers[r["id"], r["visit"]]["NbreClieDernSemaine"]
+            return None if n is None else min(n, 4)
+        return r[name] if name in r else answers[r["id"], r["visit"]][name]
+
+    for name in ("age_cat", "ethnic_group_cat", "edu", "FreqUtilPreservatif", "clients_fine"):
+        counts = Counter((level(name, r), r["value"] == v.POSITIVE) for r in rows if r["value"] is not None and level(name, r) is not None)
+        sizes = {k: counts[k, True] + counts[k, False] for k, _ in counts}
+        ways = {(0, 1): 1}
+        for size in sizes.values():
+            new = Counter()
+            for (total, weight), many in ways.items():
+                for x in range(size + 1):
+                    new[total + x, weight * math.comb(size, x)] += many
+            ways = new
+        k, seen = sum(counts[c, True] for c in sizes), math.prod(math.comb(n, counts[c, True]) for c, n in sizes.items())
+        p = sum(w * many for (total, w), many in ways.items() if total == k and w <= seen) / math.comb(sum(sizes.values()), k)
+        assert got[name].n == sum(sizes.values()) and got[name].p_value == pytest.approx(p, abs=1e-8)
+
+
 def test_separated_outcome_does_not_end_the_other_fits(spark):
     rows = [(c, float(x), int(x > 0), (7 * c + 3 * i + c * i) % 5 % 2) for c in range(30) for i, x in enumerate((-1, 1, 2, -3))]
     df = spark.createDataFrame(rows, "id int, x double, y int, z int")
