@@ -1,12 +1,11 @@
 """Quality rules with the frequency of lines across documents, in DataFrame functions only.
 
-Lines are normalised (lower case, white space to one blank), hashed, and counted per host in distinct texts: exact copies
-of a text count once, so a document that was copied does not lose all its lines. A line in more than `max_texts` texts of
-its host is boilerplate and is removed; a document that keeps too little is depleted and rejected.
+Lines are normalised (lower case, white space to one blank), hashed, and counted per host in distinct documents, each row being
+one. A line in more than `max_documents` documents of its host is boilerplate and is removed; a document that keeps too little
+is depleted and rejected. So a text that one host has more often than that is rejected as well, in all its copies.
 
 The first pass writes one row for each document with its measures and line hashes, without a shuffle. Counting combines on
-the map side and spreads a frequent line by text hash (distinct aggregation), so neither a hot host nor a hot line meets in
-one task. Frequent lines are joined back by key; only removed lines go on from there.
+the map side, so neither a hot host nor a hot line meets in one task. Frequent lines are joined back by key; only removed lines go on from there.
 
 Null text: no words. Null host: a host of its own. Repeated rows are judged each for themselves.
 """
@@ -68,7 +67,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def prepared(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One written row per document: row number, id, host, measures, hash of the text, and (hash, words) of its lines."""
+    """One written row per document: row number, id, host, measures, and (hash, words) of its lines."""
     line = F.transform(
         "_lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(F.array_remove(F.split(x, BLANKS), "")).alias("n"))
     )
@@ -76,28 +75,28 @@ def prepared(docs: DataFrame, host: str = "source") -> DataFrame:
     return written(
         rows.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-            "n_repeat_words", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), line.alias("lines"),
+            "n_repeat_words", line.alias("lines"),
         ),
         "linefreq",
     )
 
 
-def frequent_lines(rows: DataFrame, max_texts: int) -> DataFrame:
-    """(host, h) of lines that more than max_texts distinct texts of a host have."""
-    lines = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
-    return lines.groupBy("host", "h").agg(F.count_distinct("text_hash").alias("texts")).where(F.col("texts") > max_texts)
+def frequent_lines(rows: DataFrame, max_documents: int) -> DataFrame:
+    """(host, h) of lines that more than max_documents documents of a host have."""
+    lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
+    return lines.groupBy("host", "h").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents)
 
 
-def removed_words(rows: DataFrame, max_texts: int) -> DataFrame:
+def removed_words(rows: DataFrame, max_documents: int) -> DataFrame:
     """(row, n_removed, hashes): words of boilerplate in each document that has any, and the hashes of those lines."""
-    often = frequent_lines(rows, max_texts).select(F.col("host").alias("often_host"), F.col("h").alias("often_h"))
+    often = frequent_lines(rows, max_documents).select(F.col("host").alias("often_host"), F.col("h").alias("often_h"))
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     hit = lines.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("h") == F.col("often_h")))
     return hit.groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("h").alias("hashes"))
 
 
 def judged(
-    docs: DataFrame, host: str = "source", max_texts: int = 50, min_left: int = 20, min_share: float = 0.3
+    docs: DataFrame, host: str = "source", max_documents: int = 50, min_left: int = 20, min_share: float = 0.3
 ) -> DataFrame:
     """(doc_id, measures, base_failed, n_removed, kept) of every document.
 
@@ -105,7 +104,7 @@ def judged(
     lines were removed at least min_left words and min_share of all words remain.
     """
     rows = prepared(docs, host)
-    out = rows.join(removed_words(rows, max_texts).select("row", "n_removed"), "row", "left")
+    out = rows.join(removed_words(rows, max_documents).select("row", "n_removed"), "row", "left")
     n, gone = F.col("n_words"), F.coalesce("n_removed", F.lit(0)).cast("bigint")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     left = n - gone
@@ -116,29 +115,29 @@ def judged(
     )
 
 
-def cleaned(docs: DataFrame, host: str = "source", max_texts: int = 50) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", max_documents: int = 50) -> DataFrame:
     """docs (doc_id, host, text) with boilerplate lines taken out of the texts. The hashes of one document's lines meet, no more."""
     base = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(host).alias("host"), "text"), "linefreq-texts")
     rows = base.select(
-        "row", "host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        "row", "host",
         F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(F.array_remove(F.split(x, BLANKS), "")).alias("n"))).alias("lines"),
     ).withColumn("lines", F.filter("lines", lambda x: x.n > 0))
-    out = base.join(removed_words(rows, max_texts).select("row", "hashes"), "row", "left")
+    out = base.join(removed_words(rows, max_documents).select("row", "hashes"), "row", "left")
     keep = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("hashes", F.xxhash64(normal(x))))
     return out.select("doc_id", "host", F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")).alias("text"))
 
 
 SQL = r"""
 WITH base AS (
- SELECT doc_id, source, text AS raw, coalesce(text, '') AS text,
+ SELECT row_number() OVER () AS row, doc_id, source, text AS raw, coalesce(text, '') AS text,
   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, source, text, unnest(ls) AS line FROM base),
+lines AS (SELECT row, doc_id, source, text, unnest(ls) AS line FROM base),
 worded AS (
- SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+ SELECT row, doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
-often AS (SELECT source, norm FROM worded GROUP BY source, norm HAVING count(DISTINCT text) > 50),
+often AS (SELECT source, norm FROM worded GROUP BY source, norm HAVING count(DISTINCT row) > 50),
 gone AS (
  SELECT d.doc_id, sum(d.n) AS n_removed FROM worded d JOIN often o ON d.norm = o.norm AND d.source IS NOT DISTINCT FROM o.source
  GROUP BY d.doc_id),
