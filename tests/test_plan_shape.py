@@ -8,7 +8,7 @@ from panelwise.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow")
-ON_RESULTS_ONLY = {"chisq_test", "fisher_2x2", "fisher_2x2_odds_ratio", "fisher_rx2", "fisher_rx2_five_levels"}
+ON_RESULTS_ONLY = {"chisq_test", "fisher_2x2", "fisher_2x2_odds_ratio", "fisher_rx2", "fisher_rx2_five_levels", "study_one_row_chisq", "study_one_row_fisher"}
 
 
 def plan(spark, key):
@@ -18,7 +18,8 @@ def plan(spark, key):
 
 @pytest.mark.parametrize("key", list(QUERIES))
 def test_no_cross_product_and_no_python_on_rows(spark, key):
-    if key.startswith(("gee", "glm", "trend", "predictor", "profile", "model_", "coef_ci")):
+    fits = ("study_trends", "study_log", "study_behaviour", "study_masked", "study_baseline_predictors", "study_one_row_glm")
+    if key.startswith(("gee", "glm", "trend", "predictor", "profile", "model_", "coef_ci", *fits)):
         pytest.skip("fits are actions; their passes are covered below")
     text = plan(spark, key)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
