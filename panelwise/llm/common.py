@@ -98,6 +98,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not use."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def add_from_text(docs: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """docs with further columns (DDL `fields`) that `make` computes for each Arrow batch; all other columns pass through."""
     added = StructType.fromDDL(fields)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import chunks, texts_of, written
+from panelwise.llm.common import chunks, spare, texts_of, written
 from panelwise.llm.components import components
 from panelwise.llm.textarrays import mixed, windows, words
 
@@ -298,11 +298,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: of its smallest doc_id (then its smallest node). All columns stay."""
     _, nodes = joined(docs)
     best = nodes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node", "digest", "repeats")).alias("best"))
-    best = best.select(F.col("best.first_id").alias("__kept_id"), F.col("best.digest").alias("__kept_digest"), F.col("best.repeats").alias("__repeats"))
+    kept_id, kept_digest, repeats, own = (spare(docs, c) for c in ("kept_id", "kept_digest", "repeats", "own_digest"))
+    best = best.select(F.col("best.first_id").alias(kept_id), F.col("best.digest").alias(kept_digest), F.col("best.repeats").alias(repeats))
     best = written(best, "jaccard-kept")
-    marked = docs.withColumn("__digest", digest())
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")))
+    kept = docs.withColumn(own, digest()).join(best, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)))
     # Only rows that equal others in id and text need another look.
-    single = kept.where("__repeats = 1").select(*docs.columns)
-    repeated = kept.where("__repeats > 1").dropDuplicates(["__kept_id", "__kept_digest"]).select(*docs.columns)
+    single = kept.where(F.col(repeats) == 1).select(*docs.columns)
+    repeated = kept.where(F.col(repeats) > 1).dropDuplicates([kept_id, kept_digest]).select(*docs.columns)
     return single.unionByName(repeated)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import add_from_text, chunks, code_points, held_out, sigmoid, texts_of, training_texts
+from panelwise.llm.common import add_from_text, chunks, code_points, held_out, sigmoid, spare, texts_of, training_texts
 from panelwise.llm.textarrays import segment_hashes
 
 OTHER, LOWER, UPPER, DIGIT, SPACE, NEWLINE, SYMBOL, STOP, MARK = range(9)
@@ -297,5 +297,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Rows of docs whose text scores the threshold or more, with all their columns."""
-    marked = add_from_text(docs, "__score double", lambda batch: [pa.array(model.score(texts_of(batch)))])
-    return marked.where(F.col("__score") >= threshold).drop("__score")
+    name = spare(docs, "score")
+    marked = add_from_text(docs, f"{name} double", lambda batch: [pa.array(model.score(texts_of(batch)))])
+    return marked.where(F.col(name) >= threshold).drop(name)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import add_from_text, chunks, held_out, sigmoid, texts_of, training_texts
+from panelwise.llm.common import add_from_text, chunks, held_out, sigmoid, spare, texts_of, training_texts
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows of the embedding: words, first letters of words, and one row of padding.
@@ -277,4 +277,5 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def flag(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(model.score(texts_of(batch), table) >= model.limits(batch))]
 
-    return add_from_text(docs, "__flagged boolean", flag).where("NOT __flagged").drop("__flagged")
+    name = spare(docs, "flagged")
+    return add_from_text(docs, f"{name} boolean", flag).where(~F.col(name)).drop(name)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelwise.llm.common import table
@@ -37,6 +38,8 @@ def test_run_equals_the_stages_and_their_brute_force(spark):
 def test_stages_take_odd_rows(spark, name, stage):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "word", None, "s", 4), (3, "some text here.\n" * 9000, "en", "s", 1), (3, "some text here.\n" * 9000, "en", "s", 1)]
     docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, hits string")
+    for k, c in enumerate(("flagged", "found", "Hits_", "kept_id", "kept_digest", "repeats", "own_digest", "n", "signature", "digest")):
+        docs = docs.withColumn(c, F.lit(k))
     out = stage(spark, docs, FOLDER)
     if name != "token ids":
         assert out.columns == docs.columns
