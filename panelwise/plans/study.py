@@ -6,10 +6,12 @@ usage: python -m panelwise.plans.study SHEET OUTPUT [parquet|csv]
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.operators.reshape import duplicate_cells
 from panelwise.plans import prep, reports, values
 from panelwise.session import tune
 from panelwise.sources.tables import read_sheet, write_tables
@@ -70,13 +72,29 @@ def check_sheet(sheet: DataFrame, folder: str) -> None:
         raise ValueError(f"participants with more than one row are listed in {path}")
 
 
-def run(spark: SparkSession, sheet_path: str, folder: str, fmt: str = "parquet",
-        options: prep.Options = prep.Options()) -> list[str]:
+def check_cells(study: prep.Study, folder: str) -> None:
+    """Write visits that a participant has twice, and stop if there are any: relabelled samples may fall on a visit that has one.
+
+    Two columns of one cell are found earlier, from the names of the sheet's columns alone (`question_grid`).
+    """
+    doubles = [duplicate_cells(t, ["id"], "visit").withColumn("table", F.lit(n)) for n, t in (("behaviour", study.behaviour), ("sti", study.sti), ("swab", study.swab))]
+    path = write_tables({"double_cells": reduce(DataFrame.unionByName, doubles)}, f"{folder}/audit_cells")[0]
+    if study.swab.sparkSession.read.parquet(path).limit(1).count():
+        raise ValueError(f"visits that a participant has twice are listed in {path}")
+
+
+def run(spark: SparkSession, sheet_path: str, folder: str, fmt: str = "parquet", options: prep.Options = prep.Options(),
+        persons: DataFrame | None = None, sample_list: DataFrame | None = None) -> list[str]:
+    """Check, prepare and report. With the outside lists of persons (id) and samples (id, visit) they are reconciled as well."""
     tune(spark)
     sheet = read_sheet(spark, sheet_path, fmt)
     check_sheet(sheet, folder)
     study = prepared(spark, sheet, folder, options)
-    return write_tables(all_reports(study, prep.presence(sheet, options)), f"{folder}/reports")
+    check_cells(study, folder)
+    out = all_reports(study, prep.presence(sheet, options))
+    if persons is not None and sample_list is not None:
+        out.update({f"reconcile_{k}": f for k, f in reports.reconcile(study.swab, persons, sample_list).items()})
+    return write_tables(out, f"{folder}/reports")
 
 
 if __name__ == "__main__":

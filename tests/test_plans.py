@@ -276,3 +276,14 @@ def test_repeated_participants_stop_the_run(spark, frame, tmp_path):
     with pytest.raises(ValueError, match="more than one row"):
         study_module.run(spark, str(tmp_path / "sheet"), str(tmp_path / "out"))
     assert read_tables(spark, str(tmp_path / "out/audit"))["repeated_ids"].count() == 1
+
+
+def test_double_visits_stop_a_run(spark, frame, tmp_path):
+    study = prep.prepare(make_sheet(frame, crowd(seed=3, n=8)))
+    study_module.check_cells(study, str(tmp_path / "fine"))
+    assert read_tables(spark, str(tmp_path / "fine/audit_cells"))["double_cells"].count() == 0
+    twice = prep.Study(study.baseline, study.behaviour, study.sti, study.swab.unionByName(study.swab.limit(1)))
+    with pytest.raises(ValueError, match="has twice"):
+        study_module.check_cells(twice, str(tmp_path / "out"))
+    found = read_tables(spark, str(tmp_path / "out/audit_cells"))["double_cells"].collect()
+    assert [(r.table, r.n) for r in found] == [("swab", 2)]
