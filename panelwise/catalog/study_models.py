@@ -56,12 +56,12 @@ def _(spark, d):
 
 @query("study_log_trends", ROWS + coef_rows(gee_sql("yc", "month", "log", where="value IS NOT NULL"), "visit_num", "visit_num"))
 def _(spark, d):
-    return _rounded(reports.log_trends(_study(spark, d), tol=1e-10)["gee"])
+    return _rounded(reports.log_trends(_study(spark, d), only=("gee",), tol=1e-10)["gee"])
 
 
 @query("study_log_partner", ROWS + coef_rows(gee_sql("yc", "reports_main", "log", where="value IS NOT NULL"), "reports_main_partner", "reports_main_partner"))
 def _(spark, d):
-    return _rounded(reports.log_trends(_study(spark, d), tol=1e-10)["gee_partner"])
+    return _rounded(reports.log_trends(_study(spark, d), only=("gee_partner",), tol=1e-10)["gee_partner"])
 
 
 #: The derived sheet answers the other questions from the result itself, so their models have no finite coefficients.

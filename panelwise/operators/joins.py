@@ -3,7 +3,9 @@
 Joins of tables carry no broadcast hint. Spark broadcasts a side only when its
 measured size is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
 shuffles both sides; adaptive execution then splits partitions of hot keys.
-Only summaries whose rows were counted are broadcast on purpose.
+Only summaries whose rows were counted are broadcast on purpose. A table read
+from files is measured by its compressed bytes, which are a small part of the
+rows' size, so a side with rows per participant is kept from being broadcast.
 """
 
 from __future__ import annotations
@@ -15,19 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach(left: DataFrame, right: DataFrame, on: Iterable[str], null_safe: bool = True) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: Iterable[str], null_safe: bool = True, grows: bool = False) -> DataFrame:
     """Left join in which a missing key matches a missing key.
 
     The right side must not repeat a key if row counts are to be kept. Its
-    non-key columns must be new names.
+    non-key columns must be new names. With ``grows`` the right side has rows per
+    participant and never goes through the driver.
     """
     keys = list(on)
     if not null_safe:
-        return left.join(right, keys, "left")
+        return left.join(right.hint("merge") if grows else right, keys, "left")
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
+    renamed = renamed.hint("merge") if grows else renamed
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
 

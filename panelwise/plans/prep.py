@@ -220,13 +220,13 @@ def swab_with_answers(study: Study) -> DataFrame:
     """Sampled rows with the answers of the same visit."""
     answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
     swab = study.swab.withColumn("yc_result", nulls.ind(F.col("value") == v.POSITIVE))
-    return attach(swab, answers, ["id", "visit", "site"])
+    return attach(swab, answers, ["id", "visit", "site"], grows=True)
 
 
 def swab_with_presence(swab: DataFrame, presence_rows: DataFrame) -> DataFrame:
     """Sampled rows with the presence flag; the enrolment visit stands for screening."""
     merged = presence_rows.where(F.col("visit") != "scr").withColumn("visit", recode.recode("visit", v.VISIT_ALIAS))
-    return attach(swab, merged, ["id", "site", "visit"])
+    return attach(swab, merged, ["id", "site", "visit"], grows=True)
 
 
 def predictor_frame(study: Study, random_one: bool = False, seed: int = 0) -> DataFrame:
@@ -235,7 +235,7 @@ def predictor_frame(study: Study, random_one: bool = False, seed: int = 0) -> Da
 
     covs = ["age", "age_cat", "age_quart", "registered", "ethnic_group", "ethnic_group_cat", "married", "married_cat", "edu"]
     base = study.baseline.select(F.col(v.ID).alias("id"), *covs)
-    rows = attach(study.swab, base, ["id"]).withColumn("yc_result", nulls.ind(F.col("value") == v.POSITIVE))
+    rows = attach(study.swab, base, ["id"], grows=True).withColumn("yc_result", nulls.ind(F.col("value") == v.POSITIVE))
     return one_random_row(rows, "id", ["visit", "site"], seed) if random_one else rows
 
 
@@ -243,7 +243,7 @@ def trend_frame(study: Study) -> DataFrame:
     """Visit rows with month number and baseline covariates."""
     covs = ["age_cat", "age", "ethnic_group_cat", "edu", "registered"]
     base = study.baseline.select(F.col(v.ID).alias("id"), *covs)
-    return attach(study.behaviour, base, ["id"]).withColumn("visit_num", recode.lookup("visit", v.VISIT_MONTH))
+    return attach(study.behaviour, base, ["id"], grows=True).withColumn("visit_num", recode.lookup("visit", v.VISIT_MONTH))
 
 
 def lookup_keys(lookup: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def sti_by_swab(study: Study) -> dict[str, DataFrame]:
     """Companion tests on the sampled rows: availability, results, prevalence, result by swab."""
     tests = {k: c for k, c in v.STI_RESULTS.items() if c in study.sti.columns}
     offered = {f"{k}_offered": c for k, c in v.STI_AVAILABLE.items() if c in study.sti.columns}
-    rows = attach(study.swab, study.sti.drop("visit_ord"), ["id", "visit", "site"])
+    rows = attach(study.swab, study.sti.drop("visit_ord"), ["id", "visit", "site"], grows=True)
     return {
         "levels": describe.table_one(rows, [Item(k, F.col(c)) for k, c in {**tests, **offered}.items()]),
         "prevalence": describe.period_prevalence(rows, tests, F.col("visit") == "scr", v.STI_POSITIVE),
@@ -265,18 +265,22 @@ def trends(study: Study, adjusted: bool = True, **options) -> DataFrame:
     return gee.with_interval(gee.fit_gee(trend_frame(study), models, "id", **options), linear=linear)
 
 
-def log_trends(study: Study, **options) -> dict[str, DataFrame]:
-    """Risk-ratio models of detection: by month without and with clustering, and by main partner."""
+LOG_PARTS = ("glm", "gee", "gee_partner")
+
+
+def log_trends(study: Study, only: Sequence[str] = LOG_PARTS, **options) -> dict[str, DataFrame]:
+    """Risk-ratio models of detection: by month without and with clustering, and by main partner. Only the named ones are fitted."""
     swab = study.swab.withColumns({
         "yc_result": ind(F.col("value") == v.POSITIVE), "visit_num": recode.lookup("visit", v.VISIT_MONTH),
     })
     month = Model("visit_num", "yc_result", ("visit_num",), "binomial", "log")
     partner = Model("reports_main_partner", "yc_result", ("reports_main_partner",), "binomial", "log")
-    return {
-        "glm": gee.with_interval(glm.fit_glm(swab, month)),
-        "gee": gee.with_interval(gee.fit_gee(swab, month, "id", **options)),
-        "gee_partner": gee.with_interval(gee.fit_gee(swab_with_answers(study), partner, "id", **options)),
+    parts = {
+        "glm": lambda: glm.fit_glm(swab, month),
+        "gee": lambda: gee.fit_gee(swab, month, "id", **options),
+        "gee_partner": lambda: gee.fit_gee(swab_with_answers(study), partner, "id", **options),
     }
+    return {name: gee.with_interval(parts[name]()) for name in only}
 
 
 def baseline_predictors(study: Study, **options) -> DataFrame:
@@ -315,7 +319,7 @@ ONE_ROW_PARTS = ("rates", "chisq", "fisher", "fisher_2x2", "glm", "clients_profi
 def one_row_screen(study: Study, seed: int = 0, only: Sequence[str] = ONE_ROW_PARTS, **options) -> dict[str, DataFrame]:
     """One random sample per person: rates, contingency tests, logistic fits. Only the named parts are made."""
     answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
-    rows = attach(predictor_frame(study, random_one=True, seed=seed), answers, ["id", "visit", "site"])
+    rows = attach(predictor_frame(study, random_one=True, seed=seed), answers, ["id", "visit", "site"], grows=True)
     rows = rows.withColumns({
         "clients_fine": recode.cut(F.col("NbreClieDernSemaine"), v.CLIENT_FINE_BREAKS, v.CLIENT_FINE_LEVELS),
         "pos": ind(F.col("value") == v.POSITIVE),
@@ -343,24 +347,27 @@ def one_row_screen(study: Study, seed: int = 0, only: Sequence[str] = ONE_ROW_PA
         [Pair(c, F.col(c), F.col("pos")) for c in ("always_condom_client", "reports_main_partner")]
         + [Pair("always_condom_main", F.col("always_condom_main"), F.col("pos"), partnered)],
     )
-    factors = [
-        Factor("age_quart", v.AGE_QUART_LEVELS), Factor("age_cat", v.AGE_LEVELS),
-        Factor("registered", v.REGISTERED_LEVELS), Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS),
-        Factor("married_cat", v.MARITAL_LEVELS), Factor("edu", v.EDU_LEVELS),
-        *discover_levels(rows, ["site", "FreqUtilPreservatif", "FreqUtilervatifPart"]),
-    ]
-    models = [Model("age", "pos", ("age",))]
-    models += [
-        Model(f.column, "pos", (f,), where=partnered if f.column == "FreqUtilervatifPart" else None) for f in factors
-    ]
-    models += [Model(c, "pos", (c,)) for c in ("always_condom_client", "NbreClieDernSemaine", "reports_main_partner")]
-    models.append(Model("always_condom_main", "pos", ("always_condom_main",), where=partnered))
+
+    def models() -> list[Model]:
+        factors = [
+            Factor("age_quart", v.AGE_QUART_LEVELS), Factor("age_cat", v.AGE_LEVELS),
+            Factor("registered", v.REGISTERED_LEVELS), Factor("ethnic_group_cat", v.ETHNIC_GROUP_LEVELS),
+            Factor("married_cat", v.MARITAL_LEVELS), Factor("edu", v.EDU_LEVELS),
+            *discover_levels(rows, ["site", "FreqUtilPreservatif", "FreqUtilervatifPart"]),
+        ]
+        out = [Model("age", "pos", ("age",))]
+        out += [
+            Model(f.column, "pos", (f,), where=partnered if f.column == "FreqUtilervatifPart" else None) for f in factors
+        ]
+        out += [Model(c, "pos", (c,)) for c in ("always_condom_client", "NbreClieDernSemaine", "reports_main_partner")]
+        return [*out, Model("always_condom_main", "pos", ("always_condom_main",), where=partnered)]
+
     parts = {
         "rates": lambda: rates,
         "chisq": lambda: contingency.chisq_test(chi),
         "fisher": lambda: contingency.fisher_rx2(fisher),
         "fisher_2x2": lambda: contingency.fisher_2x2(two),
-        "glm": lambda: glm.fit_glm(rows, models, **options),
+        "glm": lambda: glm.fit_glm(rows, models(), **options),
         "clients_profile": lambda: glm.profile_interval(rows, Model("clients", "pos", ("NbreClieDernSemaine",))),
     }
     return {name: parts[name]() for name in only}
