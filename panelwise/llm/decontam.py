@@ -23,10 +23,10 @@ repeated items are reported each; repeated documents are judged each for themsel
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,57 +36,34 @@ from pyspark.sql import functions as F
 from panelwise.llm.common import add_from_text, chunks, code_points, spare, texts_of
 
 RATE = 0.2
-#: Probability, by the count of runs at the low end of a class, that a passage with RATE of its characters edited has a run for a
-#: walk. The count is cautious: with 0.8, measured recall is 0.96 to 1.00 in all lengths (README); 0.9 is what it has to keep.
-TARGET = 0.8
-#: Walks with other bits from each character.
-REPEATS = 1
-#: Characters of the shortest and the longest walk; fewest words of an item.
-SPANS = (4, 16)
-#: Documents are walked from every second and third place where untouched runs are at least so long.
-STRIDES = {10: 2, 13: 3}
-#: Grams counted in candidates, and how many standard deviations below their mean still pass.
-WIDTHS = (5, 3)
-DEVIATIONS = 1.5
+#: Share of a class's own items, edited at the full rate in each of EDITS, that its keys have to find again.
+TARGET = 0.97
+EDITS = ("spread", "random", "mixed")
+#: Items of a class that are edited to measure that share, and random beginnings of documents around each.
+TRIALS = 48
+#: (sampled places of an embedding, embeddings, samples of each, distance of windows in documents), cheapest first.
+PLANS = [(14, 1, 2, 3), (12, 1, 2, 3), (12, 1, 3, 3), (12, 1, 3, 2), (11, 1, 4, 2), (10, 1, 3, 2), (10, 1, 5, 2), (9, 1, 4, 2), (10, 1, 3, 1), (9, 1, 4, 1), (8, 2, 4, 1), (7, 2, 5, 1), (6, 3, 5, 1), (5, 4, 5, 1), (4, 6, 5, 1), (3, 6, 4, 1)]
+#: Grams counted in candidates; fewest words of an item.
+WIDTHS = (3, 4)
 LEAST_WORDS = 4
 #: Characters of benchmark texts in one pass.
 PART_CHARS = 20_000_000
-CHUNK = 150_000
-#: Places walked at once, candidates counted at once, and bits of a gram's hash.
+CHUNK = 600_000
+#: Windows embedded at once, candidates counted and compared at once, and bits of a gram's hash.
 BLOCK = 1 << 15
-BATCH = 128
-GRAM_BITS = 14
+BATCH = 64
+NEAR = 1024
+GRAM_BITS = 12
+PIECES = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def span(length: int, rate: float) -> int:
-    """Characters of a run that an item of that many characters still has with probability TARGET after `rate` of them are edited."""
-    runs = rate * length / -math.log(1 - TARGET)
-    n = math.floor(math.log(runs) / -math.log(1 - rate)) if runs > 1 and 0 < rate < 1 else SPANS[0] if rate > 0 else SPANS[1]
-    return min(max(n, SPANS[0]), SPANS[1])
-
-
-def walk_of(length: int, rate: float) -> tuple[int, int]:
-    """Steps of a walk, and distance of walks in documents, so that a run of `span` characters holds a walk of average reach.
-
-    A walk moves five places in eight steps on average; the shortest one never leaves the run.
-    """
-    n = span(length, rate)
-    stride = max([s for least, s in STRIDES.items() if n >= least], default=1)
-    return (n if n == SPANS[0] else round((n - stride + 1) * 1.6)), stride
-
-
 def needed(lengths: np.ndarray, width: int, rate: float) -> np.ndarray:
-    """Grams of an item that a passage must have: what rate * length edits leave at least, or mostly.
-
-    Of edits at random places, a gram survives with probability s ** width; overlapping grams survive together.
-    """
-    s, n = 1 - rate, np.maximum(lengths - width + 1, 0)
-    p = s**width
-    together = p - p * p + 2 * sum(s ** (width + d) - p * p for d in range(1, width))
-    return np.maximum(n - width * (rate * lengths).astype(np.int64), n * p - DEVIATIONS * np.sqrt(n * together))
+    """Grams of an item that a passage has for certain: an edit touches `width` of them at most."""
+    return lengths - width + 1 - width * (rate * lengths).astype(np.int64)
 
 
+@lru_cache(maxsize=64)
 def moves(steps: int, repeat: int) -> np.ndarray:
     """Whether the walk moves on, for each step and symbol; a symbol that stays at an even step moves at the next one."""
     bits = np.random.default_rng([steps, repeat]).integers(0, 2, (steps + 1, 256))
@@ -94,6 +71,12 @@ def moves(steps: int, repeat: int) -> np.ndarray:
     return bits
 
 
+@lru_cache(maxsize=256)
+def sampled(steps: int, places: int, walk: int, sample: int) -> tuple[int, ...]:
+    """Places of an embedding of that many steps that make a key."""
+    return tuple(sorted(np.random.default_rng([steps, places, walk, sample]).choice(steps, places, replace=False).tolist()))
+
+
 def symbols_of(codes: np.ndarray) -> np.ndarray:
     return ((codes ^ (codes >> np.uint32(8)) * np.uint32(31)) & np.uint32(255)).astype(np.uint8)
 
@@ -107,21 +90,76 @@ def grams(symbols: np.ndarray, width: int) -> np.ndarray:
     return ((x * np.uint32(0x85EBCA77)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
 
 
-def keys(symbols: np.ndarray, starts: np.ndarray, steps: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of walks from `starts`, and the last places they read; symbols end in `steps` places of padding."""
-    moved = moves(steps, repeat)
+def embedded(symbols: np.ndarray, starts: np.ndarray, steps: int, walk: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """CGK embeddings of the windows from `starts`, one array a step, and the last places read; symbols end in `steps` places of padding."""
+    moved = moves(steps, walk)
     at = starts.astype(np.int64)
-    key = np.zeros(len(starts), np.uint64)
+    reads = []
     for step in range(steps):
-        read = symbols[at]
-        key *= FACTOR
-        key += read
+        read = symbols.take(at)
+        reads.append(read)
         if step < steps - 1:
-            at += moved[step][read]
+            at += moved[step].take(read)
+    return reads, at
+
+
+def keys(reads: list[np.ndarray], places: tuple[int, ...]) -> np.ndarray:
+    """Keys of the sampled places of embeddings."""
+    key = np.full(len(reads[0]), places[0], np.uint64)
+    for k in places:
+        key *= FACTOR
+        key += reads[k]
     key *= FACTOR
     key ^= key >> np.uint64(29)
     key *= FACTOR
-    return key, at
+    return key
+
+
+def edited(text: str, rate: float, kind: str, rng: np.random.Generator, others: str) -> str:
+    """The text with rate * length of its characters edited: every n-th one, or at random places, substituted or of all kinds."""
+    n = int(rate * len(text))
+    if kind == "spread":
+        places = (np.arange(n) * len(text) // max(n, 1) + rng.integers(0, max(len(text) // max(n, 1), 1))) % max(len(text), 1)
+    else:
+        places = rng.choice(len(text), n, replace=False)
+    out = list(text)
+    for k in places.tolist():
+        how = rng.integers(3) if kind == "mixed" else 0
+        new = others[rng.integers(len(others))]
+        while new == out[k] and how == 0 and len(set(others)) > 1:
+            new = others[rng.integers(len(others))]
+        out[k] = ("" if how == 1 else new) if how < 2 else out[k] + new
+    return "".join(out)
+
+
+def plan_of(texts: list[str], rate: float) -> tuple[int, int, int, int]:
+    """The cheapest of PLANS whose keys find TARGET of the items again after each kind of edits, measured on the class's own items."""
+    rng = np.random.default_rng(len(texts))
+    some = [texts[i] for i in np.linspace(0, len(texts) - 1, min(TRIALS, len(texts))).astype(int)]
+    some = some * -(-TRIALS // len(some))
+    others = "".join(some)
+    kinds = EDITS if rate > 0 else EDITS[:1]
+    cases = [(x, edited(x, rate, kind, rng, others)) for kind in kinds for x in some]
+    pad = np.zeros(2 * PLANS[0][0] + 3, np.uint32)
+    sides = []
+    for side in (0, 1):
+        codes, begins = code_points([c[side] + "\n" for c in cases])
+        sides.append((symbols_of(np.concatenate([codes, pad])), begins, np.repeat(np.arange(len(cases)), np.diff(begins))))
+    for places, walks, samples, stride in PLANS:
+        hit = np.zeros(len(cases), bool)
+        for walk in range(walks):
+            reads = []
+            for side, (symbols, begins, owner) in enumerate(sides):
+                starts = np.flatnonzero((np.arange(len(owner)) + owner) % stride == 0) if side else np.arange(len(owner))
+                read, last = embedded(symbols, starts, 2 * places, walk)
+                inside = np.flatnonzero(last < begins[owner[starts] + 1])
+                reads.append(([x[inside] for x in read], owner[starts[inside]]))
+            for sample in range(samples):
+                own, other = (keys(r, sampled(2 * places, places, walk, sample)) ^ (o.astype(np.uint64) * FACTOR) for r, o in reads)
+                hit[reads[1][1][np.isin(other, own)]] = True
+        if (hit.reshape(len(kinds), -1).mean(1) >= TARGET).all():
+            break
+    return places, walks, samples, stride
 
 
 def search(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
@@ -151,13 +189,64 @@ def search(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
     return best, end
 
 
+def least_distances(patterns: list[np.ndarray], texts: np.ndarray) -> np.ndarray:
+    """Least edit distance of each pattern to a piece of its row of texts, in symbols: Myers' method for all rows at once.
+
+    Patterns come by rising length. Equal symbols may be different characters, so a distance is a lower bound.
+    """
+    lengths = np.array([len(x) for x in patterns])
+    words, rows = -(-int(lengths[-1]) // 64), len(patterns)
+    masks = np.zeros((words, rows * 256), np.uint64)
+    for row, pattern in enumerate(patterns):
+        offset = np.arange(len(pattern))
+        np.bitwise_or.at(masks, (offset >> 6, row * 256 + pattern.astype(np.int64)), np.uint64(1) << (offset & 63).astype(np.uint64))
+    # Rows from first[w] on have a word w; it is the last one of those before first[w + 1].
+    first = np.searchsorted(lengths, 64 * np.arange(words + 1), "right").tolist()
+    one, high, top = np.uint64(1), np.uint64(63), ((lengths - 1) & 63).astype(np.uint64)
+    up = [np.full(rows - a, ~np.uint64(0)) for a in first[:-1]]
+    down = [np.zeros(rows - a, np.uint64) for a in first[:-1]]
+    score, begin, none = lengths.copy(), np.arange(rows) * 256, np.zeros(rows, np.uint64)
+    best = score.copy()
+    for symbol in np.ascontiguousarray(texts.T):
+        at, more, less = begin + symbol, none, none
+        for w in range(words):
+            a, ends = first[w], first[w + 1] - first[w]
+            more, less = more[len(more) - rows + a :], less[len(less) - rows + a :]
+            equal, u, d = masks[w].take(at[a:]), up[w], down[w]
+            vertical = equal | d
+            equal |= less
+            zero = equal & u
+            zero += u
+            zero ^= u
+            zero |= equal
+            plus = zero | u
+            np.invert(plus, out=plus)
+            plus |= d
+            minus = zero
+            minus &= u
+            if ends:
+                bit = top[a : a + ends]
+                score[a : a + ends] += ((plus[:ends] >> bit) & one).view(np.int64) - ((minus[:ends] >> bit) & one).view(np.int64)
+            plus_in, minus_in = more, less
+            if w < words - 1:
+                more, less = plus >> high, minus >> high
+            plus <<= one
+            plus |= plus_in
+            minus <<= one
+            minus |= minus_in
+            np.bitwise_and(plus, vertical, out=d)
+            plus |= vertical
+            np.invert(plus, out=plus)
+            np.bitwise_or(plus, minus, out=u)
+        np.minimum(best, score, out=best)
+    return best
+
+
 @dataclass
 class Table:
     """Sorted keys of one class and repetition with item and offset, and which of the keys' first bits occur."""
 
-    steps: int
-    stride: int
-    repeat: int
+    places: tuple[int, ...]
     key: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -165,25 +254,42 @@ class Table:
     down: np.uint64
 
     @classmethod
-    def of(cls, steps: int, stride: int, repeat: int, key: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Table:
+    def of(cls, places: tuple[int, ...], key: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Table:
         order = np.argsort(key, kind="stable")
         bits = min(max(len(key).bit_length() + 4, 12), 24)
         down = np.uint64(64 - bits)
         occurs = np.zeros(1 << bits, bool)
         occurs[key >> down] = True
-        return cls(steps, stride, repeat, key[order], item[order].astype(np.int32), offset[order].astype(np.int32), occurs, down)
+        return cls(places, key[order], item[order].astype(np.int32), offset[order].astype(np.int32), occurs, down)
+
+    def hits(self, reads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the windows whose key equals that of an item's window, the item, and the offset in it."""
+        key = keys(reads, self.places)
+        maybe = np.flatnonzero(self.occurs.take(key >> self.down))
+        key = key[maybe]
+        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(maybe, n), self.item[at], self.offset[at]
+
+
+@dataclass
+class Embedding:
+    """One embedding of a class of items: its steps, the distance of windows in documents, and the tables of its samples."""
+
+    steps: int
+    stride: int
+    walk: int
+    tables: list[Table]
 
     def hits(self, symbols: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places among the first `size` whose walk equals that of an item, the item, and the offset in it."""
+        """Places among the first `size` whose window shares a key with an item's, the item, and the offset in it."""
         for begin in range(0, size, BLOCK * self.stride):
             starts = np.arange(begin, min(begin + BLOCK * self.stride, size), self.stride)
-            key, _ = keys(symbols, starts, self.steps, self.repeat)
-            maybe = np.flatnonzero(self.occurs[key >> self.down])
-            key = key[maybe]
-            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-            n = high - low
-            at = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(starts[maybe], n), self.item[at], self.offset[at]
+            reads, _ = embedded(symbols, starts, self.steps, self.walk)
+            for table in self.tables:
+                number, item, offset = table.hits(reads)
+                yield starts[number], item, offset
 
 
 @dataclass
@@ -192,10 +298,11 @@ class Index:
 
     ids: list[int]
     texts: list[str]
+    symbols: np.ndarray
     begins: np.ndarray
     lengths: np.ndarray
     grams: dict[int, np.ndarray]
-    tables: list[Table]
+    embeddings: list[Embedding]
     rate: float
 
     @classmethod
@@ -203,22 +310,32 @@ class Index:
         plain = [" ".join((t or "").lower().split()) for t in texts]
         codes, begins = code_points(plain)
         lengths = np.diff(begins)
-        symbols = symbols_of(np.concatenate([codes, np.zeros(2 * SPANS[1] + 3, np.uint32)]))
-        classes: dict[tuple[int, int], list[int]] = defaultdict(list)
+        symbols = symbols_of(np.concatenate([codes, np.zeros(2 * PLANS[0][0] + 3, np.uint32)]))
+        classes: dict[int, list[int]] = defaultdict(list)
         for i, t in enumerate(plain):
             if t.count(" ") + 1 >= LEAST_WORDS:
-                classes[walk_of(1 << len(t).bit_length() - 1, rate)].append(i)
-        tables = []
-        for (steps, stride), members in sorted(classes.items()):
+                classes[len(t).bit_length()].append(i)
+        # Classes of like windows share embeddings and tables, as many as any of them needs.
+        shared: dict[tuple[int, int], list[list[int]]] = defaultdict(lambda: [[], [0], [0]])
+        for _, members in sorted(classes.items()):
+            places, walks, samples, stride = plan_of([plain[i] for i in members], rate)
+            for mine, more in zip(shared[places, stride], (members, [walks], [samples]), strict=True):
+                mine += more
+        embeddings = []
+        for (places, stride), (members, several_walks, several_samples) in shared.items():
+            walks, samples = max(several_walks), max(several_samples)
             many = lengths[members]
             item = np.repeat(members, many)
             offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             start = begins[item] + offset
-            for r in range(REPEATS if steps > SPANS[0] else 1):
-                key, last = keys(symbols, start, steps, r)
+            for walk in range(walks):
+                reads, last = embedded(symbols, start, 2 * places, walk)
                 inside = np.flatnonzero(last < begins[item + 1])
-                tables.append(Table.of(steps, stride, r, key[inside], item[inside], offset[inside]))
-        return cls(list(ids), plain, begins, lengths, {w: grams(symbols, w) for w in WIDTHS}, tables, rate)
+                reads = [x[inside] for x in reads]
+                samplings = [sampled(2 * places, places, walk, r) for r in range(samples)]
+                tables = [Table.of(x, keys(reads, x), item[inside], offset[inside]) for x in samplings]
+                embeddings.append(Embedding(2 * places, stride, walk, tables))
+        return cls(list(ids), plain, symbols, begins, lengths, {w: grams(symbols, w) for w in WIDTHS}, embeddings, rate)
 
     def candidates(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(text, item, first place, last place) of where items may begin in texts, each once for places close together.
@@ -228,8 +345,8 @@ class Index:
         width = np.maximum(4, (self.rate * self.lengths).astype(np.int64))
         many = (int(np.diff(at).max()) + int(self.lengths.max())) // 4 + 2
         found = [np.zeros(0, np.int64)]
-        for table in self.tables:
-            for place, item, offset in table.hits(symbols, int(at[-1])):
+        for embedding in self.embeddings:
+            for place, item, offset in embedding.hits(symbols, int(at[-1])):
                 text = np.searchsorted(at, place, "right") - 1
                 bucket = (place - at[text] - offset + self.lengths[item]) // width[item]
                 found.append(np.unique((item * many + bucket) * (len(at) - 1) + text))
@@ -239,7 +356,7 @@ class Index:
         return np.stack([text, item, first, first + width[item] - 1], 1)
 
     def likely(self, some: np.ndarray, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Those of the candidates whose text has as many of the item's grams as the allowed edits leave."""
+        """Those of the candidates whose text has as many of the item's grams as the allowed edits leave, each within them of its place."""
         for width in WIDTHS:
             here, own, least = grams(symbols, width), self.grams[width], needed(self.lengths, width, self.rate)
             some = some[np.argsort(self.lengths[some[:, 1]], kind="stable")]
@@ -248,28 +365,44 @@ class Index:
                 part = some[k : k + BATCH]
                 m = self.lengths[part[:, 1]]
                 allowed = (self.rate * m).astype(np.int64)
-                reach = int((m + 2 * allowed + part[:, 3] - part[:, 2]).max()) + 1
-                place = (at[part[:, 0]] + part[:, 2] - allowed)[:, None] + np.arange(reach)
-                rows = np.arange(len(part))[:, None] << GRAM_BITS
-                seen = np.zeros(len(part) << GRAM_BITS, bool)
-                seen[rows + here[np.clip(place, 0, len(here) - 1)]] = True
+                rows = np.arange(len(part))[:, None] * PIECES
+                seen = np.zeros(len(part) * PIECES << GRAM_BITS, bool)
+                reach = int((-(-m // PIECES) + 2 * allowed + part[:, 3] - part[:, 2]).max()) + 1
+                for piece in range(PIECES):
+                    place = (at[part[:, 0]] + part[:, 2] - allowed + piece * m // PIECES)[:, None] + np.arange(reach)
+                    seen[((rows + piece) << GRAM_BITS) + here[np.clip(place, 0, len(here) - 1)]] = True
                 offset = np.arange(int(m.max()))
                 gram = own[np.minimum(self.begins[part[:, 1]][:, None] + offset, len(own) - 1)]
-                shared = (seen[rows + gram] & (offset < (m - width + 1)[:, None])).sum(1)
+                piece = np.minimum(offset * PIECES // m[:, None], PIECES - 1)
+                shared = (seen[((rows + piece) << GRAM_BITS) + gram] & (offset < (m - width + 1)[:, None])).sum(1)
                 kept.append(part[shared >= least[part[:, 1]]])
             some = np.concatenate([some[:0], *kept])
         return some
 
+    def near(self, some: np.ndarray, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the candidates around which a piece of the text may be within the allowed edits of the item."""
+        some = some[np.argsort(self.lengths[some[:, 1]], kind="stable")]
+        kept = [some[:0]]
+        for k in range(0, len(some), NEAR):
+            part = some[k : k + NEAR]
+            m = self.lengths[part[:, 1]]
+            allowed = (self.rate * m).astype(np.int64)
+            reach = m + 2 * allowed + part[:, 3] - part[:, 2] + 1
+            place = (at[part[:, 0]] + part[:, 2] - allowed)[:, None] + np.arange(int(reach.max()))
+            own = [self.symbols[self.begins[i] : self.begins[i + 1]] for i in part[:, 1].tolist()]
+            kept.append(part[least_distances(own, symbols[np.clip(place, 0, len(symbols) - 1)]) <= allowed])
+        return np.concatenate(kept)
+
     def hits(self, texts: list[str]) -> list[list[int]]:
         """For each text, four numbers for each item found: place of the item, distance, first word, words."""
         out: list[list[int]] = [[] for _ in texts]
-        if not self.tables or not texts:
+        if not self.embeddings or not texts:
             return out
         plain = [" ".join(t.lower().split()) for t in texts]
         codes, at = code_points([t + "\n" for t in plain])
-        symbols = symbols_of(np.concatenate([codes, np.zeros(2 * SPANS[1] + 3, np.uint32)]))
+        symbols = symbols_of(np.concatenate([codes, np.zeros(2 * PLANS[0][0] + 3, np.uint32)]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        some = self.likely(self.candidates(symbols, at), symbols, at)
+        some = self.near(self.likely(self.candidates(symbols, at), symbols, at), symbols, at)
         for t, i, first, last in some[np.lexsort((some[:, 2], some[:, 1], some[:, 0]))].tolist():
             pattern, allowed = self.texts[i], int(self.rate * len(self.texts[i]))
             a = max(0, first - allowed)

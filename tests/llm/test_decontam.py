@@ -122,3 +122,55 @@ def test_recall_up_to_the_full_rate(n, kinds):
             docs.append(f"{text(rng, 20)} {''.join(chars)} {text(rng, 20)}")
         found = sum(i in row[::4] for i, row in enumerate(index.hits(docs)))
         assert found >= 0.9 * len(items), (rate, found)
+
+
+def spread(rng, item, share, letters="etaoinsrhldcum"):
+    """The item with that share of its characters changed, at even distances."""
+    chars, edits = list(item), int(share * len(item))
+    for k in range(edits):
+        at = k * len(item) // edits + len(item) // edits // 2
+        chars[at] = rng.choice([c for c in letters if c != chars[at]])
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("n", [5, 14, 30, 60, 200])
+def test_evenly_spread_edits_are_found(n):
+    """No run of untouched characters is longer than five; nine of ten are found all the same."""
+    rng = random.Random(n)
+    items = [" ".join("".join(rng.choice("etaoinsrhldcum") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for _ in range(40)]
+    index = Index.of(list(range(len(items))), items)
+    for share in (0.12, 1 / 6, decontam.RATE):
+        found = sum(i in row[::4] for i, row in enumerate(index.hits([f"{text(rng, 20)} {spread(rng, x, share)} {text(rng, 20)}" for x in items])))
+        assert found >= 0.9 * len(items), (share, found)
+
+
+def test_keys_are_samples_of_embeddings():
+    """A key reads only the sampled places of a walk; all keys of an embedding are different samples."""
+    item = text(random.Random(3), 40)
+    index = Index.of([0], [item])
+    for embedding in index.embeddings:
+        assert all(len(t.places) < embedding.steps for t in embedding.tables)
+        assert len({t.places for t in embedding.tables}) == len(embedding.tables) > 1
+
+
+def test_filters_keep_whatever_is_within_the_rate():
+    """Candidates at the true place pass the gram counts and the screen, wherever the edits are."""
+    rng = random.Random(5)
+    for n in (4, 6, 12, 40):
+        items = [text(rng, n) for _ in range(20)]
+        index = Index.of(list(range(20)), items)
+        docs = [f"{text(rng, 9)} {spread(rng, x, decontam.RATE)} {text(rng, 9)}" for x in items]
+        codes, at = decontam.code_points([d + "\n" for d in docs])
+        symbols = decontam.symbols_of(decontam.np.concatenate([codes, decontam.np.zeros(64, decontam.np.uint32)]))
+        places = [len(d) - len(d.split(" ", 9)[9]) for d in docs]
+        some = decontam.np.array([[i, i, p, p + 3] for i, p in enumerate(places)])
+        assert len(index.near(index.likely(some, symbols, at), symbols, at)) == 20
+
+
+def test_screen_equals_the_search():
+    rng = random.Random(2)
+    patterns = sorted(("".join(rng.choice("abcd") for _ in range(rng.choice([1, 5, 63, 64, 65, 128, 129, 192, 193, 300]))) for _ in range(40)), key=len)
+    texts = [("".join(rng.choice("abcd") for _ in range(30)) + p[:40] + "d" + p[42:] + "c" * 400)[:350] for p in patterns]
+    symbols = decontam.np.array([list(t.encode()) for t in texts], decontam.np.uint8)
+    got = decontam.least_distances([decontam.np.frombuffer(p.encode(), decontam.np.uint8) for p in patterns], symbols)
+    assert got.tolist() == [search(p, t)[0] for p, t in zip(patterns, texts, strict=True)]
