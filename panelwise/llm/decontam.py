@@ -1,19 +1,20 @@
-"""Benchmark decontamination: CGK embedding of characters, bit-sampling LSH, gram counts, exact edit distance.
+"""Benchmark decontamination: CGK embedding of characters, repeated bit-sampling LSH, gram counts, exact edit distance.
 
 A CGK walk reads a text at a place that moves on, or stays, by a random bit of the character read and of the step; here a
-place is read at most twice in a row. Two texts of small edit distance are read in step again soon after an edit. An
-item's keys are made of what short walks from each of its characters read, in several repetitions with other bits.
+place is read at most twice in a row. The characters it reads are the embedding of the window that begins at its first place:
+two windows of small edit distance mostly read alike, as the walks come into step again soon after an edit. A key is a sample
+of the places of an embedding, so a walk may read edited characters between the sampled ones.
 
-How long a walk may be follows from the rate of edits that is allowed: an item of m characters with rate * m edits at random
-places has about rate * m * (1 - rate) ** n untouched runs of n characters or more, and with probability TARGET one of them
-has to hold a walk. Items are put into classes of doubling length, each with its own steps; the shortest walks fit into four
-characters, which some run always has where a fifth of a short item is edited.
+Items are put into classes of doubling length. Windows begin at each character of an item, and in documents at each, every second
+or every third one. How many places are sampled, how many samples are taken, of how many embeddings, and how far apart the windows
+of documents lie, is measured when the index is made: the cheapest of PLANS that finds TARGET of the class's own items again
+after `rate` of their characters is edited, at even distances, at random places, or with insertions and deletions. Classes of
+the same plan share their tables. A window spans some 18 characters, not the whole item: after a fifth of them is edited,
+walks of item length are out of step for most of their way.
 
-Documents are walked from every character, or every second or third one where items are long, which shortens the walks by
-as much. A walk that reads what an item's walk reads makes a candidate place. Candidates pass if the text around has as many
-of the item's grams as the allowed edits leave (of edits at random places, down to DEVIATIONS below the mean);
-the item is then searched there by the exact edit distance in characters (Myers' bit-parallel method), allowing `rate` of
-its length.
+Equal keys make a candidate place. Candidates pass if the text around has as many of the item's grams, near their places, as
+the allowed edits leave for certain, and if Myers' bit-parallel edit distance, for all candidates at once, may be small enough;
+the item is then searched there by the exact edit distance in characters, allowing `rate` of its length.
 
 The index of the items is bounded: a benchmark of more than PART_CHARS characters is dealt to several passes over the
 documents by hash of the item. Documents are read whole, in chunks, and nothing is shuffled. Comparison is in lower case and
@@ -48,11 +49,13 @@ WIDTHS = (3, 4)
 LEAST_WORDS = 4
 #: Characters of benchmark texts in one pass.
 PART_CHARS = 20_000_000
-CHUNK = 600_000
+CHUNK = 2_000_000
 #: Windows embedded at once, candidates counted and compared at once, and bits of a gram's hash.
 BLOCK = 1 << 15
 BATCH = 64
 NEAR = 1024
+#: Up to so many candidates are searched one by one sooner than they are screened together.
+FEW = 200
 GRAM_BITS = 12
 PIECES = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -381,6 +384,8 @@ class Index:
 
     def near(self, some: np.ndarray, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Those of the candidates around which a piece of the text may be within the allowed edits of the item."""
+        if len(some) <= FEW:
+            return some
         some = some[np.argsort(self.lengths[some[:, 1]], kind="stable")]
         kept = [some[:0]]
         for k in range(0, len(some), NEAR):

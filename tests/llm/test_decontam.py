@@ -153,8 +153,9 @@ def test_keys_are_samples_of_embeddings():
         assert len({t.places for t in embedding.tables}) == len(embedding.tables) > 1
 
 
-def test_filters_keep_whatever_is_within_the_rate():
+def test_filters_keep_whatever_is_within_the_rate(monkeypatch):
     """Candidates at the true place pass the gram counts and the screen, wherever the edits are."""
+    monkeypatch.setattr(decontam, "FEW", 0)
     rng = random.Random(5)
     for n in (4, 6, 12, 40):
         items = [text(rng, n) for _ in range(20)]
