@@ -12,7 +12,7 @@ from panelwise.catalog.base import query, rounded, tail_sql
 from panelwise.catalog.models import OUT, coef_rows, gee_sql
 from panelwise.catalog.whole import STUDY, study_sheet
 from panelwise.plans import prep, reports
-from panelwise.session import shared_folder
+from panelwise.session import shared_folder, written
 from panelwise.sources.tables import read_tables, write_tables
 
 MONTH = "CASE visit WHEN 'scr' THEN 0 WHEN 'm1' THEN 1 WHEN 'm3' THEN 3 WHEN 'm6' THEN 6 WHEN 'm9' THEN 9 ELSE 12 END"
@@ -107,6 +107,11 @@ ONE = STUDY + f""", q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY
 ONE_ROW = ("site", "age_cat", "registered", "edu", "reports_main_partner")
 
 
+def _one_row(spark, d):
+    """The rows of the one-row screen. The sheet and they are written once: a test or a pass of a fit reads few columns and repeats no join."""
+    return written(reports.one_row_frame(prep.prepare(written(study_sheet(spark, d)))))
+
+
 @query("study_one_row_rates", ONE + "SELECT variable, level, sum(pos) AS num_pos, count(*) AS n, round(sum(pos) / count(*), 9) AS pct FROM u GROUP BY variable, level")
 def _(spark, d):
     out = reports.one_row_screen(_study(spark, d), only=("rates",))["rates"]
@@ -122,7 +127,7 @@ CHI = """, c AS (SELECT variable AS test, level AS row, pos AS col, count(*)::DO
 
 @query("study_one_row_chisq", ONE + CHI)
 def _(spark, d):
-    out = reports.one_row_screen(_study(spark, d), only=("chisq",))["chisq"]
+    out = reports.screen_rows(_one_row(spark, d), ("chisq",))["chisq"]
     return rounded(rounded(out.where("test IN ('site', 'age_cat', 'registered')"), "statistic", digits=6), "p_value")
 
 

@@ -314,24 +314,33 @@ def behaviour_predictors(study: Study, linear_as_ratio: bool = True, **options)
 
 
 ONE_ROW_PARTS = ("rates", "chisq", "fisher", "fisher_2x2", "glm", "clients_profile")
+ONE_ROW_PLAIN = (
+    "age_quart", "age_cat", "registered", "ethnic_group_cat", "married_cat", "married", "edu", "site",
+    "FreqUtilPreservatif", "always_condom_client", "clients_fine", "reports_main_partner",
+)
+ONE_ROW_MASKED = ("FreqUtilervatifPart", "always_condom_main")
 
 
-def one_row_screen(study: Study, seed: int = 0, only: Sequence[str] = ONE_ROW_PARTS, **options) -> dict[str, DataFrame]:
-    """One random sample per person: rates, contingency tests, logistic fits. Only the named parts are made."""
+def one_row_frame(study: Study, seed: int = 0) -> DataFrame:
+    """One random sample per person with baseline covariates and the answers of its visit."""
     answers = study.behaviour.drop("date", "value", "visit_ord", "yc_result")
     rows = attach(predictor_frame(study, random_one=True, seed=seed), answers, ["id", "visit", "site"], grows=True)
-    rows = rows.withColumns({
+    return rows.withColumns({
         "clients_fine": recode.cut(F.col("NbreClieDernSemaine"), v.CLIENT_FINE_BREAKS, v.CLIENT_FINE_LEVELS),
         "pos": ind(F.col("value") == v.POSITIVE),
-    })
+    }).select("pos", "has_partner", "age", "NbreClieDernSemaine", *ONE_ROW_PLAIN, *ONE_ROW_MASKED)
+
+
+def one_row_screen(study: Study, seed: int = 0, only: Sequence[str] = ONE_ROW_PARTS, **options) -> dict[str, DataFrame]:
+    """One random sample per person: rates, contingency tests, logistic fits. Only the named parts are made."""
+    return screen_rows(one_row_frame(study, seed), only, **options)
+
+
+def screen_rows(rows: DataFrame, only: Sequence[str] = ONE_ROW_PARTS, **options) -> dict[str, DataFrame]:
+    """The parts of ``one_row_screen`` on its rows, which every part reads, the regressions several times."""
     partnered = F.coalesce(F.col("has_partner"), F.lit(False))
-    plain = [
-        "age_quart", "age_cat", "registered", "ethnic_group_cat", "married_cat", "married", "edu", "site",
-        "FreqUtilPreservatif", "always_condom_client", "clients_fine", "reports_main_partner",
-    ]
-    masked = ["FreqUtilervatifPart", "always_condom_main"]
     rates = describe.level_rates(
-        rows, {c: F.col(c) for c in plain + masked}, "pos", {c: partnered for c in masked}
+        rows, {c: F.col(c) for c in ONE_ROW_PLAIN + ONE_ROW_MASKED}, "pos", {c: partnered for c in ONE_ROW_MASKED}
     )
     chi = contingency.contingency_counts(
         rows, [Pair(c, F.col(c), F.col("pos")) for c in ("age_quart", "age_cat", "registered", "married_cat", "site")]

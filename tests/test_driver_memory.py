@@ -2,6 +2,7 @@
 
 import pytest
 
+from panelwise.catalog import QUERIES, study_models
 from panelwise.catalog.whole import study_sheet
 from panelwise.operators import gee, glm
 from panelwise.plans import prep, reports
@@ -40,3 +41,19 @@ def test_only_the_named_parts_are_computed(study, monkeypatch):
     monkeypatch.setattr(reports, "discover_levels", lambda *a, **k: pytest.fail("not asked for"))
     assert list(reports.log_trends(study, only=("gee_partner",))) == ["gee_partner"] and calls == ["reports_main_partner"]
     assert list(reports.one_row_screen(study, only=("rates",))) == ["rates"]
+
+
+@pytest.mark.parametrize("part", ["rates", "chisq", "fisher", "glm"])
+def test_one_row_queries_read_their_rows_alone(spark, monkeypatch, part):
+    frames = []
+
+    def screen(rows, *args, **options):
+        frames.append(rows)
+        return reports_screen(rows, *args, **options)
+
+    reports_screen = reports.screen_rows
+    monkeypatch.setattr(reports, "screen_rows", screen)
+    monkeypatch.setattr(study_models, "write_tables", lambda *a: pytest.fail("the study's other tables are not needed"))
+    assert QUERIES[f"study_one_row_{part}"](spark, FOLDER).count()
+    text = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text and "Exchange" not in text
