@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query("study_one_row_fisher")
 def _(spark, d):
-    return rounded(reports.one_row_screen(_study(spark, d), only=("fisher",))["fisher"], "p_value")
+    return rounded(reports.screen_rows(_one_row(spark, d), ("fisher",))["fisher"], "p_value")
 
 
 GROUPS = """SELECT variable AS model, level, count(*)::DOUBLE AS n, sum(pos)::DOUBLE AS y FROM u WHERE level IS NOT NULL AND variable IN ('registered', 'edu') GROUP BY ALL"""
