@@ -144,5 +144,5 @@ GROUPS = """SELECT variable AS model, level, count(*)::DOUBLE AS n, sum(pos)::DO
   UNION ALL SELECT model, model || level, ln(y / (n - y)) - ln(y0 / (n0 - y0)), sqrt(1 / y + 1 / (n - y) + 1 / y0 + 1 / (n0 - y0)) FROM gr JOIN z USING (model) WHERE level NOT IN ('No', 'None'))
  SELECT model, term, round(est, 6) AS estimate, round(se, 6) AS std_error FROM o""")
 def _(spark, d):
-    out = reports.one_row_screen(_study(spark, d), only=("glm",), tol=1e-13)["glm"].where("model IN ('registered', 'edu')")
+    out = reports.screen_rows(_one_row(spark, d), ("glm",), tol=1e-13)["glm"].where("model IN ('registered', 'edu')")
     return rounded(out.select("model", "term", "estimate", "std_error"), "estimate", "std_error", digits=6)
