@@ -114,7 +114,7 @@ def _one_row(spark, d):
 
 @query("study_one_row_rates", ONE + "SELECT variable, level, sum(pos) AS num_pos, count(*) AS n, round(sum(pos) / count(*), 9) AS pct FROM u GROUP BY variable, level")
 def _(spark, d):
-    out = reports.one_row_screen(_study(spark, d), only=("rates",))["rates"]
+    out = reports.screen_rows(_one_row(spark, d), ("rates",))["rates"]
     return rounded(out.where(F.col("variable").isin(*ONE_ROW)).select("variable", "level", F.col("num_pos").cast("bigint").alias("num_pos"), "n", "pct"), "pct")
 
 
