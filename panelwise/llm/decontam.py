@@ -12,8 +12,9 @@ after `rate` of their characters is edited, at even distances, at random places,
 the same plan share their tables. A window spans some 18 characters, not the whole item: after a fifth of them is edited,
 walks of item length are out of step for most of their way.
 
-Equal keys make a candidate place. Candidates pass if the text around has as many of the item's grams, near their places, as
-the allowed edits leave for certain, and if Myers' bit-parallel edit distance, for all candidates at once, may be small enough;
+Equal keys make a candidate place. Candidates pass if the least edit distances of the item's pieces of a machine word add up to
+no more than the allowed edits (Myers' bit-parallel method, for all candidates at once), if the text around has as many of the
+item's grams, near their places, as these edits leave for certain, and if the whole item's distance may be small enough;
 the item is then searched there by the exact edit distance in characters, allowing `rate` of its length.
 
 The index of the items is bounded: a benchmark of more than PART_CHARS characters is dealt to several passes over the
@@ -50,12 +51,14 @@ LEAST_WORDS = 4
 #: Characters of benchmark texts in one pass.
 PART_CHARS = 20_000_000
 CHUNK = 2_000_000
-#: Windows embedded at once, candidates counted and compared at once, and bits of a gram's hash.
+#: Windows embedded at once, candidates counted, compared whole and by pieces at once, characters in a piece, and bits of a gram's hash.
 BLOCK = 1 << 15
 BATCH = 64
 NEAR = 1024
+CLOSE = 2048
 #: Up to so many candidates are searched one by one sooner than they are screened together.
 FEW = 200
+PIECE = 64
 GRAM_BITS = 12
 PIECES = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -245,6 +248,40 @@ def least_distances(patterns: list[np.ndarray], texts: np.ndarray) -> np.ndarray
     return best
 
 
+def piece_distances(masks: np.ndarray, row: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
+    """Least edit distance of each pattern of at most 64 symbols to a piece of the `reach` symbols from its `first` place on.
+
+    A pattern's places of each symbol are 256 words of `masks` from 256 * `row` on.
+    """
+    one, top, begin = np.uint64(1), (sizes - 1).astype(np.uint64), row * 256
+    up, down = np.full(len(row), ~np.uint64(0)), np.zeros(len(row), np.uint64)
+    score = sizes.copy()
+    best = score.copy()
+    for block in range(0, reach, 256):
+        place = first + np.arange(block, min(block + 256, reach))[:, None]
+        for symbol in symbols.take(place, mode="clip"):
+            equal = masks.take(begin + symbol)
+            zero = equal & up
+            zero += up
+            zero ^= up
+            zero |= equal
+            zero |= down
+            plus = zero | up
+            np.invert(plus, out=plus)
+            plus |= down
+            minus = zero & up
+            score += ((plus >> top) & one).view(np.int64)
+            score -= ((minus >> top) & one).view(np.int64)
+            plus <<= one
+            minus <<= one
+            np.bitwise_and(plus, zero, out=down)
+            plus |= zero
+            np.invert(plus, out=plus)
+            np.bitwise_or(plus, minus, out=up)
+            np.minimum(best, score, out=best)
+    return best
+
+
 @dataclass
 class Table:
     """Sorted keys of one class and repetition with item and offset, and which of the keys' first bits occur."""
@@ -358,6 +395,41 @@ class Index:
         first = bucket * width[item] - self.lengths[item]
         return np.stack([text, item, first, first + width[item] - 1], 1)
 
+    def close(self, some: np.ndarray, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the candidates for which the least distances of disjoint pieces of the item add up to no more than the allowed edits.
+
+        Pieces are taken from both ends in turn, and sought wherever in the text around they may lie if the item is there.
+        """
+        some = some[np.lexsort((some[:, 1], self.lengths[some[:, 1]]))]
+        kept = [some[:0]]
+        for k in range(0, len(some), CLOSE):
+            part = some[k : k + CLOSE]
+            spent = np.zeros(len(part), np.int64)
+            for number in range(max(int(self.lengths[part[-1, 1]]) // PIECE, 1)):
+                # Shorter items, which have no such piece, come first.
+                skip = int(np.searchsorted(self.lengths[part[:, 1]], PIECE * (number + 1))) if number else 0
+                own = part[skip:]
+                if not len(own):
+                    break
+                items, row = np.unique(own[:, 1], return_inverse=True)
+                m = self.lengths[items]
+                sizes, allowed = np.minimum(m, PIECE), (self.rate * m).astype(np.int64)
+                offset = m - PIECE * ((number + 1) // 2) if number % 2 else np.full(len(items), PIECE * (number // 2))
+                masks = np.zeros(len(items) * 256, np.uint64)
+                for j in range(int(sizes.max())):
+                    symbol = self.symbols[np.minimum(self.begins[items] + offset + j, len(self.symbols) - 1)]
+                    masks[np.arange(len(items)) * 256 + symbol] |= np.where(j < sizes, np.uint64(1) << np.uint64(j), np.uint64(0))
+                before, after = np.maximum(offset - allowed, 0), np.maximum(m - offset - sizes - allowed, 0)
+                first = at[own[:, 0]] + own[:, 2] + (before - allowed)[row]
+                reach = own[:, 3] - own[:, 2] + 1 + (m + 2 * allowed - before - after)[row]
+                spent[skip:] += piece_distances(masks, row, sizes[row], symbols, first, int(reach.max()))
+                fits = spent <= (self.rate * self.lengths[part[:, 1]]).astype(np.int64)
+                part, spent = part[fits], spent[fits]
+                if not len(part):
+                    break
+            kept.append(part)
+        return np.concatenate(kept)
+
     def likely(self, some: np.ndarray, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Those of the candidates whose text has as many of the item's grams as the allowed edits leave, each within them of its place."""
         for width in WIDTHS:
@@ -407,7 +479,9 @@ class Index:
         codes, at = code_points([t + "\n" for t in plain])
         symbols = symbols_of(np.concatenate([codes, np.zeros(2 * PLANS[0][0] + 3, np.uint32)]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        some = self.near(self.likely(self.candidates(symbols, at), symbols, at), symbols, at)
+        some = self.candidates(symbols, at)
+        for screen in (self.close, self.likely, self.near):
+            some = screen(some, symbols, at)
         for t, i, first, last in some[np.lexsort((some[:, 2], some[:, 1], some[:, 0]))].tolist():
             pattern, allowed = self.texts[i], int(self.rate * len(self.texts[i]))
             a = max(0, first - allowed)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from panelwise.llm import decontam
@@ -175,3 +176,37 @@ def test_screen_equals_the_search():
     symbols = decontam.np.array([list(t.encode()) for t in texts], decontam.np.uint8)
     got = decontam.least_distances([decontam.np.frombuffer(p.encode(), decontam.np.uint8) for p in patterns], symbols)
     assert got.tolist() == [search(p, t)[0] for p, t in zip(patterns, texts, strict=True)]
+
+
+@pytest.mark.parametrize("n", [3, 63, 64, 65, 128, 150, 200, 330])
+def test_pieces_bound_the_distance(n):
+    """No candidate is dropped whose surroundings hold the item within the allowed edits, and few others are left."""
+    rng = random.Random(n)
+    letters = "etaoinsrhldcum "
+    items, docs, places = [], [], []
+    for _ in range(40):
+        item = "".join(rng.choice(letters) for _ in range(n + rng.randrange(6))).strip().replace("  ", " ")
+        item = " ".join((item + " a b c d").split())
+        body = list(item)
+        for _ in range(rng.randrange(int(0.4 * len(item)) + 2)):
+            k = rng.randrange(len(body))
+            body[k] = rng.choice(["", "x", body[k] + "y"])
+        before = "".join(rng.choice(letters) for _ in range(rng.randrange(300)))
+        items.append(item)
+        places.append(len(before))
+        docs.append(before + "".join(body) + "".join(rng.choice(letters) for _ in range(rng.randrange(300))) + "\n")
+    index = Index.of(list(range(len(items))), items)
+    codes, at = decontam.code_points(docs)
+    symbols = decontam.symbols_of(codes)
+    some, fine = [], set()
+    for t, (doc, place) in enumerate(zip(docs, places, strict=True)):
+        for i in (t, (t + 1) % len(items)):
+            allowed = int(0.2 * len(index.texts[i]))
+            first = place - rng.randrange(allowed + 1)
+            some.append((t, i, first, first + max(4, allowed) - 1))
+            body = doc[max(0, first - allowed) : first + max(4, allowed) - 1 + len(index.texts[i]) + allowed]
+            if search(index.texts[i], body)[0] <= allowed:
+                fine.add((t, i))
+    kept = {(t, i) for t, i, _, _ in index.close(np.array(some), symbols, at).tolist()}
+    assert fine and fine <= kept
+    assert len(kept - fine) <= len(some) // 3
